@@ -6,7 +6,7 @@ from importlib import import_module
 
 from sparklode.plans.registry import Query
 
-MODULES = ("activity",)
+MODULES = ("activity", "catalogue", "texts")
 
 
 def queries() -> dict[str, Query]:
