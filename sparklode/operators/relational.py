@@ -60,9 +60,8 @@ def not_in(column: str, values: Sequence) -> Column:
 
 def visible_by_coverage(df: DataFrame, key: str, gated: Sequence[str], least: float) -> DataFrame:
     """Keys with their share of rows; a gated key has to reach `least`, others always pass."""
-    total = df.agg(F.count("*").alias("total"))
-    share = df.groupBy(key).agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("total"))
-    return share.where(~F.col(key).isin(list(gated)) | (F.col("share") >= least)).drop("total")
+    share = df.groupBy(key).agg(F.count("*").alias("n")).withColumn("share", F.col("n") / F.lit(max(1, df.count())))
+    return share.where(~F.col(key).isin(list(gated)) | (F.col("share") >= least))
 
 
 def changed_rows(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
