@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 # The dashes that count as a hyphen, and Latin letters that look like Cyrillic ones.
 DASHES = "‐‑‒–—−―"
@@ -29,7 +30,7 @@ def label_form(text: Column) -> Column:
     return F.translate(F.lower(F.trim(text)), "ё" + LATIN, "е" + CYRILLIC)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode compatibility composition; null stays null."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
@@ -213,7 +214,7 @@ def indel_ratio_of(a: str, b: str) -> float:
     return 2 * (len(a) - state.bit_count()) / (len(a) + len(b))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Order-sensitive similarity of two texts; null where either is."""
     return pd.Series([None if x is None or y is None else indel_ratio_of(x, y) for x, y in zip(a, b)], dtype="float64")
