@@ -33,7 +33,7 @@ def label_form(text: Column) -> Column:
 @F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode compatibility composition; null stays null."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+    return text.map(lambda t: unicodedata.normalize("NFKC", t) if isinstance(t, str) else None)
 
 
 def statement_form(text: Column) -> Column:
@@ -217,7 +217,7 @@ def indel_ratio_of(a: str, b: str) -> float:
 @F.pandas_udf(DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Order-sensitive similarity of two texts; null where either is."""
-    return pd.Series([None if x is None or y is None else indel_ratio_of(x, y) for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([indel_ratio_of(x, y) if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(a, b)], dtype="float64")
 
 
 # English number words.

@@ -86,7 +86,7 @@ def repaired_json(raw: str | None) -> str | None:
 
 @F.pandas_udf(StringType())
 def repair_json(raw: pd.Series) -> pd.Series:
-    return raw.map(repaired_json)
+    return raw.map(lambda t: repaired_json(t) if isinstance(t, str) else None)
 
 
 def key_values(path_or_df: DataFrame, text: str = "text") -> DataFrame:
@@ -97,7 +97,7 @@ def key_values(path_or_df: DataFrame, text: str = "text") -> DataFrame:
             found, errors = [], []
             for doc in rows["text"]:
                 pairs, bad = {}, []
-                for n, line in enumerate((doc or "").split("\n"), 1):
+                for n, line in enumerate(doc.split("\n") if isinstance(doc, str) else [], 1):
                     name, colon, value = line.partition(":")
                     if not line.strip() or line.startswith("#"):
                         continue
@@ -107,7 +107,7 @@ def key_values(path_or_df: DataFrame, text: str = "text") -> DataFrame:
                         bad.append(f"line {n}: {name.strip()} again")
                     else:
                         pairs[name.strip()] = value.strip()
-                found.append(list(pairs.items()))
+                found.append(pairs)
                 errors.append(bad)
             yield pd.DataFrame({"fields": found, "errors": errors})
 
