@@ -8,7 +8,8 @@ repeated results; other columns are ignored, whatever their names.
 The method adds spans of kind `novel`: a run of key-like characters that mixes letters and digits, stands on a line with
 a sensitive word shortly before it, and overlaps no base span, is compressed by zstandard primed with a dictionary of
 common identifiers, once with and once without it after the surrounding text. Its marginal bytes over its length are its
-novelty; a string that the text around it or the dictionary explains costs few bytes and is not reported.
+novelty; a string that the text around it or the dictionary explains costs few bytes and is not reported. Copies of the
+string itself don't explain it: a secret that is written twice is reported twice.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ class Novelty:
         self.compressor = zstandard.ZstdCompressor(level=3, dict_data=raw, write_content_size=False, write_checksum=False, write_dict_id=False)
 
     def __call__(self, text: str, start: int, end: int) -> float:
-        around = (text[max(0, start - AROUND) : start] + text[end : end + AROUND]).encode()
+        around = (text[max(0, start - AROUND) : start] + text[end : end + AROUND]).replace(text[start:end], "").encode()
         alone = len(self.compressor.compress(around))
         both = len(self.compressor.compress(around + text[start:end].encode()))
         return (both - alone) / (end - start)
