@@ -14,6 +14,7 @@ short are packed again together with other groups' in a second round, so only on
 
 from __future__ import annotations
 
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -27,7 +28,8 @@ from sparklode.sources.scratch import Scratch
 
 SEQUENCE, END_ID, GROUP = 2048, 0, 8192
 #: Bound on the chunks whose ids a task remembers.
-REMEMBERED = 150_000
+REMEMBERED = 600_000
+MARKS = b".,;:!?*#%&$|()"
 
 
 def tokenizer_path() -> str:
@@ -37,11 +39,55 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
-def _spool(tokenizer, known: dict[bytes, bytes], chunks: set[bytes]) -> None:
-    """Put the ids of unseen chunks into `known`, as little-endian 32-bit bytes."""
-    new = list(chunks)
-    for chunk, got in zip(new, tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False)):
-        known[chunk] = np.asarray(got.ids, "<u4").tobytes()
+class ChunkEncoder:
+    """Ids of chunks of text, remembered as little-endian 32-bit bytes."""
+
+    def __init__(self, vocabulary: str) -> None:
+        from tokenizers import Tokenizer
+
+        assert array("I").itemsize == 4
+        self.tokenizer = Tokenizer.from_file(vocabulary)
+        size = self.tokenizer.get_vocab_size()
+        suffix = self.tokenizer.model.end_of_word_suffix or ""
+        self.ends_word = np.array([bool(suffix) and (self.tokenizer.id_to_token(k) or "").endswith(suffix) for k in range(size)])
+        self.known: dict[bytes, bytes] = {}
+
+    def _one_by_one(self, chunks: list[bytes]) -> None:
+        for chunk, got in zip(chunks, self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)):
+            self.known[chunk] = array("I", got.ids).tobytes()
+
+    def _words(self, words: list[bytes]) -> None:
+        """Letters only, so each is one word of the vocabulary's rules and ends in one word-end token: one call does for all."""
+        if not words:
+            return
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        ends = (np.nonzero(self.ends_word[ids])[0] + 1) * 4
+        if len(ends) != len(words):
+            self._one_by_one(words)
+            return
+        raw, ends = ids.tobytes(), ends.tolist()
+        self.known.update(zip(words, (raw[a:b] for a, b in zip([0, *ends], ends))))
+
+    def learn(self, chunks: set[bytes]) -> None:
+        """Put unseen chunks into `known`. Marks after letters are a word of their own, so letters and marks are joined."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        unseen = chunks - self.known.keys()
+        stems = {c: c.rstrip(MARKS) for c in unseen}
+        marked = {c: w for c, w in stems.items() if w and w != c and w.decode().isalpha()}
+        wanted = (unseen - marked.keys()) | set(marked.values()) | {c[len(w) :] for c, w in marked.items()}
+        new = [c for c in wanted if c not in self.known]
+        words = [c for c in new if c.decode().isalpha()]
+        self._words(words)
+        self._one_by_one([c for c in new if c not in self.known])
+        for chunk, stem in marked.items():
+            self.known[chunk] = self.known[stem] + self.known[chunk[len(stem) :]]
+
+
+def chunks_of(text: str | None) -> list[bytes]:
+    """The text between ASCII white space, A-Z lower-cased as the vocabulary does, unless special strings may be in it."""
+    raw = (text or "").encode()
+    return (raw if b"<|" in raw else raw.lower()).split()
 
 
 def tokenized_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", length: int = SEQUENCE, end_id: int = END_ID) -> DataFrame:
@@ -52,22 +98,16 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(vocabulary)
-        known: dict[bytes, bytes] = {}
+        encoder = ChunkEncoder(vocabulary)
         names = ["doc_id", "piece", "start", "length", "ids"]
         for batch in batches:
             for first in range(0, batch.num_rows, 500):
                 part = batch.slice(first, 500)
-                split = [(t or "").encode().split() for t in part.column(1).to_pylist()]
-                if len(known) > REMEMBERED:
-                    known.clear()
-                if unseen := set().union(*split) - known.keys():
-                    _spool(tokenizer, known, unseen)
+                split = [chunks_of(t) for t in part.column(1).to_pylist()]
+                encoder.learn(set().union(*split))
                 rows = []
                 for doc, chunks in zip(part.column(0).to_pylist(), split):
-                    ids = b"".join(map(known.__getitem__, chunks)) + end
+                    ids = b"".join(map(encoder.known.__getitem__, chunks)) + end
                     for k, at in enumerate(range(0, len(ids), step)):
                         piece = ids[at : at + step]
                         rows.append((doc, k, at // 4, len(piece) // 4, piece))
