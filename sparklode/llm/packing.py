@@ -144,7 +144,7 @@ def sum_of_squares_bins(sizes: list[int], capacity: int) -> list[int]:
 
 
 def _pack_group(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    rows = rows.sort_values(["length", "doc_id", "piece", "start"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
+    rows = rows.sort_values(["length", "row"], ascending=[False, True], kind="stable").reset_index(drop=True)
     rows["bin"] = sum_of_squares_bins(rows["length"].tolist(), capacity)
     rows["offset"] = rows.groupby("bin")["length"].cumsum() - rows["length"]
     rows["fill"] = rows.groupby("bin")["length"].transform("sum")
@@ -158,12 +158,12 @@ def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE, group: int = GROUP,
     groups. An empty table gives no rows.
     """
     scratch = Scratch(pieces.sparkSession, "packing")
-    pieces = scratch.keep(pieces, "pieces")
-    slim = pieces.select("doc_id", "piece", "start", "length")
-    fields = "doc_id long, piece int, start long, length long, grp long, bin long, offset long, fill long"
+    pieces = scratch.keep(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    slim = pieces.select("row", "length")
+    fields = "row long, length long, grp long, bin long, offset long, fill long"
 
     def packed(rows: DataFrame, groups: int, salt: int) -> DataFrame:
-        dealt = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", F.lit(salt)), F.lit(groups)))
+        dealt = rows.withColumn("grp", F.pmod(F.xxhash64("row", F.lit(salt)), F.lit(groups)))
         return dealt.groupBy("grp").applyInPandas(lambda pdf: _pack_group(pdf, capacity)[[f.split()[0] for f in fields.split(", ")]], fields)
 
     groups = max(1, -(-slim.count() // group))
@@ -171,12 +171,10 @@ def pack_pieces(pieces: DataFrame, capacity: int = SEQUENCE, group: int = GROUP,
     done = first.where(F.col("fill") >= good * capacity).withColumn("round", F.lit(0))
     short = first.where(F.col("fill") < good * capacity)
     again = max(1, -(-short.count() // (2 * group)))
-    second = packed(short.select("doc_id", "piece", "start", "length"), again, 2).withColumn("round", F.lit(1))
+    second = packed(short.select("row", "length"), again, 2).withColumn("round", F.lit(1))
     placed = done.unionByName(second)
     number = (F.col("grp") * 2 + F.col("round")) * F.lit(1 << 32) + F.col("bin")
-    placed = placed.select("doc_id", "piece", "start", "length", number.alias("sequence_id"), "offset")
-    more = [c for c in pieces.columns if c not in ("doc_id", "piece", "start", "length")]
-    return placed.join(pieces.select("doc_id", "piece", *more), ["doc_id", "piece"]) if more else placed
+    return pieces.join(placed.select("row", number.alias("sequence_id"), "offset"), "row").drop("row")
 
 
 def best_fit_packing(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", length: int = SEQUENCE, digest: bool = False) -> DataFrame:
