@@ -110,6 +110,23 @@ def sampled_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[Da
     return sample, [held.get(0, 0), held.get(1, 0)]
 
 
+def most_frequent(table: DataFrame, n: Column, most: int) -> DataFrame:
+    """The rows with the largest `n`, at most `most`, cut where `n` changes by a sixteenth of an octave.
+
+    A bounded histogram of n finds the cut, so that no task sends more than what is taken; rows of one n are taken or left
+    together.
+    """
+    level = F.floor(F.log2(n) * 16).cast("int")
+    held = sorted(table.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"])
+    total, least = 0, None
+    for r in held:
+        total += r["count"]
+        if total > most:
+            break
+        least = r["level"]
+    return table.where(level >= least) if least is not None else table.limit(0)
+
+
 def continuation_counts(sample: DataFrame) -> DataFrame:
     """(word, ordinary, toxic): different left neighbours of each word in each class."""
 
@@ -145,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, words: i
     sums = counts.agg(F.sum("ordinary"), F.sum("toxic"), F.count_if(F.col("ordinary") > 0), F.count_if(F.col("toxic") > 0)).first()
     if not (sums[0] and sums[1]):
         return held[1] / sum(held)
-    kept = counts.where("ordinary + toxic >= 2").orderBy(F.desc(F.col("ordinary") + F.col("toxic")), "word").limit(words).toPandas()
+    kept = most_frequent(counts.where("ordinary + toxic >= 2"), F.col("ordinary") + F.col("toxic"), words).toPandas()
     model = Model(
         {bytes(w): k for k, w in enumerate(kept["word"])},
         kept[["ordinary", "toxic"]].to_numpy(float).reshape(-1, 2),
