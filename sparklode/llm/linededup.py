@@ -2,8 +2,9 @@
 
 A text is split at line feeds (null or empty: one empty line). A line's key is the line with ASCII white space stripped
 at both ends and A-Z lower-cased. Keys of at least `MIN_LENGTH` code points found in at least `MIN_DOCS` documents lose
-all their lines except in the largest doc_id that holds them, where all of them stay; other lines stay. Two rows of one
-doc_id are one document for the count. Other columns are ignored, whatever their names; an empty table gives no rows.
+all their lines except in the largest doc_id that holds them, where all of them stay; other lines stay. Rows of one doc_id
+are one document for the count. Rows without doc_id keep all their lines and count for none. Other columns are ignored,
+whatever their names; an empty table gives no rows.
 
 Runs: documents come in batches, here by ranges of doc_id with the largest first. A batch's keys are counted once a
 document and combined where they were read; the batch is merge-anti-joined with the runs so far: keys that no run holds
@@ -102,9 +103,11 @@ def repeated_keys(docs: DataFrame, scratch: Scratch, min_length: int = MIN_LENGT
     if low is None:
         low = high = 0
     step = -(-(high - low + 1) // batches)
+    ids_repeat = not docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty()
     for k in range(batches - 1, -1, -1):
         part = docs.where(F.col("doc_id").between(low + k * step, low + (k + 1) * step - 1))
-        runs.add(long_keys(part, min_length))
+        keys = long_keys(part, min_length)
+        runs.add(keys.distinct() if ids_repeat else keys)
     return runs.merge(runs.all_runs()).where(F.col("n_docs") >= min_docs).select(*KEY, "holder")
 
 

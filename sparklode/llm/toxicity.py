@@ -33,7 +33,8 @@ DISCOUNT, PER_CLASS, WORDS, FOLDS, RIDGE = 0.75, 6000, 200_000, 5, 1.0
 
 
 def held_out(id_col: str = "doc_id", folds: int = FOLDS) -> Column:
-    return F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0
+    """Whether the id's crc32 falls into the fold that is kept out of training; false without an id."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -84,6 +84,8 @@ def test_lines(spark, odd, none):
     rows = [(1, f"{text}\nshort\nx"), (2, f"  {text.upper()}\t\nshort"), (3, f"{text}\n{text}"), (4, None), (5, "short")]
     got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in linededup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: (3, 1, "short\nx"), 2: (2, 1, "short"), 3: (2, 0, f"{text}\n{text}"), 4: (1, 0, ""), 5: (1, 0, "short")}
+    twice = spark.createDataFrame([(1, text), (2, text), (2, text), (None, text)], "doc_id long, text string")
+    assert [r["n_dropped"] for r in linededup.drop_repeated_lines(twice).collect()] == [0] * 4
     assert linededup.drop_repeated_lines(odd).count() == len(ODD) + 1 and linededup.drop_repeated_lines(none).count() == 0
 
 
@@ -178,6 +180,13 @@ def test_language_model(spark, small, odd, none):
         assert r["n_known"] == sum(counts[w] > 0 for w in tokens) + 1 and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0)
         gain += (r["score"] - r["base_score"]) * r["held_out"]
     assert gain > 0
+    again = spark.createDataFrame([(1, "a b c d e f"), (1, "a b c d e f"), (None, "a g"), (2, "a a a")], "doc_id long, text string")
+    counts = Counter("abcdefabcdefagaaa")
+    total = 17 + 4 + 0.1 * (7 + 1 + 1)
+    for r in hmm.language_model_scores(again, counted=2, symbols=1, states=2).collect():
+        text = {1: "abcdef", 2: "aaa", None: "ag"}[r["doc_id"]]
+        assert r["base_score"] == pytest.approx(sum(np.log10((counts[w] + 0.1) / total) for w in text) + np.log10(4.1 / total))
+        assert r["n_known"] == len(text) + 1 and r["held_out"] is False and r["train_tokens"] == 21
     assert hmm.language_model_scores(odd).count() == len(ODD) + 1 and hmm.language_model_scores(none).count() == 0
 
 
