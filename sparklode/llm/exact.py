@@ -93,6 +93,6 @@ def duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def keep_largest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all their columns, that stay."""
+    """The rows of `docs`, all their columns, that stay. Rows without an id do not stay."""
     kept = duplicate_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, docs[id_col] == F.col("__kept"), "left_semi")

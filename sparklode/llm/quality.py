@@ -163,7 +163,7 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all their columns, that are kept."""
+    """The rows of `docs`, all their columns, that are kept. Rows without an id do not stay."""
     kept = judged(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, docs[id_col] == F.col("__kept"), "left_semi")
 

@@ -158,7 +158,7 @@ def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """The rows of `docs`, all their columns, whose id is the smallest of its near-duplicate class."""
+    """The rows of `docs`, all their columns, whose id is the smallest of its near-duplicate class. Rows without an id do not stay."""
     classes = near_duplicate_classes(docs, id_col, text_col, words)
     kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, docs[id_col] == F.col("__kept"), "left_semi")
