@@ -126,7 +126,7 @@ def _bigrams_sql(words: str) -> str:
 
 
 def op7_sql() -> str:
-    """Every unit against every template; blocks are lines numbered by the empty lines before them."""
+    """Every unit against every template; blocks are lines numbered by the empty lines before them. A null id is a document too."""
     quoted = ", ".join("('" + n + "', '" + t.replace("'", "''") + "')" for n, t in licences.TEMPLATES.items())
     return f"""
 with templates as (

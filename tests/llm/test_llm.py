@@ -225,7 +225,33 @@ def test_licences(spark, odd, none):
     rows = [(1, f"word\n{mit.upper()}\nmore"), (2, "Licensed under the Apache License Version 2.0"), (3, mit[:200]), (4, None), (5, "head\n\nReleased under\nthe MIT License.\n\ntail")]
     got = {r["doc_id"]: r["licences"] for r in licences.licences_by_document(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {1: "MIT", 2: "Apache-2.0-line", 3: "", 4: "", 5: "MIT-line"}
-    assert licences.licences_by_document(odd).count() == len(ODD) and licences.licences_by_document(none).count() == 0
+    lost = spark.createDataFrame([(None, "Released under the MIT License."), (1, None), (1, None)], "doc_id long, text string")
+    assert sorted(r["n_matches"] for r in licences.licences_by_document(lost).collect()) == [0, 0, 1]
+    units = {(r["kind"], r["number"]) for r in licences.licence_matches(spark.createDataFrame([(1, "x\n\nReleased under\nthe MIT License.\n\nReleased under the MIT License.")], "doc_id long, text string")).collect()}
+    assert units == {("block", 1), ("line", 5)}
+    assert licences.licences_by_document(odd).count() == len(ODD) + 1 and licences.licences_by_document(none).count() == 0
+
+
+def test_licence_anchors():
+    """Texts that reach the coefficient with a template, by dropping and adding words, always hold an anchor."""
+    pattern = re.compile(licences.anchors(licences.TEMPLATES))
+    rng = random.Random(5)
+    for text in licences.TEMPLATES.values():
+        tokens = re.findall("[a-z0-9]+", text.lower())
+        whole = set(itertools.pairwise(tokens))
+        for _ in range(40):
+            some = [w if rng.random() > 0.15 else "zzz" for w in tokens]
+            got = set(itertools.pairwise(some))
+            if 2 * len(got & whole) >= licences.DICE * (len(got) + len(whole)):
+                assert pattern.search(" ".join(some))
+
+
+def test_licences_long_text(spark):
+    """A text of over a megabyte, every line of it with an anchor."""
+    text = "\n".join(f"the software of line {k} and more\n" * 2 for k in range(16000))
+    assert len(text) > 1_000_000
+    row = licences.licences_by_document(spark.createDataFrame([(1, text + "\nReleased under the MIT License.")], "doc_id long, text string")).first()
+    assert row["n_matches"] == 1
 
 
 def slow_print(text, n=4):
