@@ -7,14 +7,18 @@ are one document for the count. Rows without doc_id keep all their lines and cou
 whatever their names; an empty table gives no rows.
 
 Runs: documents come in batches, here by ranges of doc_id with the largest first. A batch's keys are counted once a
-document and combined where they were read; the batch is merge-anti-joined with the runs so far: keys that no run holds
-are new and record their holder (the batch's largest doc_id, which no later batch can exceed), keys already held add
-only their count. The batch's sorted run is added at level 0; when a level has `FANOUT` runs, they are merged into one
-of the next level, so a key is rewritten once a level. Keys are 128-bit hashes (two XXH64 with different seeds).
+document and combined where they were read. The batch is merge-anti-joined with each run: keys that no run holds are new,
+and the batch's largest doc_id is their holder, which no later batch can exceed; only these make the batch's own run, so a
+key is in one run only. Keys that a run holds already add to a table of further counts. A run is a table bucketed and
+sorted by key, in as many buckets as the session has shuffle partitions, so that a batch just counted meets it, and runs
+meet each other, without moving the run. When a level has `FANOUT` runs, they are merged bucket by bucket into one of the
+next level, so a key is rewritten once a level. Keys are 128-bit hashes (two XXH64 with different seeds).
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +27,8 @@ from sparklode.sources.scratch import Scratch
 
 MIN_LENGTH, MIN_DOCS, FANOUT, BATCHES = 20, 3, 2, 3
 KEY = ["h1", "h2"]
+#: Lets a scan of a bucketed table with one file a bucket count as sorted.
+ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
 
 
 def line_key(line: Column) -> Column:
@@ -45,77 +51,114 @@ def long_keys(docs: DataFrame, min_length: int) -> DataFrame:
 
 
 class SortedRuns:
-    """Sorted runs (h1, h2, n_docs, holder) in levels, in the shared folder."""
+    """Sorted runs (h1, h2, n_docs, holder) in levels, no key in two of them; bucketed tables in the shared folder."""
 
     def __init__(self, scratch: Scratch, fanout: int = FANOUT) -> None:
-        self.scratch, self.fanout = scratch, fanout
-        self.levels: list[list[tuple[str, DataFrame]]] = []
+        self.scratch, self.fanout, self.spark = scratch, fanout, scratch.spark
+        self.buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        self.prefix = f"line_runs_{uuid.uuid4().hex[:12]}"
+        self.levels: list[list[str]] = []
+        self.more: list[DataFrame] = []
         self.written = 0
 
-    def _write(self, run: DataFrame) -> tuple[str, DataFrame]:
-        name = f"run-{self.written}"
+    def _write(self, run: DataFrame) -> str:
+        """One file for each bucket: a key's rows are in one task already, and the conf lets readers rely on the files' order."""
+        name = f"{self.prefix}_{self.written}"
         self.written += 1
-        return name, self.scratch.keep(run.sortWithinPartitions(*KEY), name)
-
-    def all_runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for _, run in level]
-
-    @staticmethod
-    def merge(runs: list[DataFrame]) -> DataFrame:
-        """One row per key over all of `runs`."""
-        union = runs[0]
-        for run in runs[1:]:
-            union = union.unionByName(run)
-        return union.groupBy(*KEY).agg(F.sum("n_docs").alias("n_docs"), F.max("holder").alias("holder"))
+        before = self.spark.conf.get(ORDERED, "false")
+        self.spark.conf.set(ORDERED, "true")
+        try:
+            out = run.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).option("path", self.scratch.path(name))
+            out.mode("overwrite").saveAsTable(name)
+        finally:
+            self.spark.conf.set(ORDERED, before)
+        return name
+
+    def tables(self) -> list[DataFrame]:
+        return [self.spark.table(name) for level in self.levels for name in level]
 
     def add(self, keys: DataFrame) -> None:
         """Add a batch (doc_id, h1, h2), all of whose doc_ids are smaller than those of the batches before."""
-        run = keys.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("holder"))
-        if held := self.all_runs():
-            run = self.scratch.keep(run, f"batch-{self.written}")
-            known = held[0].select(*KEY)
-            for more in held[1:]:
-                known = known.unionByName(more.select(*KEY))
-            fresh = run.join(known, KEY, "left_anti")
-            again = run.join(known, KEY, "left_semi").withColumn("holder", F.lit(None).cast("long"))
-            run = fresh.unionByName(again)
+        batch = self._write(keys.groupBy(*KEY).agg(F.count("*").alias("n_docs"), F.max("doc_id").alias("holder")))
+        if held := self.tables():
+            counted = fresh = self.spark.table(batch)
+            for run in held:
+                fresh = fresh.join(run.select(*KEY), KEY, "left_anti")
+            own = self._write(fresh)
+            again = counted.join(self.spark.table(own).select(*KEY), KEY, "left_anti").select(*KEY, "n_docs")
+            self.more.append(self.scratch.keep(again, f"more-{self.written}"))
+            self._forget([batch])
+            batch = own
         if not self.levels:
             self.levels.append([])
-        self.levels[0].append(self._write(run))
+        self.levels[0].append(batch)
         self._compact()
 
     def _compact(self) -> None:
         for k in range(len(self.levels)):
             if len(self.levels[k]) >= self.fanout:
                 old = self.levels[k]
-                merged = self._write(self.merge([run for _, run in old]))
                 if k + 1 == len(self.levels):
                     self.levels.append([])
-                self.levels[k + 1].append(merged)
+                self.levels[k + 1].append(self._write(self.merged(old)))
                 self.levels[k] = []
-                self.scratch.drop(*(name for name, _ in old))
+                self._forget(old)
+
+    def merged(self, names: list[str]) -> DataFrame:
+        """All entries of some runs, which share no key, merged bucket by bucket."""
+        out = self.spark.table(names[0])
+        for name in names[1:]:
+            other = self.spark.table(name).withColumnsRenamed({"n_docs": "n_docs_", "holder": "holder_"})
+            out = out.join(other, KEY, "full_outer").select(*KEY, F.coalesce("n_docs", "n_docs_").alias("n_docs"), F.coalesce("holder", "holder_").alias("holder"))
+        return out
+
+    def _forget(self, names: list[str]) -> None:
+        for name in names:
+            self.spark.sql(f"drop table if exists {name}")
+        self.scratch.drop(*names)
+
+    def repeated(self, min_docs: int) -> DataFrame:
+        """(h1, h2, holder) of the keys that at least `min_docs` documents hold."""
+        held = [run.select(*KEY, "n_docs", "holder") for run in self.tables()]
+        if self.more:
+            more = self.more[0]
+            for part in self.more[1:]:
+                more = more.unionByName(part)
+            more = more.groupBy(*KEY).agg(F.sum("n_docs").alias("further"))
+            held = [run.join(more, KEY, "left").withColumn("n_docs", F.col("n_docs") + F.coalesce("further", F.lit(0))) for run in held]
+        out = held[0].where(F.col("n_docs") >= min_docs).select(*KEY, "holder")
+        for run in held[1:]:
+            out = out.unionByName(run.where(F.col("n_docs") >= min_docs).select(*KEY, "holder"))
+        return out
+
+    def close(self) -> None:
+        """Delete all runs."""
+        for level in self.levels:
+            self._forget(level)
+        self.levels = []
 
 
 def repeated_keys(docs: DataFrame, scratch: Scratch, min_length: int = MIN_LENGTH, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
-    """(h1, h2, holder): keys found in at least `min_docs` documents, with the largest doc_id that holds each."""
-    low, high = docs.agg(F.min("doc_id"), F.max("doc_id")).first()
+    """(h1, h2, holder): keys found in at least `min_docs` documents, with the largest doc_id that holds each; a written table."""
+    low, high, n, different = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id"), F.count_distinct("doc_id")).first()
     runs = SortedRuns(scratch)
     if low is None:
         low = high = 0
     step = -(-(high - low + 1) // batches)
-    ids_repeat = not docs.groupBy("doc_id").count().where("doc_id is not null and count > 1").isEmpty()
     for k in range(batches - 1, -1, -1):
         part = docs.where(F.col("doc_id").between(low + k * step, low + (k + 1) * step - 1))
         keys = long_keys(part, min_length)
-        runs.add(keys.distinct() if ids_repeat else keys)
-    return runs.merge(runs.all_runs()).where(F.col("n_docs") >= min_docs).select(*KEY, "holder")
+        runs.add(keys.distinct() if n > different else keys)
+    out = scratch.keep(runs.repeated(min_docs), "repeated")
+    runs.close()
+    return out
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
     """(doc_id, n_lines, n_dropped, text): the text that is left of every row."""
     scratch = Scratch(docs.sparkSession, "lines")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    repeated = scratch.keep(repeated_keys(slim, scratch, min_length, min_docs, batches), "repeated")
+    repeated = repeated_keys(slim, scratch, min_length, min_docs, batches)
     found = long_keys(slim, min_length).join(repeated, KEY).where(F.col("doc_id") < F.col("holder"))
     dropped = found.groupBy("doc_id").agg(F.collect_set(F.concat_ws("/", *KEY)).alias("gone"))
     lines = slim.join(dropped, "doc_id", "left").select("doc_id", lines_of(F.col("text")).alias("lines"), "gone")

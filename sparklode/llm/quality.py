@@ -4,35 +4,40 @@ Words are runs of non-white-space (ASCII white space); null text has none. Count
 word_chars (code points in words), n_symbols (characters of `#*$%&|<>`), n_dup_lines (lines with a word that equal an
 earlier line), n_repeat_words (words in 5-word windows that occur twice or more, the first occurrence included).
 
-Rules vote good (1), bad (-1) or abstain (0) on those counts. Accuracies and the share of good documents are estimated
-without labels by expectation-maximisation over the table of vote patterns, which has at most 3^rules rows whatever the
-input; the posterior probability of being good, not the passing of all rules, decides. A document is kept when it does
-not fail the base rule and its posterior is at least one half. A document on which all rules abstain has the prior,
-which the anchor below keeps above one half. An empty table gives no rows; equal texts get equal results; other columns
-are ignored, whatever their names.
+Rules vote good (1), bad (-1) or abstain (0) on those counts. How they vote is a latent-class model: a document is good, or
+bad in one of as many kinds as there are rules, for a text that fails by its symbols need not fail by its length, and rules
+that fail together are one kind. In each class every rule has its own probability of voting bad, given that it votes; an
+abstaining rule says nothing. These accuracies and the classes' shares are estimated without labels by expectation-maximisation over the table of vote patterns, which has at most 3^rules rows
+whatever the input. The k-th bad kind starts where the k-th rule fails and the others vote as for good documents; all
+probabilities are estimated from the votes, with `PSEUDO_VOTES` votes for the start added. The posterior probability of
+being good, not the passing of all rules, decides: a document is kept when it does not fail the base rule and its posterior
+is at least one half. Without documents the model is its start. Null and empty texts have all counts 0 and fail the base
+rule. An empty table gives no rows; equal texts and repeated rows get equal results, whatever their ids, also where those
+are missing; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from sparklode.llm.rows import spare
 from sparklode.sources.scratch import Scratch
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
 NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters")
-#: Where estimation starts, and is held by so many pseudo-votes: a good document seldom trips a rule, a bad one trips few of
-#: them. A rule that rarely votes so keeps a sane accuracy, and "good" stays the class for which the rules vote good.
-START_ON_GOOD, START_ON_BAD, START_GOOD, PSEUDO_VOTES, ROUNDS = 0.995, 0.3, 0.85, 10.0, 30
-#: The rules are written so that each trips on at most one good document in 200. Without this bound, estimation settles on
-#: the rules that fail together and takes a rule that fails alone for a careless one.
-LEAST_ON_GOOD = 0.995
+#: Where estimation starts: the share of good documents, and how often a rule votes bad on them and on the bad kind that is
+#: named after it. So many votes for the start are added to those counted.
+START_GOOD, BAD_ON_GOOD, BAD_ON_ITS_KIND, PSEUDO_VOTES, ROUNDS = 0.85, 0.01, 0.9, 10.0, 60
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -91,22 +96,24 @@ def text_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return slim.mapInArrow(run, "doc_id long, " + ", ".join(f"{n} long" for n in NAMES))
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+def base_failed(of: dict[str, Column] | None = None) -> Column:
+    """Whether the base rule fails; `of` gives the counts by name where they are not columns of their own."""
+    words, repeats = (of[n] if of else F.col(n) for n in ("n_words", "n_repeat_words"))
+    return (words < 10) | (100 * repeats > 20 * words)
 
 
 def _vote(value: Column, good: Column, bad: Column) -> Column:
     return F.when(value.isNull(), 0).when(bad, -1).when(good, 1).otherwise(0)
 
 
-def rules() -> dict[str, Column]:
-    """Votes by name; the thresholds between good and bad are where a rule abstains."""
-    words, chars = F.col("n_words"), F.col("word_chars")
-    symbols = F.col("n_symbols") / F.greatest(words, F.lit(1))
-    mean = chars / F.greatest(words, F.lit(1))
-    repeats = F.col("n_repeat_words") / F.greatest(words, F.lit(1))
-    lines = F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))
-    upper = F.col("n_upper") / F.greatest(F.col("n_letters"), F.lit(1))
+def rules(of: dict[str, Column] | None = None) -> dict[str, Column]:
+    """Votes by name; the thresholds between good and bad are where a rule abstains. `of` as in `base_failed`."""
+    of = of or {n: F.col(n) for n in NAMES}
+    words = of["n_words"]
+    per_word = lambda n: of[n] / F.greatest(words, F.lit(1))
+    symbols, mean, repeats = map(per_word, ("n_symbols", "word_chars", "n_repeat_words"))
+    lines = of["n_dup_lines"] / F.greatest(of["n_lines"], F.lit(1))
+    upper = of["n_upper"] / F.greatest(of["n_letters"], F.lit(1))
     return {
         "length": _vote(words, words >= 25, words < 10),
         "symbols": _vote(symbols, symbols < 0.1, symbols > 0.4),
@@ -117,55 +124,81 @@ def rules() -> dict[str, Column]:
     }
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], names: list[str]) -> tuple[float, dict[str, tuple[float, float]]]:
-    """Prior of good and, by rule, (P(votes good | good), P(votes bad | bad)) given that it votes.
+@dataclass
+class LatentClasses:
+    """shares: of the classes, good first; bad: class x rule, how often the rule votes bad on the class when it votes."""
 
-    patterns: distinct vote vectors with their number of documents.
-    """
+    shares: np.ndarray
+    bad: np.ndarray
+
+    @classmethod
+    def start(cls, rules: int) -> LatentClasses:
+        bad = np.full((rules + 1, rules), BAD_ON_GOOD)
+        bad[np.arange(1, rules + 1), np.arange(rules)] = BAD_ON_ITS_KIND
+        return cls(np.array([START_GOOD, *[(1 - START_GOOD) / rules] * rules]), bad)
+
+    def belongs(self, votes: np.ndarray) -> np.ndarray:
+        """P(class | votes) of each row of `votes`."""
+        log = np.log(self.shares) + (votes < 0) @ np.log(self.bad).T + (votes > 0) @ np.log1p(-self.bad).T
+        likelihood = np.exp(log - log.max(axis=1, keepdims=True))
+        return likelihood / likelihood.sum(axis=1, keepdims=True)
+
+
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = ROUNDS) -> LatentClasses:
+    """The model of `patterns`, distinct vote vectors with their numbers of documents, by expectation-maximisation."""
+    start = model = LatentClasses.start(rules)
     if not patterns:
-        return START_GOOD, {n: (START_ON_GOOD, START_ON_BAD) for n in names}
-    votes = np.array([p for p, _ in patterns], float)
+        return model
+    votes = np.array([p for p, _ in patterns])
     weight = np.array([w for _, w in patterns], float)
-    acc = np.tile([START_ON_GOOD, START_ON_BAD], (len(names), 1))
-    prior = START_GOOD
-    for _ in range(ROUNDS):
-        up, down = votes > 0, votes < 0
-        good = np.log(prior) + up @ np.log(acc[:, 0]) + down @ np.log1p(-acc[:, 0])
-        bad = np.log1p(-prior) + up @ np.log1p(-acc[:, 1]) + down @ np.log(acc[:, 1])
-        p = weight / (1 + np.exp(np.clip(bad - good, -700, 700)))
-        q = weight - p
-        acc[:, 0] = (p @ up + PSEUDO_VOTES * START_ON_GOOD) / (p @ up + p @ down + PSEUDO_VOTES)
-        acc[:, 1] = (q @ down + PSEUDO_VOTES * START_ON_BAD) / (q @ up + q @ down + PSEUDO_VOTES)
-        acc = np.clip(acc, [LEAST_ON_GOOD, 0.05], [0.999, 0.95])
-        prior = float(np.clip((p.sum() + PSEUDO_VOTES * START_GOOD) / (weight.sum() + PSEUDO_VOTES), 0.51, 0.999))
-    return prior, {n: (float(a), float(b)) for n, (a, b) in zip(names, acc)}
-
-
-def posterior(prior: float, accuracy: dict[str, tuple[float, float]], votes: dict[str, Column]) -> Column:
-    """P(good | votes)."""
-    odds = F.lit(float(np.log(prior / (1 - prior))))
-    for name, vote in votes.items():
-        a, b = accuracy[name]
-        odds = odds + F.when(vote > 0, float(np.log(a / (1 - b)))).when(vote < 0, float(np.log((1 - a) / b))).otherwise(0.0)
-    return 1 / (1 + F.exp(-odds))
+    for _ in range(rounds):
+        here = model.belongs(votes) * weight[:, None]
+        shares = here.sum(axis=0) + PSEUDO_VOTES * start.shares
+        down, cast = here.T @ (votes < 0), here.T @ (votes != 0)
+        model = LatentClasses(shares / shares.sum(), (down + PSEUDO_VOTES * start.bad) / (cast + PSEUDO_VOTES))
+    return model
+
+
+def posterior(model: LatentClasses, votes: list[Column]) -> Column:
+    """P(good | votes): looked up by the votes' pattern, of which there are 3^rules."""
+    every = np.array(list(itertools.product((-1, 0, 1), repeat=len(votes))))
+    place = sum(((vote + 1) * 3**k for k, vote in enumerate(reversed(votes))), F.lit(1))
+    return F.element_at(F.lit(model.belongs(every)[:, 0].tolist()), place.cast("int"))
+
+
+def _fitted(counted: DataFrame, names: dict[str, Column]) -> Column:
+    """P(good) of each row of `counted`, which holds the counts, with the model estimated from all of them."""
+    rows = counted.select(*[v.alias(n) for n, v in names.items()]).groupBy(*names).count().collect()
+    return posterior(estimate([(tuple(r[n] for n in names), r["count"]) for r in rows], len(names)), list(names.values()))
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, the counts, base_failed, quality, kept): quality is the posterior probability of a good document."""
     scratch = Scratch(docs.sparkSession, "quality")
     counted = scratch.keep(text_counts(docs, id_col, text_col), "counts")
-    votes = rules()
-    names = list(votes)
-    rows = counted.select(*[v.alias(n) for n, v in votes.items()]).groupBy(*names).count().collect()
-    prior, accuracy = estimate([(tuple(r[n] for n in names), r["count"]) for r in rows], names)
-    scored = counted.withColumn("base_failed", base_failed()).withColumn("quality", posterior(prior, accuracy, votes))
+    scored = counted.withColumn("base_failed", base_failed()).withColumn("quality", _fitted(counted, rules()))
     return scored.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
 
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs`, all their columns, that are kept. Rows without an id do not stay."""
-    kept = judged(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col] == F.col("__kept"), "left_semi")
+def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, all their columns, that are kept, each judged by its own text whatever its id.
+
+    The rows are written once with their counts beside them, so that the verdict needs no join.
+    """
+    (name,) = spare(docs.columns, "counts")
+    at = docs.columns.index(text_col)
+    kind = StructType([StructField(n, LongType()) for n in NAMES])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            table = np.array([counts_of(t.as_py()) for t in batch.column(at)], np.int64).reshape(-1, len(NAMES))
+            yield batch.append_column(name, pa.StructArray.from_arrays([pa.array(c) for c in table.T], names=list(NAMES)))
+
+    counted = docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, kind)]))
+    rows = Scratch(docs.sparkSession, "quality").keep(counted, "rows")
+    of = {n: F.col(f"`{name}`.{n}") for n in NAMES}
+    kept = ~base_failed(of) & (_fitted(rows.select(name), rules(of)) >= 0.5)
+    return rows.where(kept).drop(name)
 
 
 def pattern_table(votes: list[tuple[int, ...]]) -> list[tuple[tuple[int, ...], int]]:

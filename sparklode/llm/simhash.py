@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparklode.llm.rows import with_row, without
 from sparklode.operators.graph import connected_components
 from sparklode.sources.scratch import Scratch
 
@@ -58,16 +59,15 @@ def fingerprint(text: str | None, words: int = 4) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """(doc_id, fp): one row per input row; fp holds the 64 bits as a signed long."""
+def fingerprints(slim: DataFrame, words: int = 4) -> DataFrame:
+    """(row, doc_id, fp) of slim (row, doc_id, text); fp holds the 64 bits as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            prints = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            prints = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(prints.view(np.int64))], names=["row", "doc_id", "fp"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return slim.mapInArrow(run, "doc_id long, fp long")
+    return slim.mapInArrow(run, "row long, doc_id long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -113,7 +113,9 @@ def link_components(prints: DataFrame) -> DataFrame:
     prints: (fp, n), distinct fingerprints with the number of rows that have each.
     """
     scratch = Scratch(prints.sparkSession, "simhash")
-    prints = scratch.keep(prints, "prints")
+    # Dealt out before each fingerprint becomes many rows: read back from few files, few tasks would make them all.
+    tasks = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    prints = scratch.keep(prints, "prints").repartition(tasks, F.xxhash64("fp"))
     keyed = prints.select(
         "fp", "n", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_signed(m))) for m in key_masks()])).alias("slot", "bits")
     )
@@ -145,20 +147,30 @@ def link_components(prints: DataFrame) -> DataFrame:
     return out.unionByName(alone)
 
 
-def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id): component_id is the smallest doc_id reachable over links of at most 4 bits."""
-    scratch = Scratch(docs.sparkSession, "simhash-docs")
-    rows = scratch.keep(fingerprints(docs, id_col, text_col, words), "fingerprints")
-    prints = rows.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
+def _classes(slim: DataFrame, words: int) -> DataFrame:
+    """(row, doc_id, fp, top) of slim (row, doc_id, text): `top` is the smallest (doc_id, row) of the row's class."""
+    scratch = Scratch(slim.sparkSession, "simhash-docs")
+    rows = scratch.keep(fingerprints(slim, words), "fingerprints")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "row"))
+    prints = rows.groupBy("fp").agg(F.count("*").alias("n"), first.alias("first"))
     roots = link_components(prints.select("fp", "n"))
     placed = scratch.keep(prints.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "placed")
-    least = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = placed.join(least, "root").select("fp", "component_id")
-    return rows.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    least = placed.groupBy("root").agg(F.min("first").alias("top"))
+    by_print = placed.join(least, "root").select("fp", "top")
+    return rows.join(by_print, "fp").select("row", "doc_id", "fp", "top")
+
+
+def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
+    """(doc_id, fp, component_id), one row per input row: component_id is the smallest doc_id reachable over links of at most 4 bits.
+
+    Missing ids are passed over; a class of rows without ids has a null component_id.
+    """
+    slim = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return _classes(slim, words).select("doc_id", "fp", F.col("top.doc_id").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:
-    """The rows of `docs`, all their columns, whose id is the smallest of its near-duplicate class. Rows without an id do not stay."""
-    classes = near_duplicate_classes(docs, id_col, text_col, words)
-    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, docs[id_col] == F.col("__kept"), "left_semi")
+    """The rows of `docs`, all their columns: of each near-duplicate class one row, with the class's smallest doc_id; a missing id counts as the largest."""
+    rows, row = with_row(docs, Scratch(docs.sparkSession, "simhash-rows"))
+    slim = rows.select(F.col(row).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return without(rows, row, _classes(slim, words).where("row <> top.row"))

@@ -1,27 +1,36 @@
 """Toxicity by two class-conditional Kneser-Ney models.
 
-Words are runs of non-white-space (ASCII white space) with A-Z lower-cased. For each class, toxic and ordinary, a word
-counts as often as it follows a different word there (Kneser-Ney's continuation count, which copies of a text do not
-raise); an absolute discount frees mass for a backoff that both classes share, in which a word weighs one for each class
-that has it. A rare expression so gets nearly the shared probability in both classes. An expression's length-normalised
-log-likelihood ratio is compared over single words (the largest) and over the whole text (the mean); a logistic curve of
-the two and of the text's length gives the score.
-
-The models are fitted on at most `PER_CLASS` labelled rows of each class, those with the smallest hash of doc_id, and
-keep at most `WORDS` words seen twice or more; both bound what the driver collects and the tasks hold. The curve is
-fitted on the same rows with each row's own pairs taken out of the counts, weighted to the shares of all labelled rows.
-Rows whose crc32(doc_id as text) mod 5 is 0 are held out from both. A doc_id with several labels is toxic if any says
-so. Null and empty texts score like texts without a word; without labelled rows of both classes every score is the share
-of toxic labels, 0 if there are none. An empty table gives no rows; other columns are ignored, whatever their names.
+Words are runs of non-white-space (ASCII white space) with A-Z lower-cased; in counts each is its XXH64. For each class c,
+toxic and ordinary, the probability of a word w after the word v is
+
+    P_c(w | v) = max(n_c(v, w) - 1, 0) / N_c(v) + T_c(v) / N_c(v) * P_c(w)
+    P_c(w)     = max(n_c(w) - D, 0) / N_c + (1 - mass kept) * S(w)
+
+n_c(v, w) and n_c(w) are continuation counts: the different words that come before the pair or word in class c, so copies
+of a text don't raise them. N and T are their sums and numbers of kinds, D is `DISCOUNT`; pairs are discounted by a whole
+count, so a pair with one word before it anywhere adds nothing but backing off. S is the backoff that both classes share: a
+word weighs one for each class that has it, and all unseen words together weigh one. A rare expression so gets nearly the
+same probability in both classes. Each P_c(. | v) is a distribution.
+
+The score compares the two length-normalised log-likelihoods, of the whole text by P_c(w | v) and of its most toxic single
+word by P_c(w): a logistic curve of both differences and of the text's length.
+
+The models are fitted on at most `PER_CLASS` labelled rows of each class, those with the smallest hashes of doc_id, which
+bounds what the driver collects and the tasks hold; no word of theirs is left out. The curve is fitted on the same rows,
+each half of them scored by the models of the other half, weighted to the shares of all labelled rows. Rows whose
+crc32(doc_id as text) mod 5 is 0 are held out from both. A doc_id with several labels is toxic if any says so. Null and
+empty texts score like texts without a word; without labelled rows of both classes every score is the share of toxic
+labels, 0 if there are none. Repeated rows score alike; an empty table gives no rows; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -29,7 +38,9 @@ from pyspark.sql import functions as F
 
 from sparklode.sources.scratch import Scratch
 
-DISCOUNT, PER_CLASS, WORDS, FOLDS, RIDGE = 0.75, 6000, 200_000, 5, 1.0
+DISCOUNT, PER_CLASS, FOLDS, RIDGE = 0.75, 6000, 5, 1.0
+#: What stands before a text's first word, and a factor that makes one number of two words.
+START, MIX = 0, 0x9E3779B97F4A7C15
 
 
 def held_out(id_col: str = "doc_id", folds: int = FOLDS) -> Column:
@@ -41,50 +52,84 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().lower().split()
 
 
+def hashes_of(text: str | None) -> np.ndarray:
+    """The words of a text as XXH64."""
+    words = words_of(text)
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def before(words: np.ndarray) -> np.ndarray:
+    """The word before each word."""
+    return np.concatenate([np.array([START], np.uint64), words[:-1]])
+
+
+def pairs_of(left: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return left * np.uint64(MIX) ^ words
+
+
+class Lookup:
+    """Rows of numbers by key; zeros where the key is missing."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], np.vstack([values[order], np.zeros((1, 2))])
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        missing = self.keys[at] != keys if len(self.keys) else np.ones(len(keys), bool)
+        return self.values[np.where(missing, len(self.values) - 1, at)]
+
+
 @dataclass
 class Model:
-    """Counts (ordinary, toxic) of the kept words, by word index; totals and discounted mass of each class."""
+    """Continuation counts (ordinary, toxic): of words, of pairs, and of each left word the sum N and the kinds T."""
+
+    words: Lookup
+    pairs: Lookup
+    sums: Lookup
+    kinds: Lookup
+
+    @classmethod
+    def of(cls, words: pd.DataFrame, pairs: pd.DataFrame, lefts: pd.DataFrame) -> Model:
+        """words and pairs: key, ordinary, toxic; lefts: key, n_ordinary, n_toxic, t_ordinary, t_toxic."""
+
+        def table(frame: pd.DataFrame, *columns: str) -> Lookup:
+            return Lookup(frame["key"].to_numpy(np.int64).view(np.uint64), frame[list(columns)].to_numpy(float))
 
-    index: dict[bytes, int]
-    counts: np.ndarray
-    totals: np.ndarray
-    types: float
-    curve: np.ndarray | None = None
+        return cls(table(words, "ordinary", "toxic"), table(pairs, "ordinary", "toxic"), table(lefts, "n_ordinary", "n_toxic"), table(lefts, "t_ordinary", "t_toxic"))
 
     def __post_init__(self) -> None:
-        kept = np.maximum(self.counts - DISCOUNT, 0).sum(axis=0)
-        self.backoff = 1 - kept / np.maximum(self.totals, 1)
-        self.ratio = self.ratios(self.counts, self.totals)
-        self.unseen = float(np.log(self.backoff[1] / self.backoff[0]))
-
-    def ratios(self, counts: np.ndarray, totals: np.ndarray) -> np.ndarray:
-        """Log of toxic over ordinary probability of words with these counts, relative to an unseen word's."""
-        shared = np.maximum((counts > 0).sum(axis=1, keepdims=True), 1) / self.types
-        p = np.maximum(counts - DISCOUNT, 0) / np.maximum(totals, 1) + self.backoff * shared
-        return np.log(p[:, 1]) - np.log(p[:, 0]) - np.log(self.backoff[1] / self.backoff[0])
-
-    def features(self, words: list[bytes], own: int | None = None) -> tuple[float, float, float]:
-        """Largest and mean ratio and log length; `own` is the class whose counts hold this very text."""
-        if not words:
+        counts = self.words.values[:-1]
+        self.totals = np.maximum(counts.sum(axis=0), 1)
+        self.backoff = 1 - np.maximum(counts - DISCOUNT, 0).sum(axis=0) / self.totals
+        self.shared_total = float((counts > 0).sum()) + 1
+
+    def single(self, words: np.ndarray) -> np.ndarray:
+        """P_c(w) of each word, by class."""
+        counts = self.words(words)
+        shared = np.maximum((counts > 0).sum(axis=1, keepdims=True), 1) / self.shared_total
+        return np.maximum(counts - DISCOUNT, 0) / self.totals + self.backoff * shared
+
+    def after(self, left: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """P_c(w | v) of each word after its left word, by class."""
+        sums, kinds = self.sums(left), self.kinds(left)
+        rest = np.where(sums > 0, kinds / np.maximum(sums, 1), 1.0)
+        own = np.maximum(self.pairs(pairs_of(left, words)) - 1, 0) / np.maximum(sums, 1)
+        return np.where(sums > 0, own, 0.0) + rest * self.single(words)
+
+    def features(self, text: str | None) -> tuple[float, float, float]:
+        """Differences of length-normalised log-likelihoods, toxic less ordinary: of the most toxic word by itself, and of the
+        whole text, each word in its context; and the logarithm of the length."""
+        words = hashes_of(text)
+        if not len(words):
             return 0.0, 0.0, 0.0
-        get = self.index.get
-        at = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        known = at[at >= 0]
-        if own is None:
-            ratio = self.ratio[known]
-        else:
-            pairs = Counter(w for _, w in set(zip([b"", *words], words)))
-            kinds, place = np.unique(known, return_inverse=True)
-            counts = self.counts[kinds].copy()
-            mine = {self.index[w]: n for w, n in pairs.items() if w in self.index}
-            counts[:, own] = np.maximum(counts[:, own] - np.array([mine[k] for k in kinds.tolist()], float), 0) if len(kinds) else 0
-            totals = self.totals.copy()
-            totals[own] -= sum(pairs.values())
-            ratio = self.ratios(counts, totals)[place]
-        return float(max(ratio.max(initial=-np.inf), 0.0 if len(known) < len(at) else -np.inf)), float(ratio.sum() / len(at)), float(np.log1p(len(at)))
+        alone, whole = (np.log(p[:, 1]) - np.log(p[:, 0]) for p in (self.single(words), self.after(before(words), words)))
+        return float(alone.max()), float(whole.mean()), float(np.log1p(len(words)))
+
 
-    def score(self, words: list[bytes]) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.curve[0] + np.dot(self.curve[1:], self.features(words)), -500, 500))))
+def score(model: Model, curve: np.ndarray, text: str | None) -> float:
+    return float(1 / (1 + np.exp(-np.clip(curve[0] + np.dot(curve[1:], model.features(text)), -500, 500))))
 
 
 def logistic(features: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE, rounds: int = 40) -> np.ndarray:
@@ -101,104 +146,131 @@ def logistic(features: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: flo
     return np.concatenate([[w[0] - slopes @ mean], slopes])
 
 
+def smallest(table: DataFrame, key: Column, most: int, bits: int = 12) -> DataFrame:
+    """The `most` rows with the smallest `key`, a spread 64-bit hash, and no more than as many again, unless keys repeat.
+
+    Histograms of the key's leading bits, each of the part that the one before cuts, find the limit. They have at most
+    2^bits rows, whatever the input, and nothing of the rows themselves goes to the driver.
+    """
+    spread = key.bitwiseXOR(F.lit(-(1 << 63)))
+    inside, below = table, 0
+    for shift in range(64 - bits, -1, -bits):
+        part = F.shiftrightunsigned(spread, shift)
+        for place, n in sorted(tuple(r) for r in inside.groupBy(part.alias("part")).count().collect()):
+            if below + n >= most:
+                break
+            below += n
+        else:
+            return table
+        if n <= most or shift < bits:
+            return table.where(part <= place)
+        inside = table.where(part == place)
+    return table
+
+
 def sampled_rows(docs: DataFrame, labels: DataFrame, per_class: int) -> tuple[DataFrame, list[int]]:
-    """(text, toxic) of the labelled rows the models are fitted on, and how many labelled rows each class has."""
+    """(text, toxic, half) of the labelled rows the models are fitted on, and how many labelled rows each class has."""
     seen = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     seen = seen.where(~held_out())
     held = {r["toxic"]: r["count"] for r in seen.groupBy("toxic").count().collect()}
-    chosen = [seen.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
-    sample = docs.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("text", "toxic")
+    key = F.xxhash64("doc_id")
+    chosen = [smallest(seen.where(F.col("toxic") == k), key, per_class).orderBy(key, "doc_id").limit(per_class) for k in (0, 1)]
+    half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int").alias("half")
+    sample = docs.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("text", "toxic", half)
     return sample, [held.get(0, 0), held.get(1, 0)]
 
 
-def most_frequent(table: DataFrame, n: Column, most: int) -> DataFrame:
-    """The rows with the largest `n`, at most `most`, cut where `n` changes by a sixteenth of an octave.
-
-    A bounded histogram of n finds the cut, so that no task sends more than what is taken; rows of one n are taken or left
-    together.
-    """
-    level = F.floor(F.log2(n) * 16).cast("int")
-    held = sorted(table.groupBy(level.alias("level")).count().collect(), key=lambda r: -r["level"])
-    total, least = 0, None
-    for r in held:
-        total += r["count"]
-        if total > most:
-            break
-        least = r["level"]
-    return table.where(level >= least) if least is not None else table.limit(0)
-
-
-def continuation_counts(sample: DataFrame) -> DataFrame:
-    """(word, ordinary, toxic): different left neighbours of each word in each class."""
+def triples(sample: DataFrame) -> DataFrame:
+    """(toxic, half, a, v, w): each different run of two words before a word, as numbers, of sample (text, toxic, half)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            pairs: set[tuple[int, int, bytes]] = set()
-            for text, toxic in zip(batch.column(0), batch.column(1).to_pylist()):
-                words = words_of(text.as_py())
-                left = [0, *(xxhash.xxh64_intdigest(w) - (1 << 63) for w in words)]
-                pairs.update(zip([toxic] * len(words), left, words))
-                if len(pairs) > 300_000:
-                    yield of(pairs)
-                    pairs.clear()
-            if pairs:
-                yield of(pairs)
-
-    def of(pairs: set[tuple[int, int, bytes]]) -> pa.RecordBatch:
-        toxic, left, word = zip(*pairs)
-        return pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(left, pa.int64()), pa.array(word, pa.binary())], names=["toxic", "left", "word"])
-
-    pairs = sample.mapInArrow(run, "toxic int, left long, word binary").distinct()
-    return pairs.groupBy("word").agg(F.count_if(F.col("toxic") == 0).alias("ordinary"), F.count_if(F.col("toxic") == 1).alias("toxic"))
-
-
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, words: int = WORDS) -> Model | float:
-    """The fitted models, or the share of toxic labels where one class has none."""
+            for text, toxic, half in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                words = hashes_of(text.as_py())
+                if len(words):
+                    left = before(words)
+                    runs = np.unique(np.column_stack([before(left), left, words]), axis=0).view(np.int64)
+                    same = [pa.array(np.full(len(runs), x, np.int32)) for x in (toxic, half)]
+                    yield pa.RecordBatch.from_arrays([*same, *(pa.array(np.ascontiguousarray(c)) for c in runs.T)], names=["toxic", "half", "a", "v", "w"])
+
+    return sample.mapInArrow(run, "toxic int, half int, a long, v long, w long")
+
+
+#: Which rows a set of counts is taken from: all, or one half.
+TAKEN = ("all", "half0", "half1")
+
+
+def _taken(name: str) -> Column:
+    return F.lit(True) if name == "all" else F.col("in" + name[-1])
+
+
+def continuation_counts(sample: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Word counts (key, and by set and class) and pair counts (v, w, and by set and class) of the sample."""
+    where = [F.max(F.col("half") == k).alias(f"in{k}") for k in (0, 1)]
+    runs = scratch.keep(triples(sample).groupBy("toxic", "a", "v", "w").agg(*where), "runs")
+    classes = (("ordinary", 0), ("toxic", 1))
+    each = [F.count_if((F.col("toxic") == k) & _taken(t)).alias(f"{t}_{name}") for t in TAKEN for name, k in classes]
+    pairs = scratch.keep(runs.groupBy("v", "w").agg(*each), "pairs")
+    lefts = runs.groupBy("toxic", "v", "w").agg(*[F.max(f"in{k}").alias(f"in{k}") for k in (0, 1)])
+    return lefts.groupBy(F.col("w").alias("key")).agg(*each), pairs
+
+
+def models(sample: DataFrame, scratch: Scratch) -> dict[str, Model]:
+    """The models of all sampled rows and of each half."""
+    words, pairs = continuation_counts(sample, scratch)
+    words = words.toPandas()
+    names = [f"{t}_{c}" for t in TAKEN for c in ("ordinary", "toxic")]
+    sums = [F.sum(n).alias(f"n_{n}") for n in names] + [F.count_if(F.col(n) > 0).alias(f"t_{n}") for n in names]
+    # A left word whose pairs all have one word before them, in both classes, only backs off, and so does such a pair.
+    seen_twice = F.greatest(*names) > 1
+    lefts = pairs.groupBy(F.col("v").alias("key")).agg(F.max(seen_twice).alias("told"), *sums).where("told").toPandas()
+    twice = pairs.where(seen_twice).toPandas()
+    twice["key"] = pairs_of(twice["v"].to_numpy(np.int64).view(np.uint64), twice["w"].to_numpy(np.int64).view(np.uint64)).view(np.int64)
+    out = {}
+    for t in TAKEN:
+        plain = {f"{t}_{c}": c for c in ("ordinary", "toxic")}
+        left = {f"{k}_{t}_{c}": f"{k}_{c}" for k in "nt" for c in ("ordinary", "toxic")}
+        out[t] = Model.of(words.rename(columns=plain), twice.rename(columns=plain), lefts.rename(columns=left))
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[Model, np.ndarray] | float:
+    """The model of all sampled rows and the curve, or the share of toxic labels where one class has none."""
     scratch = Scratch(docs.sparkSession, "toxicity")
     sample, held = sampled_rows(docs, labels, per_class)
     if not all(held):
         return held[1] / max(1, sum(held))
     sample = scratch.keep(sample, "sample")
-    counts = scratch.keep(continuation_counts(sample), "counts")
-    sums = counts.agg(F.sum("ordinary"), F.sum("toxic"), F.count_if(F.col("ordinary") > 0), F.count_if(F.col("toxic") > 0)).first()
-    if not (sums[0] and sums[1]):
-        return held[1] / sum(held)
-    kept = most_frequent(counts.where("ordinary + toxic >= 2"), F.col("ordinary") + F.col("toxic"), words).toPandas()
-    model = Model(
-        {bytes(w): k for k, w in enumerate(kept["word"])},
-        kept[["ordinary", "toxic"]].to_numpy(float).reshape(-1, 2),
-        np.array([sums[0], sums[1]], float),
-        float(sums[2] + sums[3]),
-    )
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def own_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    fitted = models(sample, scratch)
+    shared = docs.sparkSession.sparkContext.broadcast((fitted["half0"], fitted["half1"]))
+
+    def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(y, *shared.value.features(words_of(t.as_py()), y)) for t, y in zip(batch.column(0), batch.column(1).to_pylist())]
+            rows = [(y, *shared.value[1 - half].features(t.as_py())) for t, y, half in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in zip(*rows)], names=["y", "a", "b", "c"])
 
-    seen = sample.mapInArrow(own_features, "y double, a double, b double, c double").toPandas().to_numpy(float)
+    seen = sample.mapInArrow(crossed, "y double, a double, b double, c double").toPandas().to_numpy(float)
+    shared.unpersist()
     y = seen[:, 0]
     have = np.array([(y == 0).sum(), (y == 1).sum()])
     if not have.all():
         return held[1] / sum(held)
     weight = np.where(y == 1, held[1] / have[1], held[0] / have[0]) * len(y) / sum(held)
-    model.curve = logistic(seen[:, 1:], y, weight)
-    return model
+    return fitted["all"], logistic(seen[:, 1:], y, weight)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS, words: int = WORDS) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", per_class: int = PER_CLASS) -> DataFrame:
     """(doc_id, held_out, score, predicted), one row per input row."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    model = fit(slim, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), per_class, words)
-    if isinstance(model, float):
-        scored = slim.select("doc_id", F.lit(model).alias("score"))
+    fitted = fit(slim, labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic"), per_class)
+    if isinstance(fitted, float):
+        scored = slim.select("doc_id", F.lit(fitted).alias("score"))
     else:
-        shared = docs.sparkSession.sparkContext.broadcast(model)
+        shared = docs.sparkSession.sparkContext.broadcast(fitted)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                scores = [shared.value.score(words_of(t.as_py())) for t in batch.column(1)]
+                scores = [score(*shared.value, t.as_py()) for t in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
         scored = slim.mapInArrow(run, "doc_id long, score double")

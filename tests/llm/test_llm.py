@@ -89,6 +89,28 @@ def test_lines(spark, odd, none):
     assert linededup.drop_repeated_lines(odd).count() == len(ODD) + 1 and linededup.drop_repeated_lines(none).count() == 0
 
 
+def test_line_runs(spark):
+    """Runs share no key, merges keep every key, and a key's holder is the one that came first."""
+    rng = random.Random(8)
+    scratch = linededup.Scratch(spark, "test")
+    runs = linededup.SortedRuns(scratch)
+    seen = defaultdict(list)
+    for batch in range(5):
+        rows = [(100 - 10 * batch - d, rng.randint(1, 30), 0) for d in range(10) for _ in range(4)]
+        rows = list(dict.fromkeys(rows))
+        for d, h, _ in rows:
+            seen[h].append(d)
+        runs.add(spark.createDataFrame(rows, "doc_id long, h1 long, h2 long"))
+        held = [r["h1"] for t in runs.tables() for r in t.collect()]
+        assert len(held) == len(set(held)) and set(held) == set(seen)
+    assert len(runs.levels) == 3 and len(runs.tables()) == 2
+    for least in (1, 3, 6):
+        assert {r["h1"]: r["holder"] for r in runs.repeated(least).collect()} == {h: max(d) for h, d in seen.items() if len(d) >= least}
+    merge = runs.merged([n for level in runs.levels for n in level])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in merge
+    runs.close()
+
+
 def test_packing(spark, small, odd, none):
     from tokenizers import Tokenizer
 
@@ -200,22 +222,71 @@ def test_quality(spark, small, odd, none):
         assert (r["n_words"], r["word_chars"], r["n_symbols"]) == (len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text))
         assert (r["n_dup_lines"], r["n_repeat_words"]) == (len(lines) - len(set(lines)), len(covered))
         assert r["base_failed"] == (len(w) < 10 or 100 * len(covered) > 20 * len(w)) and not (r["kept"] and r["base_failed"])
+    again = spark.createDataFrame([(1, "short", 1), (1, "plain words of a good text " * 9 + "and more", 2), (None, "other words of a good text so far, one two three four five six seven", 3)], "doc_id long, text string, counts int")
+    assert [quality.keep_good(d).columns for d in (again, odd, none)] == [again.columns, odd.columns, odd.columns] and quality.keep_good(none).count() == 0
+    assert [(r["doc_id"], r["counts"]) for r in quality.keep_good(again).collect()] == [(None, 3)]
     labels = load(spark, MIDDLE, "labels").join(queries.op5_quality_rules(spark, MIDDLE).drop("quality"), "doc_id").where("not base_failed")
     good, bad = (labels.where(f"quality = {q}").agg(F.avg(F.col("kept").cast("int"))).first()[0] for q in (1, 0))
     assert good > 0.98 and bad < 0.2
     assert quality.judged(odd).count() == len(ODD) + 1 and quality.judged(none).count() == 0
 
 
+def test_latent_classes():
+    """Expectation-maximisation and the posterior against plain loops."""
+    rng = random.Random(12)
+    patterns = list(Counter(tuple(rng.choice((-1, 0, 1, 1, 1)) for _ in range(3)) for _ in range(400)).items())
+    start = quality.LatentClasses.start(3)
+    shares, bad = start.shares.tolist(), start.bad.tolist()
+
+    def belongs(votes):
+        each = []
+        for c in range(4):
+            p = shares[c]
+            for r, v in enumerate(votes):
+                p *= bad[c][r] if v < 0 else 1 - bad[c][r] if v > 0 else 1
+            each.append(p)
+        return [p / sum(each) for p in each]
+
+    for _ in range(4):
+        size, down, cast = [0.0] * 4, [[0.0] * 3 for _ in range(4)], [[0.0] * 3 for _ in range(4)]
+        for votes, n in patterns:
+            for c, p in enumerate(belongs(votes)):
+                size[c] += n * p
+                for r, v in enumerate(votes):
+                    down[c][r] += n * p * (v < 0)
+                    cast[c][r] += n * p * (v != 0)
+        k = quality.PSEUDO_VOTES
+        shares = [(size[c] + k * start.shares[c]) / (400 + k) for c in range(4)]
+        bad = [[(down[c][r] + k * start.bad[c, r]) / (cast[c][r] + k) for r in range(3)] for c in range(4)]
+    model = quality.estimate(patterns, 3, 4)
+    assert model.shares == pytest.approx(shares) and model.bad == pytest.approx(np.array(bad))
+    votes = np.array([p for p, _ in patterns])
+    assert model.belongs(votes)[:, 0] == pytest.approx([belongs(v)[0] for v in votes.tolist()])
+
+
+def test_posterior_by_pattern(spark):
+    model = quality.estimate([((1, 1, -1), 30), ((1, 1, 1), 300), ((-1, 0, 1), 20)], 3)
+    every = list(itertools.product((-1, 0, 1), repeat=3))
+    table = spark.createDataFrame(every, "a int, b int, c int")
+    got = {(r["a"], r["b"], r["c"]): r["p"] for r in table.withColumn("p", quality.posterior(model, [F.col("a"), F.col("b"), F.col("c")])).collect()}
+    assert [got[v] for v in every] == pytest.approx(model.belongs(np.array(every))[:, 0].tolist())
+
+
 def test_exact(spark, odd, none):
-    rows = exact.duplicate_groups(odd, capacity=1, max_depth=4).collect()
+    rows = exact.duplicate_groups(odd, capacity=1).collect()
     groups = defaultdict(list)
     for k, t in [*enumerate(ODD), (3, ODD[3])]:
         groups[lower(t)].append(k)
-    want = sorted((k, max(g), len(g), k == max(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for k in g)
-    assert sorted(map(tuple, rows)) == want
+    want = sorted((k, max(g), len(g), hashlib.sha256(t.encode()).hexdigest()) for t, g in groups.items() for k in g)
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in rows) == want
+    assert Counter(r["text_sha256"] for r in rows if r["kept"]) == Counter({hashlib.sha256(t.encode()).hexdigest(): 1 for t in groups}) and all(r["doc_id"] == r["keep_id"] for r in rows if r["kept"])
+    # Ids that repeat or are missing: one row of each text stays.
+    some = spark.createDataFrame([(5, "a", 1), (5, "b", 2), (7, "A", 3), (None, "c", 4), (None, "c", 5), (7, "A", 6), (None, "b", 7)], "doc_id long, text string, row int")
+    kept = exact.keep_largest(some)
+    assert kept.columns == some.columns and sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, "c"), (5, "b"), (7, "A")]
     assert exact.duplicate_groups(none).count() == 0 and exact.keep_largest(odd).columns == odd.columns
     keys = spark.range(1000).select(F.xxhash64("id").alias("h"))
-    dirs = {r["prefix"]: (r["depth"], r["bits"]) for r in exact.directory(keys, 50, 8).collect()}
+    dirs = {r["prefix"]: (r["depth"], r["bits"]) for r in exact.directory(keys, 50, 3, 5).collect()}
     held = Counter(dirs[r["h"] & 255] for r in keys.collect())
     assert max(held.values()) <= 50 and all(bits == prefix & ((1 << depth) - 1) for prefix, (depth, bits) in dirs.items())
 
@@ -228,7 +299,7 @@ def test_licences(spark, odd, none):
     lost = spark.createDataFrame([(None, "Released under the MIT License."), (1, None), (1, None)], "doc_id long, text string")
     assert sorted(r["n_matches"] for r in licences.licences_by_document(lost).collect()) == [0, 0, 1]
     units = {(r["kind"], r["number"]) for r in licences.licence_matches(spark.createDataFrame([(1, "x\n\nReleased under\nthe MIT License.\n\nReleased under the MIT License.")], "doc_id long, text string")).collect()}
-    assert units == {("block", 1), ("line", 5)}
+    assert units == {("block", 1), ("line", 5), ("text", 0)}
     assert licences.licences_by_document(odd).count() == len(ODD) + 1 and licences.licences_by_document(none).count() == 0
 
 
@@ -265,6 +336,22 @@ def test_simhash(spark, small, odd, none):
     rows = queries.op8_simhash_near_dedup(spark, SMALL).collect()
     prints = {r["doc_id"]: int(r["fingerprint"], 16) for r in rows}
     assert prints == {k: slow_print(t) for k, t in small.items()}
+    ids = sorted(prints)
+    root = {k: k for k in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(ids, 2):
+        if (prints[a] ^ prints[b]).bit_count() <= 4:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    assert {r["doc_id"]: r["component_id"] for r in rows} == {k: find(k) for k in ids}
+    lost = spark.createDataFrame([(None, "same text", 1), (None, "same text", 2), (4, "same text", 3), (4, "same text", 4), (None, "b c d e f g h", 5)], "doc_id long, text string, row int")
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in simhash.keep_one_of_each(lost).collect()) == [(0, "b c d e f g h"), (4, "same text")]
+    assert simhash.keep_one_of_each(lost).columns == lost.columns and simhash.keep_one_of_each(none).count() == 0
     assert simhash.near_duplicate_classes(odd).count() == len(ODD) + 1 and simhash.near_duplicate_classes(none).count() == 0
 
 
@@ -332,6 +419,49 @@ def test_viterbi_equals_all_cuts():
         assert sum(by_id[i] for i in ids) == pytest.approx(max(sum(scores[p] for p in c) for c in cuts if all(p in scores for p in c)))
 
 
+def test_kneser_ney(spark):
+    """Counts and probabilities of both classes against plain ones, and their sums."""
+    rng = random.Random(3)
+    rows = [(" ".join(rng.choices("abcdef", k=rng.randint(0, 12))), toxic, half) for toxic in (0, 1) for half in (0, 1) for _ in range(6)]
+    sample = spark.createDataFrame(rows, "text string, toxic int, half int")
+    fitted = toxicity.models(sample, exact.Scratch(spark, "test"))
+    vocabulary = [*"abcdef", "unseen"]
+    number = toxicity.hashes_of(" ".join(vocabulary))
+    for name, halves in (("all", {0, 1}), ("half0", {0}), ("half1", {1})):
+        runs = [{(a, v, w) for text, y, half in rows if y == c and half in halves for a, v, w in zip(["", "", *text.split()], ["", *text.split()], text.split())} for c in (0, 1)]
+        pair = [Counter((v, w) for _, v, w in r) for r in runs]
+        single = [Counter(w for _, w in p) for p in pair]
+        kinds = {w: max(1, sum(w in s for s in single)) for w in vocabulary}
+        total = sum(len(s) for s in single) + 1
+        model = fitted[name]
+        for c in (0, 1):
+            n = sum(single[c].values())
+            free = 1 - sum(max(x - 0.75, 0) for x in single[c].values()) / n
+            low = {w: max(single[c][w] - 0.75, 0) / n + free * kinds[w] / total for w in vocabulary}
+            assert model.single(number)[:, c] == pytest.approx([low[w] for w in vocabulary])
+            seen = [w for w in vocabulary if any(w in s for s in single)]
+            assert sum(low[w] for w in seen) + low["unseen"] == pytest.approx(1)
+            for v in ["", *vocabulary]:
+                after = {w: pair[c][v, w] for w in vocabulary if pair[c][v, w]}
+                told = any(pair[k][v, w] > 1 for w in vocabulary for k in (0, 1)) or name != "all"
+                want = [(max(after.get(w, 0) - 1, 0) + len(after) * low[w]) / sum(after.values()) if after else low[w] for w in vocabulary]
+                left = toxicity.hashes_of(v) if v else np.array([toxicity.START], np.uint64)
+                got = model.after(np.repeat(left, len(vocabulary)), number)[:, c]
+                assert not told or got == pytest.approx(want)
+    assert toxicity.fit(sample.select("text", F.monotonically_increasing_id().alias("doc_id")).where("false"), spark.createDataFrame([(1, 1)], "doc_id long, toxic int")) in (0.0, 1.0)
+
+
+def test_smallest(spark):
+    keys = spark.range(5000).select(F.xxhash64("id").alias("h"))
+    for most in (1, 10, 700, 6000):
+        got, want = sorted(r[0] for r in toxicity.smallest(keys, F.col("h"), most).collect()), sorted(r[0] for r in keys.collect())
+        assert got == want[: len(got)] and min(most, 5000) <= len(got) <= 2 * most
+    table = spark.createDataFrame([(f"w{k}", k % 3 + 1) for k in range(900)], "word string, n long")
+    for most in (10, 300, 500, 2000):
+        got = hmm.most_frequent(table, most).collect()
+        assert 0.7 * min(most, 900) - 5 <= len(got) <= most and (len(got) >= 300 or {r["n"] for r in got} <= {3})
+
+
 def test_toxicity(spark, odd, none):
     rows = queries.op10_toxicity(spark, "/root/testdata/sf0.1")
     seen = rows.join(load(spark, "/root/testdata/sf0.1", "labels"), "doc_id").where("held_out").select("score", "toxic", "predicted").toPandas()
@@ -372,3 +502,20 @@ def test_pipeline(spark):
         docs = stage(spark, docs, SMALL)
         assert docs.columns == load(spark, SMALL, "documents").columns
     assert all(not base_secrets(r["text"]) for r in docs.collect())
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, none):
+    """Every stage takes missing and repeated ids, clashing columns, empty tables and a text of over a megabyte."""
+    import corpus_pipeline as p
+
+    long = " ".join(f"word{k} of{k % 977}" for k in range(90_000))
+    more = spark.createDataFrame([(None, long, "x", 1), (3, long, "y", 2), (None, None, None, None)], odd.schema)
+    docs = odd.unionByName(more).withColumn("__kept", F.lit(1)).withColumn("row", F.lit(2)).withColumn("counts", F.lit("c"))
+    for _, stage in p.STAGES[:-1]:
+        out = stage(spark, docs, SMALL)
+        assert out.columns == docs.columns and out.count() <= docs.count()
+        assert stage(spark, docs.limit(0), SMALL).count() == 0
+    kept = p.exact_dedup(spark, p.quality_rules(spark, docs, SMALL), SMALL)
+    assert [r["doc_id"] for r in kept.where("length(text) > 1000000").collect()] == [3]
+    pieces_of = p.best_fit_packing(spark, docs, SMALL)
+    assert pieces_of.where("piece = 0").count() == docs.count() and p.best_fit_packing(spark, docs.limit(0), SMALL).count() == 0
