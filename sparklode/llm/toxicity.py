@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from sparklode.sources.scratch import Scratch
 
-DISCOUNT, PER_CLASS, FOLDS, RIDGE = 0.75, 6000, 5, 1.0
+DISCOUNT, PER_CLASS, FOLDS, RIDGE = 0.75, 4000, 5, 1.0
 #: What stands before a text's first word, and a factor that makes one number of two words.
 START, MIX = 0, 0x9E3779B97F4A7C15
 
@@ -118,18 +118,38 @@ class Model:
         own = np.maximum(self.pairs(pairs_of(left, words)) - 1, 0) / np.maximum(sums, 1)
         return np.where(sums > 0, own, 0.0) + rest * self.single(words)
 
-    def features(self, text: str | None) -> tuple[float, float, float]:
-        """Differences of length-normalised log-likelihoods, toxic less ordinary: of the most toxic word by itself, and of the
-        whole text, each word in its context; and the logarithm of the length."""
-        words = hashes_of(text)
-        if not len(words):
-            return 0.0, 0.0, 0.0
-        alone, whole = (np.log(p[:, 1]) - np.log(p[:, 0]) for p in (self.single(words), self.after(before(words), words)))
-        return float(alone.max()), float(whole.mean()), float(np.log1p(len(words)))
-
-
-def score(model: Model, curve: np.ndarray, text: str | None) -> float:
-    return float(1 / (1 + np.exp(-np.clip(curve[0] + np.dot(curve[1:], model.features(text)), -500, 500))))
+    def features(self, texts: list[str | None]) -> np.ndarray:
+        """For each text the differences of length-normalised log-likelihoods, toxic less ordinary: of the most toxic word by
+        itself, and of the whole text, each word in its context; and the logarithm of the length. The texts go together."""
+        split = [hashes_of(t) for t in texts]
+        sizes = np.array([len(w) for w in split], np.int64)
+        out = np.zeros((len(texts), 3))
+        some = np.nonzero(sizes)[0]
+        if len(some):
+            words = np.concatenate([split[k] for k in some])
+            left = np.concatenate([before(split[k]) for k in some])
+            alone, whole = (np.log(p[:, 1]) - np.log(p[:, 0]) for p in (self.single(words), self.after(left, words)))
+            starts = np.cumsum(sizes[some]) - sizes[some]
+            out[some] = np.column_stack([np.maximum.reduceat(alone, starts), np.add.reduceat(whole, starts) / sizes[some], np.log1p(sizes[some])])
+        return out
+
+
+def together(texts: list[str | None], characters: int = 200_000) -> Iterator[list[str | None]]:
+    """The texts in order, in lists of about so many characters, so that a task holds the words of few of them at a time."""
+    part, held = [], 0
+    for text in texts:
+        part.append(text)
+        held += len(text or "")
+        if held >= characters:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
+def scores(model: Model, curve: np.ndarray, texts: list[str | None]) -> np.ndarray:
+    rows = [model.features(part) for part in together(texts)]
+    return 1 / (1 + np.exp(-np.clip(curve[0] + np.concatenate(rows) @ curve[1:], -500, 500))) if rows else np.zeros(0)
 
 
 def logistic(features: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE, rounds: int = 40) -> np.ndarray:
@@ -246,8 +266,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple
 
     def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(y, *shared.value[1 - half].features(t.as_py())) for t, y, half in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in zip(*rows)], names=["y", "a", "b", "c"])
+            texts, y, halves = (c.to_pylist() for c in batch.columns)
+            for half in (0, 1):
+                mine = [k for k, h in enumerate(halves) if h == half]
+                for part in together(mine and [texts[k] for k in mine]):
+                    done, mine = mine[: len(part)], mine[len(part) :]
+                    rows = shared.value[1 - half].features(part).T
+                    yield pa.RecordBatch.from_arrays([pa.array([float(y[k]) for k in done]), *(pa.array(c) for c in rows)], names=["y", "a", "b", "c"])
 
     seen = sample.mapInArrow(crossed, "y double, a double, b double, c double").toPandas().to_numpy(float)
     shared.unpersist()
@@ -270,8 +295,8 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                scores = [score(*shared.value, t.as_py()) for t in batch.column(1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+                found = scores(*shared.value, batch.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "score"])
 
         scored = slim.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
