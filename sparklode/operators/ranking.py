@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparklode.sources.scratch import Scratch
+
 Order = Sequence[Column]
 
 
@@ -25,15 +27,17 @@ def top_k_per_group(df: DataFrame, keys: Sequence[str], order: Order, k: int) ->
 def places(df: DataFrame, order: Order, board: Sequence[str] = ()) -> DataFrame:
     """Ordinal places 1, 2, ... within each board.
 
-    Places over a whole large table are counted in two steps: rows are range-partitioned and numbered within their
-    partition, and the partitions' sizes (one row each) give the offsets; no single task sees all rows.
+    Places over a whole large table are counted in two steps: rows are range-partitioned, sorted and numbered within their
+    partition, and written with both numbers, so that they are dealt out once; the partitions' sizes (one row each) then
+    give the offsets. No single task sees all rows.
     """
     if board:
         return df.withColumn("place", F.row_number().over(W.partitionBy(*board).orderBy(*order)))
-    part = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    numbered = part.withColumn("__in", F.row_number().over(W.partitionBy("__part").orderBy(*order)))
-    sizes = part.groupBy("__part").count()
-    before = F.coalesce(F.sum("count").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__in": inside + 1})
+    numbered = Scratch(df.sparkSession, "places").keep(dealt, "numbered")
+    sizes = numbered.groupBy("__part").agg(F.max("__in").alias("size"))
+    before = F.coalesce(F.sum("size").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     offsets = sizes.select("__part", before.alias("__before"))
     return numbered.join(F.broadcast(offsets), "__part").withColumn("place", F.col("__in") + F.col("__before")).drop("__part", "__in", "__before")
 

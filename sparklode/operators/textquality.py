@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparklode.functions import text as T
+from sparklode.sources.scratch import Scratch
 
 #: Detector name -> rule over a text column; each is a plain boolean expression, so all run in one pass.
 FLAGS = {
@@ -91,21 +92,29 @@ def document_frequency(df: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def ngrams(words: Column, n: int) -> Column:
-    """Word n-grams joined by spaces; none in texts of fewer words."""
+    """Word n-grams joined by spaces; none in texts of fewer words. `words` should be a column: an expression would be worked out for every gram."""
     last = F.size(words) - n + 1
     return F.when(last < 1, F.array().cast("array<string>")).otherwise(
         F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
     )
 
 
+def exploded_grams(df: DataFrame, id_col: str, text: str, n: int) -> DataFrame:
+    """(id, gram): the different n-grams of each text. The explosion is an outer one, for from an inner one the optimiser infers
+    a filter on the array, and would make tokens and grams once more below."""
+    words = df.select(id_col, T.tokens(F.col(text)).alias("words"))
+    return words.select(id_col, F.explode_outer(F.array_distinct(ngrams(F.col("words"), n))).alias("gram"))
+
+
 def contaminated(df: DataFrame, id_col: str, text: str, benchmark: DataFrame, item_id: str, item_text: str, n: int = 8) -> DataFrame:
     """(id, item, shared): documents that share word n-grams with a benchmark item.
 
-    The benchmark side is small and checked by the planner, not forced to be broadcast; grams are distinct on both sides.
+    The benchmark's grams are written first: then the planner knows their size, and if they are small enough broadcasts
+    them, so that only grams in common are shuffled; if not, both sides are shuffled by gram.
     """
-    left = df.select(id_col, F.explode(F.array_distinct(ngrams(T.tokens(F.col(text)), n))).alias("gram"))
-    right = benchmark.select(item_id, F.explode(F.array_distinct(ngrams(T.tokens(F.col(item_text)), n))).alias("gram"))
-    return left.join(right, "gram").groupBy(id_col, item_id).agg(F.count("*").alias("shared"))
+    right = Scratch(df.sparkSession, "grams").keep(exploded_grams(benchmark, item_id, item_text, n), "benchmark")
+    shared = exploded_grams(df, id_col, text, n).join(right, "gram")
+    return shared.groupBy(id_col, item_id).agg(F.count("*").alias("shared"))
 
 
 def html_text(html: Column) -> Column:

@@ -11,6 +11,7 @@ from sparklode.operators.graph import connected_components
 from sparklode.plans.registry import Registry
 from sparklode.plans.texts import TOKENS, numbers_sql, tri_sql
 from sparklode.sources import load
+from sparklode.sources.scratch import Scratch
 
 register = Registry()
 
@@ -278,10 +279,17 @@ cov as (select *, row_number() over (partition by query_id order by score desc,
 
 
 def _lexical(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rows = docs(spark, sf_dir)
-    lengths = rows.select(F.col("doc_id").alias("id"), F.size(T.tokens(F.col("text"))).alias("length"))
-    terms = search.query_terms(load(spark, sf_dir, "benchmark"), "item_id", F.col("text"))
-    return search.postings(rows, "doc_id", F.col("text")), lengths, terms
+    """The index, the documents' lengths and the queries' terms. Texts are tokenised once and the index is written once, whatever reads it."""
+    return _indexed(spark, docs(spark, sf_dir), search.query_terms(load(spark, sf_dir, "benchmark"), "item_id", F.col("text")))
+
+
+def _indexed(spark: SparkSession, rows: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    scratch = Scratch(spark, "lexical")
+    counted = rows.select(F.col("doc_id").alias("id"), T.tokens(F.col("text")).alias("w")).select("id", F.size("w").alias("length"), "w")
+    words = scratch.keep(counted, "words")
+    terms = scratch.keep(terms, "terms")
+    wanted = search.postings_of(words).join(terms.select("term").distinct(), "term", "left_semi")
+    return scratch.keep(wanted.select("id", "length", "term", "tf"), "postings"), words.select("id", "length"), terms
 
 
 @register(f"with {BM25} select query_id, id, score, rank from bm where rank <= 20")
@@ -355,13 +363,80 @@ def phrase_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""
-with t as (select doc_id as id, unnest(list_distinct({TOKENS})) as phrase from documents where doc_id % 5 = 0), d as (select phrase, count(*) as df from t group by 1), c as (select phrase, df from d order by df desc, phrase limit 15),
+with t as (select doc_id as id, unnest(list_distinct({TOKENS})) as phrase from documents), d as (select phrase, count(*) as df from t group by 1), c as (select phrase, df from d order by df desc, phrase limit 15),
 r as (select id, phrase, row_number() over (partition by id order by df, phrase) as place from t join d using (phrase)), k as (select * from r where place <= 40), h as (select id, count(*) as n from k group by 1 having count(*) < 15),
 x as (select h.id, c.phrase, n + row_number() over (partition by h.id order by df desc, c.phrase) as place from h, c where not exists (select 1 from k where k.id = h.id and k.phrase = c.phrase))
 select id, phrase, place from k union all select id, phrase, place from x where place <= 15
 """)
 def rare_first_shortlist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The forty rarest words of a text; short texts get common ones up to fifteen. Every fifth document is a query."""
-    rows = docs(spark, sf_dir).where("doc_id % 5 = 0")
-    found = rows.select(F.col("doc_id").alias("id"), F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("phrase"))
+    """The forty rarest words of every text; short texts get common ones up to fifteen."""
+    words = docs(spark, sf_dir).select(F.col("doc_id").alias("id"), T.tokens(F.col("text")).alias("w"))
+    found = Scratch(spark, "shortlist").keep(words.select("id", F.explode_outer(F.array_distinct("w")).alias("phrase")).where("phrase is not null"), "found")
     return search.rare_first(found, found.groupBy("phrase").agg(F.count("*").alias("df")), 40, 15)
+
+
+#: Every hundredth document is a query: its words are the lexical leg's terms, its vector the dense leg's; an item is never its own answer.
+HYBRID = f"""
+{UNIT},
+w as (select doc_id as id, {TOKENS} as w from documents), l as (select id, len(w) as length, w from w), p as (select id, length, unnest(w) as term from l), tf as (select id, length, term, count(*) as tf from p group by all),
+qt as (select id as query_id, unnest(list_distinct(list_filter(w, lambda x: length(x) >= 7))) as term from w where id % 100 = 0),
+cov as (select *, row_number() over (partition by query_id order by score desc, id) as rank from (select query_id, id, count(*) as score from qt join tf using (term) where id <> query_id group by all)),
+hy as (select query_id, id, a.rank as ra, b.rank as rb, round(coalesce(1 / (60 + a.rank), 0) + coalesce(1 / (60 + b.rank), 0), 12)::double as score, case when a.rank is not null and b.rank is not null then 'both' when a.rank is not null then 'first' else 'second' end as legs
+ from (select * from top where rank <= 50) a full join (select * from cov where rank <= 50) b using (query_id, id)),
+hr as (select *, row_number() over (partition by query_id order by score desc, id) as rank from hy)
+"""
+
+
+def _hybrid(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The fused list of a dense and a lexical leg, the number of terms each query and document share, and each query's number of terms."""
+    rows, scratch = docs(spark, sf_dir), Scratch(spark, "hybrid")
+    asked = rows.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), T.tokens(F.col("text")).alias("w"))
+    terms = asked.select("query_id", F.explode_outer(F.array_distinct(F.filter("w", lambda x: F.length(x) >= 7))).alias("term")).where("term is not null")
+    index, _, terms = _indexed(spark, rows, terms)
+    shared = scratch.keep(terms.join(index.select("id", "term"), "term").where("id <> query_id").groupBy("query_id", "id").agg(F.count("*").alias("score")), "shared")
+    dense = _search(spark, sf_dir, 50)
+    fused = search.fused(dense, search.top(shared, 50), 20)
+    return fused, shared, terms.groupBy("query_id").agg(F.count("*").alias("terms"))
+
+
+@register(f"with {HYBRID} select query_id, id, round(score, 9) as score, case legs when 'first' then 'dense' when 'second' then 'lexical' else legs end as legs, rank from hr where rank <= 20")
+def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reciprocal-rank fusion of nearest vectors and shared words."""
+    legs = F.when(F.col("legs") == "first", "dense").when(F.col("legs") == "second", "lexical").otherwise(F.col("legs"))
+    return _hybrid(spark, sf_dir)[0].select("query_id", "id", F.round("score", 9).alias("score"), legs.alias("legs"), "rank")
+
+
+@register(f"""
+with {HYBRID}, nt as (select query_id, count(*) as terms from qt group by 1),
+x as (select hr.query_id, hr.id, legs, coalesce(terms, 0) as terms, coalesce(cov.score, 0) as hit, similarity from hr left join nt using (query_id) left join cov on cov.query_id = hr.query_id and cov.id = hr.id
+ left join sims on sims.query_id = hr.query_id and sims.id = hr.id where hr.rank <= 20)
+select query_id, id, case when legs = 'both' or hit = terms or coalesce(similarity >= 0.75, false) then 'exact' when coalesce(similarity >= 0.55, false) or 2 * hit >= terms then 'close' else 'far' end as confidence from x
+""")
+def hybrid_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How sure each answer of the fused list is, by its legs, the terms it holds and its cosine with the query."""
+    fused, shared, terms = _hybrid(spark, sf_dir)
+    rows = embeddings(spark, sf_dir)
+    near = vectors.block_search(rows, rows.where("vec_id % 100 = 0"), "vec_id", "embedding", least=0.55)
+    joined = fused.drop("score").join(terms, "query_id", "left").join(shared.withColumnRenamed("score", "hit"), ["query_id", "id"], "left").join(near, ["query_id", "id"], "left")
+    label = search.confidence(F.col("legs"), F.coalesce("hit", F.lit(0)), F.coalesce("terms", F.lit(0)), F.col("similarity"))
+    return joined.select("query_id", "id", label.alias("confidence"))
+
+
+@register(f"""
+with {UNIT}, c as (select query_id, id, similarity, x.text as x, y.text as y from sims join documents x on x.doc_id = query_id join documents y on y.doc_id = id where similarity >= 0.3),
+t as (select *, {tri_sql("x")} as tx, {tri_sql("y")} as ty from c)
+select query_id, id, similarity >= 0.98 as near, list_sort({numbers_sql("x")}) = list_sort({numbers_sql("y")}) as same_numbers, len(list_intersect(tx, ty)) / (len(tx) + len(ty) - len(list_intersect(tx, ty)))::double >= 0.8 as same_trigrams from t
+""")
+def near_dup_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every hundredth document against all, by cosine, and the three gates that make a pair near duplicates, on whole texts."""
+    rows = embeddings(spark, sf_dir)
+    near = vectors.block_search(rows, rows.where("vec_id % 100 = 0"), "vec_id", "embedding", least=0.3)
+    near = Scratch(spark, "near").keep(near, "pairs")
+    wanted = near.select(F.col("id").alias("doc_id")).unionByName(near.select(F.col("query_id").alias("doc_id"))).distinct()
+    texts = docs(spark, sf_dir).join(wanted, "doc_id", "left_semi")
+    marked = texts.select("doc_id", T.numbers(F.col("text")).alias("numbers"), T.trigrams(F.col("text")).alias("tri"))
+    x, y = (marked.select(F.col("doc_id").alias(k), F.array_sort("numbers").alias(f"n{k}"), F.col("tri").alias(f"t{k}")) for k in ("query_id", "id"))
+    pairs = near.join(x, "query_id").join(y, "id")
+    both = F.size(F.array_intersect("tquery_id", "tid"))
+    jaccard = both / (F.size("tquery_id") + F.size("tid") - both)
+    return pairs.select("query_id", "id", (F.col("similarity") >= 0.98).alias("near"), (F.col("nquery_id") == F.col("nid")).alias("same_numbers"), (jaccard >= 0.8).alias("same_trigrams"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sparklode.functions import scoring
 from sparklode.functions import text as T
-from sparklode.operators import cohort, dedup, ranking, relational, snapshot
+from sparklode.operators import cohort, dedup, ranking, relational, rules, snapshot
 from sparklode.operators.graph import connected_components
 from sparklode.plans import queries
 from sparklode.sources import formats
@@ -145,3 +145,26 @@ def test_entry(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_places_of_many_wide_rows(spark):
+    """Every place once, in the right order, when rows are wide, partitions many and adaptive execution on."""
+    n = 2_000_000
+    rows = spark.range(n).select(F.pmod(F.xxhash64("id"), F.lit(500_000)).alias("score"), "id", F.repeat(F.sha2(F.col("id").cast("string"), 256), 2).alias("payload"))
+    rows.sparkSession.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        placed = ranking.places(rows, [F.desc("score"), F.asc("id")]).select("id", "score", "place")
+        seen = placed.agg(F.count("*"), F.count_distinct("place"), F.min("place"), F.max("place"), F.count_distinct("id")).first()
+        assert tuple(seen) == (n, n, 1, n, n)
+        first = [r["id"] for r in placed.where("place <= 50").orderBy("place").collect()]
+        assert first == [r["id"] for r in rows.orderBy(F.desc("score"), "id").limit(50).collect()]
+    finally:
+        rows.sparkSession.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_wildcard_groups_do_not_pair_full_rows(spark):
+    """Two full rows of different attributes stay apart unless a row with a null ties them; null keys stay alone."""
+    rows = [(1, "k", 1, "x"), (2, "k", 2, "x"), (3, "k", 1, "x"), (4, "m", 1, "x"), (5, "m", 2, "x"), (6, "m", None, "x"), (7, None, 1, "x"), (8, "q", None, None), (9, "q", 4, "y"), (10, "q", 5, "z")]
+    table = spark.createDataFrame(rows, "id int, key string, a int, b string")
+    got = {r["id"]: r["root"] for r in rules.wildcard_groups(table, "key", "a", "b", "id").collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4, 6: 4, 7: 7, 8: 8, 9: 8, 10: 8}
