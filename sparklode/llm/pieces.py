@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 WORDS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 #: Bounds on what a task remembers: marked words, and pairs of pieces.
-REMEMBERED_WORDS, REMEMBERED_PAIRS = 400_000, 600_000
+REMEMBERED_WORDS, REMEMBERED_PAIRS = 700_000, 600_000
 
 
 def model_path() -> str:
@@ -51,6 +51,12 @@ class SharedPrefixEncoder:
         self.vocabulary, self.merging, self.bytes, self.unknown = vocabulary, merging, bytes_, unknown
         self.longest = max(map(len, vocabulary), default=1)
         self.worst = min((s for _, s in vocabulary.values()), default=0.0) - 10.0
+        #: Of every string that ends a piece: 1 if it is one, plus 2 if a longer one ends so.
+        self.ends: dict[str, int] = {}
+        for piece in vocabulary:
+            self.ends[piece] = self.ends.get(piece, 0) | 1
+            for k in range(1, len(piece)):
+                self.ends[piece[k:]] = self.ends.get(piece[k:], 0) | 2
         self.neighbours: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
 
@@ -91,10 +97,16 @@ class SharedPrefixEncoder:
 
     def _last_piece(self, word: str, end: int, last: list[str]) -> str:
         """The last piece of the encoding of word[:end]; last[k] is that of word[:k]."""
-        vocabulary = self.vocabulary
-        for start in range(max(0, end - self.longest), end):
+        get, starts = self.ends.get, []
+        for start in range(end - 1, -1, -1):
+            kind = get(word[start:end], 0)
+            if kind & 1:
+                starts.append(start)
+            if kind < 2:
+                break
+        for start in reversed(starts):
             piece = word[start:end]
-            if piece in vocabulary and self.alone(piece) and (start == 0 or self.valid(last[start], piece)):
+            if self.alone(piece) and (start == 0 or self.valid(last[start], piece)):
                 return piece
         return word[end - 1 : end]
 
@@ -110,7 +122,7 @@ class SharedPrefixEncoder:
 
     def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
         """(word, ids) of each distinct word, in sorted order."""
-        before, last, best = "", [""], [(0.0, "")]
+        before, last, best, vocabulary = "", [""], [(0.0, "")], self.vocabulary
         for word in sorted(set(words)):
             same = 0
             for a, b in zip(before, word):
@@ -130,7 +142,14 @@ class SharedPrefixEncoder:
                 piece = last[at] if self.merging else best[at][1]
                 pieces.append(piece)
                 at -= len(piece)
-            yield word, [i for p in reversed(pieces) for i in self.ids_of(p)]
+            ids: list[int] = []
+            for piece in reversed(pieces):
+                got = vocabulary.get(piece)
+                if got is not None:
+                    ids.append(got[0])
+                else:
+                    ids += self.ids_of(piece)
+            yield word, ids
 
 
 class PieceModel:
