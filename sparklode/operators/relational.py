@@ -131,3 +131,17 @@ def fill_in_order(preferred: DataFrame, others: DataFrame, order: Sequence[Colum
     """The first `k` rows with all of `preferred` before any of `others`."""
     both = preferred.withColumn("priority", F.lit(0)).unionByName(others.withColumn("priority", F.lit(1)))
     return both.orderBy("priority", *order).limit(k)
+
+
+def missing_both_ways(left: DataFrame, of_left: DataFrame, of_right: DataFrame, right: DataFrame, same: Column, first: tuple[str, str], second: tuple[str, str]) -> DataFrame:
+    """(side, id): rows of `left` without a partner in `of_left`, and rows of `right` without one in `of_right`; first and second are (side, id column)."""
+    ours = left.join(of_left, same, "left_anti").select(F.lit(first[0]).alias("side"), F.col(first[1]).alias("id"))
+    theirs = right.join(of_right, same, "left_anti").select(F.lit(second[0]).alias("side"), F.col(second[1]).alias("id"))
+    return ours.unionByName(theirs)
+
+
+def flag_changes(df: DataFrame, critical: Column, spared: Column, flagged: Column) -> DataFrame:
+    """The rows whose flag must change, with `action` flag or unflag; a null is no."""
+    critical, spared, flagged = (F.coalesce(c, F.lit(False)) for c in (critical, spared, flagged))
+    wanted = critical & ~spared
+    return df.where(wanted != flagged).withColumn("action", F.when(wanted, "flag").otherwise("unflag"))

@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sparklode.functions import scoring
+from sparklode.functions import marks, scoring
 from sparklode.functions import text as T
 from sparklode.operators import cohort, dedup, ranking, relational, rules, snapshot
 from sparklode.operators.graph import connected_components
@@ -168,3 +168,19 @@ def test_wildcard_groups_do_not_pair_full_rows(spark):
     table = spark.createDataFrame(rows, "id int, key string, a int, b string")
     got = {r["id"]: r["root"] for r in rules.wildcard_groups(table, "key", "a", "b", "id").collect()}
     assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4, 6: 4, 7: 7, 8: 8, 9: 8, 10: 8}
+
+
+def test_tail_options_of_odd_texts(spark):
+    """Nulls, empty texts, blank lines with tabs, options in the middle, and lists that don't begin at one."""
+    texts = [None, "", "a) x\n\t\nb) y", "stem \n\t\nA. x\n  \nB) y\n", "a) x\nb) y\nend", "stem\n2. x\n3. y", "stem\n1. x y\n2. Compute it", "1.5 m\n1) x\n2) y"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, t string")
+    got = [tuple(r["o"]) for r in rows.select("k", marks.tail_options(F.col("t")).alias("o")).orderBy("k").collect()]
+    assert [g[0] for g in got] == ["no_block", "no_block", "empty_stem", "parsed", "no_block", "mixed_style", "verb_like_subquestion", "parsed"]
+    assert got[3][1:] == (["x", "y"], "stem") and got[7][1:] == (["x", "y"], "1.5 m")
+
+
+def test_formula_faults_and_names(spark):
+    row = spark.range(1).select(*[c.alias(n) for n, c in marks.formula_faults(F.lit(r"\{ {a} \begin{cases}x\end{cases}")).items()]).first()
+    assert tuple(row) == (False, False, False)
+    names = spark.createDataFrame([("n 57",), ("n 50 лет",), ("12345",), ("3.5",), (None,), ("№ 8, 9",)], "t string")
+    assert [r[0] for r in names.select(marks.number_in_name(F.col("t"))).collect()] == [57, None, None, None, None, 8]
