@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparklode.functions.dates import academic_year
+
 
 def pivot_counts(df: DataFrame, row: str, column: str, values: Sequence[int]) -> DataFrame:
     """Rows of each `row` by `column` value: y<value> and has<value>. The values are given, so one pass is enough."""
@@ -42,3 +44,15 @@ def pick_with_quota(df: DataFrame, source: str, order: Sequence[Column], stages:
     """`k` rows, first with at most one per source, then two, ...; the last stage takes any."""
     nth = F.row_number().over(W.partitionBy(source).orderBy(*order))
     return df.withColumn("stage", F.least(nth, F.lit(stages))).orderBy("stage", *order).limit(k)
+
+
+def academic_months(df: DataFrame, day: Column, first: int, last: int) -> DataFrame:
+    """(bucket, year, month, n): rows by month of the academic years `first` to `last`, empty months included; `undated` and `outside` have year and month 0."""
+    year = academic_year(day)
+    bucket = F.when(day.isNull(), "undated").when(year.between(first, last), "month").otherwise("outside")
+    placed = df.select(bucket.alias("bucket"), F.when(bucket == "month", year).otherwise(0).alias("year"), F.when(bucket == "month", F.month(day)).otherwise(0).alias("month"))
+    years, months = (F.sequence(F.lit(a), F.lit(b)) for a, b in ((first, last), (1, 12)))
+    cells = df.sparkSession.range(1).select(F.explode(years).alias("year")).select("year", F.explode(months).alias("month")).select(F.lit("month").alias("bucket"), "year", "month")
+    rest = df.sparkSession.range(1).select(F.explode(F.array(F.lit("undated"), F.lit("outside"))).alias("bucket"), F.lit(0).alias("year"), F.lit(0).alias("month"))
+    counted = placed.groupBy("bucket", "year", "month").agg(F.count("*").alias("n"))
+    return cells.unionByName(rest).join(counted, ["bucket", "year", "month"], "left").withColumn("n", F.coalesce("n", F.lit(0)))

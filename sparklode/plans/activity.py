@@ -353,15 +353,14 @@ def apportionment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("""
 with e as (select user_id, event_type, ts, event_id from events where event_type = 'view'),
 d as (select a.user_id, count(*) as rival_count from (select distinct user_id, cast(ts as date) as day from e) a
-  join (select distinct user_id, cast(ts as date) as day from e) b on a.day = b.day and a.user_id <> b.user_id where a.user_id <= 5 group by a.user_id)
+  join (select distinct user_id, cast(ts as date) as day from e) b on a.day = b.day and a.user_id <> b.user_id group by a.user_id)
 select user_id, rival_count from d
 """)
 def duel_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For a few askers, on how many days which others were there too; only the askers' side is expanded."""
+    """For each user, how many others were there on its days, added up; counted by day, so no pairs are made."""
     seen = events(spark, sf_dir).where("event_type = 'view'").select("user_id", F.to_date("ts").alias("day")).distinct()
-    mine = seen.where("user_id <= 5")
-    rival = seen.select(F.col("user_id").alias("rival"), "day")
-    return mine.join(rival, "day").where("user_id <> rival").groupBy("user_id").agg(F.count("*").alias("rival_count"))
+    others = seen.groupBy("day").agg((F.count("*") - 1).alias("others"))
+    return seen.join(others, "day").groupBy("user_id").agg(F.sum("others").alias("rival_count")).where("rival_count > 0")
 
 
 @register("""

@@ -293,13 +293,16 @@ def comparison_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-with m as (select unnest(range(1, 13)) as month), c as (select month(o_orderdate) as month, count(*) as n from orders where year(o_orderdate) = 1996 group by 1)
-select m.month, coalesce(n, 0) as n from m left join c using (month)
+with d as (select case when o_orderkey % 50 <> 0 then o_orderdate end as t from orders),
+k as (select case when t is null then 'undated' when year(t) - (month(t) < 9)::int between 1993 and 1997 then 'month' else 'outside' end as bucket, year(t) - (month(t) < 9)::int as year, month(t) as month from d),
+c as (select bucket, case when bucket = 'month' then year else 0 end as year, case when bucket = 'month' then month else 0 end as month, count(*) as n from k group by 1, 2, 3),
+g as (select 'month' as bucket, y.year, m.month from (select unnest(range(1993, 1998)) as year) y, (select unnest(range(1, 13)) as month) m union all select 'undated', 0, 0 union all select 'outside', 0, 0)
+select bucket, year, month, coalesce(n, 0) as n from g left join c using (bucket, year, month)
 """)
 def month_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "orders", "o_orderdate").where(F.year("o_orderdate") == 1996)
-    counted = rows.groupBy(F.month("o_orderdate").alias("month")).agg(F.count("*").alias("n"))
-    return spark.range(1, 13).withColumnRenamed("id", "month").join(counted, "month", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    """Orders by month of five academic years, empty months included; those without a date (every fiftieth stands for them) or outside the years have a bucket of their own."""
+    rows = load(spark, sf_dir, "orders", "o_orderkey", "o_orderdate").select(F.when(F.col("o_orderkey") % 50 != 0, F.col("o_orderdate")).alias("t"))
+    return reports.academic_months(rows, F.col("t"), 1993, 1997)
 
 
 @register("""

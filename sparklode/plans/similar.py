@@ -33,13 +33,13 @@ def exact_dup_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-with k as (select doc_id, string_split(text, chr(10))[1] as head, md5(array_to_string(string_split(text, chr(10))[2:3], '|')) as parts from documents),
+with k as (select doc_id, string_split(text, chr(10))[1] as head, md5(array_to_string(string_split(text, chr(10))[2:], '|')) as parts from documents),
 g as (select head, parts, min(doc_id) as a from k where head <> '' group by all) select a, doc_id as b from k join g using (head, parts) where a <> doc_id
 """)
 def hash_edges_with_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that share their header are tied only if their next lines agree too; stars, not all pairs."""
+    """Rows that share their header are tied only if all their other lines agree too; stars, not all pairs."""
     lines = F.split("text", "\n", -1)
-    rows = docs(spark, sf_dir).select("doc_id", lines[0].alias("head"), F.md5(F.array_join(F.slice(lines, 2, 2), "|")).alias("parts"))
+    rows = docs(spark, sf_dir).select("doc_id", lines[0].alias("head"), F.md5(F.array_join(F.slice(lines, F.lit(2), F.greatest(F.size(lines), F.lit(1))), "|")).alias("parts"))
     return dedup.star_edges(rows, "doc_id", [F.col("head"), F.col("parts")])
 
 
