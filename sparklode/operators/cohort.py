@@ -8,30 +8,50 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from sparklode.sources.scratch import Scratch
 
-def _ranked(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    w = W.partitionBy(*keys)
-    values = df.where(F.col(value).isNotNull())
-    return values.select(*keys, value, F.row_number().over(w.orderBy(value)).alias("__k"), F.count("*").over(w).alias("__n"))
+
+def counts_below(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(keys, value, n, below, size), one row per distinct value of a key: its rows, those with a smaller value, and all of the key's.
+
+    Equal values are counted where they are read. The distinct ones are dealt to tasks by range, so that a key with most of the
+    rows is many tasks' work, summed within each task's part of a key, and moved on by what the key's earlier parts hold.
+    """
+    counts = df.groupBy(*keys, value).agg(F.count("*").alias("n"))
+    dealt = counts.repartitionByRange(*keys, value).withColumn("__part", F.spark_partition_id())
+    rows = Scratch(df.sparkSession, "counts-below").keep(dealt, "counts")
+    earlier = F.sum("n").over(W.partitionBy("__part", *keys).orderBy(value).rowsBetween(W.unboundedPreceding, -1))
+    inside = rows.withColumn("__inside", F.coalesce(earlier, F.lit(0)))
+    sums = rows.groupBy("__part", *keys).agg(F.sum("n").alias("held"))
+    before = F.coalesce(F.sum("held").over(W.partitionBy(*keys).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = sums.select(F.col("__part").alias("__p"), *[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], before.alias("__before"), F.sum("held").over(W.partitionBy(*keys)).alias("size"))
+    same = F.col("__part") == F.col("__p")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    return inside.join(parts, same).select(*keys, value, "n", (F.col("__inside") + F.col("__before")).alias("below"), "size")
+
+
+def _at_rank(df: DataFrame, keys: Sequence[str], value: str, rank: Column, name: str) -> DataFrame:
+    found = counts_below(df.where(F.col(value).isNotNull()), keys, value)
+    return found.where((rank > F.col("below")) & (rank <= F.col("below") + F.col("n"))).select(*keys, F.col(value).alias(name))
 
 
 def nearest_rank_round(df: DataFrame, keys: Sequence[str], value: str, percent: int) -> DataFrame:
     """The value at index round(p / 100 * n) - 1 of the sorted values, half to even, kept inside the list."""
-    at = F.greatest(F.lit(1), F.least(F.bround(F.lit(percent) / 100 * F.col("__n")).cast("long"), F.col("__n")))
-    return _ranked(df, keys, value).where(F.col("__k") == at).select(*keys, F.col(value).alias(f"p{percent}"))
+    at = F.greatest(F.lit(1), F.least(F.bround(F.lit(percent) / 100 * F.col("size")).cast("long"), F.col("size")))
+    return _at_rank(df, keys, value, at, f"p{percent}")
 
 
 def nearest_rank_ceil(df: DataFrame, keys: Sequence[str], value: str, percent: int) -> DataFrame:
     """The value at rank ceil(p * n / 100)."""
-    at = F.greatest(F.lit(1), F.ceil(F.lit(percent) * F.col("__n") / 100))
-    return _ranked(df, keys, value).where(F.col("__k") == at).select(*keys, F.col(value).alias(f"p{percent}"))
+    return _at_rank(df, keys, value, F.greatest(F.lit(1), F.ceil(F.lit(percent) * F.col("size") / 100)), f"p{percent}")
 
 
 def percent_below(df: DataFrame, cohort: str, value: str, least: int) -> DataFrame:
     """Floor of the percentage of the cohort with a strictly smaller value; null in cohorts of fewer than `least`."""
-    below = F.rank().over(W.partitionBy(cohort).orderBy(value)) - 1
-    size = F.count("*").over(W.partitionBy(cohort))
-    return df.withColumn("percentile", F.when(size >= least, F.floor(100 * below / size)))
+    found = counts_below(df, [cohort], value).select(F.col(cohort).alias("__c"), F.col(value).alias("__v"), "below", "size")
+    rows = df.join(found, F.col(cohort).eqNullSafe(F.col("__c")) & F.col(value).eqNullSafe(F.col("__v")))
+    return rows.withColumn("percentile", F.when(F.col("size") >= least, F.floor(100 * F.col("below") / F.col("size")))).drop("__c", "__v", "below", "size")
 
 
 def funnel(df: DataFrame, actor: str, name: str, steps: Sequence[str]) -> DataFrame:

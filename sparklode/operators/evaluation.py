@@ -51,11 +51,14 @@ def graded(rankings: DataFrame, labels: DataFrame, k: int, good: int) -> DataFra
 
 
 def merged_judges(first: DataFrame, second: DataFrame, rule: str) -> DataFrame:
-    """Two judges' labels by `consensus` (null where they differ), `lenient` (the larger) or `strict` (the smaller)."""
+    """Two judges' labels, 0 to 2, by `consensus` (1, disputed, where they differ), `lenient` (the larger) or `strict` (the smaller).
+
+    A pair that one judge alone has seen keeps that label and is `partial`; `disagreement` doesn't depend on the rule.
+    """
     a, b = first.withColumnRenamed("label", "la"), second.withColumnRenamed("label", "lb")
     both = a.join(b, ["query_id", "id"], "full")
     alone = F.coalesce("la", "lb")
-    pick = {"consensus": F.when(F.col("la") == F.col("lb"), F.col("la")), "lenient": F.greatest("la", "lb"), "strict": F.least("la", "lb")}[rule]
+    pick = {"consensus": F.when(F.col("la") == F.col("lb"), F.col("la")).otherwise(1), "lenient": F.greatest("la", "lb"), "strict": F.least("la", "lb")}[rule]
     partial = F.col("la").isNull() | F.col("lb").isNull()
     return both.select("query_id", "id", F.when(partial, alone).otherwise(pick).alias("label"), partial.alias("partial"), F.coalesce(F.col("la") != F.col("lb"), F.lit(False)).alias("disagreement"))
 

@@ -29,10 +29,11 @@ def places(df: DataFrame, order: Order, board: Sequence[str] = ()) -> DataFrame:
 
     Places over a whole large table are counted in two steps: rows are range-partitioned, sorted and numbered within their
     partition, and written with both numbers, so that they are dealt out once; the partitions' sizes (one row each) then
-    give the offsets. No single task sees all rows.
+    give the offsets. No single task sees all rows. Boards are dealt out by range in the same way, so that a board with most of
+    the rows is numbered in parts; at most two boards of a partition go on in another, so their offsets are few.
     """
     if board:
-        return df.withColumn("place", F.row_number().over(W.partitionBy(*board).orderBy(*order)))
+        return _places_on_boards(df, order, board)
     inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__part": F.spark_partition_id(), "__in": inside + 1})
     numbered = Scratch(df.sparkSession, "places").keep(dealt, "numbered")
@@ -42,6 +43,22 @@ def places(df: DataFrame, order: Order, board: Sequence[str] = ()) -> DataFrame:
     return numbered.join(F.broadcast(offsets), "__part").withColumn("place", F.col("__in") + F.col("__before")).drop("__part", "__in", "__before")
 
 
+def _places_on_boards(df: DataFrame, order: Order, board: Sequence[str]) -> DataFrame:
+    dealt = df.repartitionByRange(*[F.asc(b) for b in board], *order).withColumn("__part", F.spark_partition_id())
+    rows = Scratch(df.sparkSession, "places").keep(dealt, "dealt")
+    sizes = rows.groupBy("__part", *board).agg(F.count("*").alias("size"))
+    whole = W.partitionBy(*board)
+    before = F.sum("size").over(whole.orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
+    names = [F.col(b).alias(f"__b{k}") for k, b in enumerate(board)]
+    later = sizes.select(F.col("__part").alias("__p"), *names, before.alias("__before")).where("__before is not null")
+    here = F.col("__part") == F.col("__p")
+    for k, b in enumerate(board):
+        here = here & F.col(b).eqNullSafe(F.col(f"__b{k}"))
+    inside = rows.withColumn("__in", F.row_number().over(W.partitionBy("__part", *board).orderBy(*order)))
+    placed = inside.join(F.broadcast(later), here, "left").withColumn("place", F.col("__in") + F.coalesce("__before", F.lit(0)))
+    return placed.drop("__part", "__in", "__p", "__before", *[f"__b{k}" for k in range(len(board))])
+
+
 def board_with_me(placed: DataFrame, top: int, mine: Column) -> DataFrame:
     """The first `top` places and the asker's own row, wherever it stands."""
     return placed.where((F.col("place") <= top) | mine).withColumn("outside_top", F.col("place") > top)

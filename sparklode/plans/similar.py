@@ -250,14 +250,21 @@ def graded_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-with a as (select doc_id as query_id, doc_id as id, quality + 1 as label from labels where doc_id % 3 <> 0), b as (select doc_id as query_id, doc_id as id, toxic + 1 as label from labels where doc_id % 4 <> 0)
-select query_id, id, case when a.label is null or b.label is null then coalesce(a.label, b.label) when a.label = b.label then a.label else -1 end as label, a.label is null or b.label is null as partial, coalesce(a.label <> b.label, false) as disagreement from a full join b using (query_id, id)
+with a as (select doc_id as query_id, doc_id as id, case when doc_id % 5 = 0 then 1 else quality * 2 end as a from labels where doc_id % 3 <> 0),
+b as (select doc_id as query_id, doc_id as id, case when doc_id % 7 = 0 then 1 else 2 - 2 * toxic end as b from labels where doc_id % 4 <> 0),
+j as (select *, a is null or b is null as partial from a full join b using (query_id, id))
+select query_id, id, partial, coalesce(a <> b, false) as disagreement, case when partial then coalesce(a, b) when a = 2 and b = 2 then 2 when a = 0 and b = 0 then 0 else 1 end as consensus,
+ case when partial then coalesce(a, b) when a = 2 or b = 2 then 2 when a = 0 and b = 0 then 0 else 1 end as lenient, case when partial then coalesce(a, b) when a = 0 or b = 0 then 0 when a = 2 and b = 2 then 2 else 1 end as strict from j
 """)
 def merged_judges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = load(spark, sf_dir, "labels")
-    pick = lambda c, m: rows.where(F.col("doc_id") % m != 0).select(F.col("doc_id").alias("query_id"), F.col("doc_id").alias("id"), (F.col(c) + 1).alias("label"))
-    merged = evaluation.merged_judges(pick("quality", 3), pick("toxic", 4), "consensus")
-    return merged.withColumn("label", F.coalesce("label", F.lit(-1)))
+    """Two judges' labels merged by each of the three rules."""
+    rows = load(spark, sf_dir, "labels").withColumns({"query_id": F.col("doc_id"), "id": F.col("doc_id")})
+    first = rows.where("doc_id % 3 <> 0").select("query_id", "id", F.expr("if(doc_id % 5 = 0, 1, quality * 2)").alias("label"))
+    second = rows.where("doc_id % 4 <> 0").select("query_id", "id", F.expr("if(doc_id % 7 = 0, 1, 2 - 2 * toxic)").alias("label"))
+    out = evaluation.merged_judges(first, second, "consensus").withColumnRenamed("label", "consensus")
+    for rule in ("lenient", "strict"):
+        out = out.join(evaluation.merged_judges(first, second, rule).select("query_id", "id", F.col("label").alias(rule)), ["query_id", "id"])
+    return out
 
 
 @register("""

@@ -225,11 +225,12 @@ def wildcard_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stream(spark: SparkSession, sf_dir: str, build, mode: str) -> DataFrame:
-    """The stream's result after all input, from an in-memory sink."""
+    """The stream's result after all input, read from the files of its sink in the shared folder."""
     scratch = Scratch(spark, "stream")
-    name = "s" + scratch.root.rpartition("-")[2]
-    streams.run_to_end(build(streams.event_stream(spark, f"{sf_dir}/events.parquet", watermark="60 days")), name, mode, scratch.path("checkpoint"))
-    return spark.table(name)
+    stream = build(streams.event_stream(spark, f"{sf_dir}/events.parquet", watermark="60 days"))
+    sink = streams.latest_result if mode == "complete" else streams.append_log
+    sink(stream, scratch.path("result"), scratch.path("checkpoint"))
+    return spark.read.schema(stream.schema).parquet(scratch.path("result"))
 
 
 @register("""

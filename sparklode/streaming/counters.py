@@ -66,9 +66,10 @@ def without_repeats(events: DataFrame, seconds: float) -> DataFrame:
     )
 
 
-def run_to_end(stream: DataFrame, sink: str, mode: str, checkpoint: str) -> StreamingQuery:
-    """Everything that is there now, into an in-memory table; for tests and small results."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def latest_result(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """The whole result after each batch, in Parquet files in place of the batch before's; a batch that runs again writes the same."""
+    query = stream.writeStream.outputMode("complete").foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path))
+    query = query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 

@@ -1,5 +1,6 @@
 """Small fixtures with hand-made results for what the oracles don't reach."""
 
+import bisect
 import datetime as dt
 import random
 
@@ -162,6 +163,24 @@ def test_places_of_many_wide_rows(spark):
         rows.sparkSession.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_places_and_percentiles_when_one_board_has_most_rows(spark):
+    """Boards that go on over several partitions, a missing board name included, against sorting in plain Python."""
+    rng = random.Random(11)
+    data = [(k, rng.choice(["big", "big", "big", "big", "small", None]), rng.randrange(400)) for k in range(6000)]
+    df = spark.createDataFrame(data, "id long, board string, score long").repartition(7)
+    got = values(ranking.places(df, [F.desc("score"), F.asc("id")], ["board"]), "id", "board", "place")
+    want, below, p90 = set(), set(), set()
+    for board in ("big", "small", None):
+        mine = sorted(((-s, k) for k, b, s in data if b == board))
+        want |= {(k, board, n + 1) for n, (_, k) in enumerate(mine)}
+        scores = sorted(-s for s, _ in mine)
+        below |= {(k, 100 * bisect.bisect_left(scores, -s) // len(scores)) for s, k in mine}
+        p90.add((board, scores[round(0.9 * len(scores)) - 1]))
+    assert got == want
+    assert values(cohort.percent_below(df, "board", "score", 20), "id", "percentile") == below
+    assert values(cohort.nearest_rank_round(df, ["board"], "score", 90), "board", "p90") == p90
+
+
 def test_wildcard_groups_do_not_pair_full_rows(spark):
     """Two full rows of different attributes stay apart unless a row with a null ties them; null keys stay alone."""
     rows = [(1, "k", 1, "x"), (2, "k", 2, "x"), (3, "k", 1, "x"), (4, "m", 1, "x"), (5, "m", 2, "x"), (6, "m", None, "x"), (7, None, 1, "x"), (8, "q", None, None), (9, "q", 4, "y"), (10, "q", 5, "z")]
