@@ -83,3 +83,47 @@ def exam_points(kind: Column, right: Column, wrong: Column, total: Column, point
     whole = F.when((right == total) & (wrong == 0), points).otherwise(-penalty)
     blank = (right + wrong) == 0
     return F.round(F.when(blank, F.lit(0)).when(kind.isin("multi", "match"), parts).otherwise(whole).cast("decimal(18,6)"), 2)
+
+
+def item_result(kind: Column, given: Column, accepted: Column, marked: Column, correct: Column, options: Column, answers: Column, truth: Column, cents: Column, wrong_cents: Column, penalised: Column) -> Column:
+    """(cents, is_correct) of one exam item, by kind: short_text, single, multi, match, number; points are in hundredths.
+
+    `given` answers short_text and number, `marked` (numbers) single and multi, `answers` (aligned with `truth`) match. No answer
+    gives 0 and a null verdict, never a penalty. A wrong short or single answer costs `wrong_cents`. multi gives a share for each
+    right mark and, if `penalised`, takes one for each wrong mark, not below 0; match gives shares only; a wrong number gives 0.
+    Shares are whole numbers over one denominator, so that halves go up exactly.
+    """
+    folded = F.lower(F.trim(given))
+    blank = F.when(kind.isin("short_text", "number"), F.coalesce(folded, F.lit("")) == "").when(kind == "match", F.size(F.array_compact(answers)) == 0).otherwise(F.size(marked) == 0)
+    short = F.exists(accepted, lambda a: F.lower(F.trim(a)) == folded)
+    single = (F.size(marked) == 1) & F.arrays_overlap(marked, correct)
+    number = folded.try_cast("double") == F.element_at(correct, 1)
+    known = F.array_intersect(marked, options)
+    others = F.size(F.array_except(options, correct))
+    right, wrong = F.size(F.array_intersect(known, correct)), F.size(F.array_except(known, correct))
+    fine = penalised & (others > 0)
+    share = F.when(fine, right * others - wrong * F.size(correct)).otherwise(right)
+    of = F.size(correct) * F.when(fine, others).otherwise(1)
+    pairs = F.size(F.filter(F.zip_with(answers, truth, lambda a, b: a == b), lambda same: same))
+    up = lambda top, below: F.floor((2 * cents * F.greatest(top, F.lit(0)) + below) / (2 * F.greatest(below, F.lit(1))))
+    points = (
+        F.when(blank, F.lit(0))
+        .when(kind == "short_text", F.when(short, cents).otherwise(-wrong_cents))
+        .when(kind == "single", F.when(single, cents).otherwise(-wrong_cents))
+        .when(kind == "multi", up(share, of))
+        .when(kind == "match", up(pairs, F.size(truth)))
+        .otherwise(F.when(number, cents).otherwise(0))
+    )
+    full = F.when(kind == "short_text", short).when(kind == "single", single).when(kind == "multi", share == of).when(kind == "match", pairs == F.size(truth)).otherwise(number)
+    return F.struct(points.cast("long").alias("cents"), F.when(~blank, F.coalesce(full, F.lit(False))).alias("is_correct"))
+
+
+def accuracy_multiplier(right: Column, wrong: Column) -> Column:
+    """1 from 85 % right among the answered, 0.3 up to 50 %, linear between; 1 without answers."""
+    share = right / F.greatest(right + wrong, F.lit(1))
+    return F.when(right + wrong <= 0, 1.0).otherwise(0.3 + 0.7 * clamp((share - 0.5) / 0.35, 0, 1))
+
+
+def time_bonus(step: Column, scale: Column, cap: Column, given_so_far: Column) -> Column:
+    """Seconds for a right answer: the scaled step, half up, as far as the run's cap leaves room."""
+    return F.greatest(F.lit(0), F.least(half_up(step * scale), F.greatest(F.lit(0), cap - given_so_far)))

@@ -41,6 +41,24 @@ def diff(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str], refer
     return out.select(key, "action", F.when(F.col("action") == "update", F.array_join(names, ",")).otherwise("").alias("changed"))
 
 
+def changed_values(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """(key, field, old, new): one row per changed field of the rows that both versions have, values as text."""
+    both, differs = _joined(old, new, key, columns)
+    fields = [F.struct(F.lit(c).alias("field"), F.col(f"{c}_old").cast("string").alias("old"), F.col(f"{c}_new").cast("string").alias("new")) for c in columns]
+    changed = both.where(F.col("in_old") & F.col("in_new") & differs).select(key, F.explode(F.array(*fields)).alias("x")).select(key, "x.*")
+    return changed.where(~F.col("old").eqNullSafe(F.col("new")))
+
+
+def load_plan(old: DataFrame, new: DataFrame, key: str, columns: Sequence[str], used: DataFrame) -> DataFrame:
+    """The plan of `diff` for replacing `old` by `new`, refused as a whole where `used` names a row that would go.
+
+    A dry run is this plan alone; `applied` carries it out. A refused plan leaves every row as it is, action `refused`.
+    """
+    plan = diff(old, new, key, columns)
+    refused = F.lit(not plan.where("action = 'delete'").join(used.select(key), key, "left_semi").isEmpty())
+    return plan.select(key, F.when(refused, "refused").otherwise(F.col("action")).alias("action"), F.when(refused, "").otherwise(F.col("changed")).alias("changed"))
+
+
 def applied(old: DataFrame, new: DataFrame, plan: DataFrame, key: str) -> DataFrame:
     """The version after the plan: created and updated rows from `new`, kept and same ones from `old`."""
     from_new = new.join(plan.where(F.col("action").isin("create", "update")), key, "left_semi")

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from sparklode.plans.registry import Query
 
-MODULES = ("activity", "catalogue", "texts", "similar", "snapshots", "rules", "marks")
+MODULES = ("activity", "catalogue", "texts", "similar", "snapshots", "rules", "marks", "records")
 
 
 def queries() -> dict[str, Query]:
