@@ -51,14 +51,14 @@ class SharedPrefixEncoder:
         self.vocabulary, self.merging, self.bytes, self.unknown = vocabulary, merging, bytes_, unknown
         self.longest = max(map(len, vocabulary), default=1)
         self.worst = min((s for _, s in vocabulary.values()), default=0.0) - 10.0
-        #: Of every string that ends a piece: 1 if it is one, plus 2 if a longer one ends so.
+        #: Of every string that ends a piece: 1 if it is one, plus 2 if a longer one ends so, plus 4 if it is one whose own
+        #: encoding hasn't been looked at; 1 goes when that turns out to be something else.
         self.ends: dict[str, int] = {}
         for piece in vocabulary:
-            self.ends[piece] = self.ends.get(piece, 0) | 1
+            self.ends[piece] = self.ends.get(piece, 0) | 5
             for k in range(1, len(piece)):
                 self.ends[piece[k:]] = self.ends.get(piece[k:], 0) | 2
         self.neighbours: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
 
     def merged(self, text: str) -> list[str]:
         """The encoding of a short string by merging the best-scored pair again and again, the leftmost of equals."""
@@ -74,19 +74,16 @@ class SharedPrefixEncoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def valid(self, left: str, right: str) -> bool:
-        """Whether both stay apart when encoded together."""
-        found = self.neighbours.get((left, right))
-        if found is None:
-            if len(self.neighbours) >= REMEMBERED_PAIRS:
-                self.neighbours.clear()
-            found = self.neighbours[left, right] = self.merged(left + right) == [left, right]
+        """Whether both stay apart when encoded together, worked out and remembered."""
+        if len(self.neighbours) >= REMEMBERED_PAIRS:
+            self.neighbours.clear()
+        found = self.neighbours[left, right] = self.merged(left + right) == [left, right]
         return found
 
     def alone(self, piece: str) -> bool:
-        """Whether the encoding of the piece's text is the piece."""
-        found = self.whole.get(piece)
-        if found is None:
-            found = self.whole[piece] = self.merged(piece) == [piece]
+        """Whether the encoding of the piece's text is the piece, worked out and remembered."""
+        found = self.merged(piece) == [piece]
+        self.ends[piece] = self.ends[piece] & 2 | found
         return found
 
     def ids_of(self, piece: str) -> list[int]:
@@ -95,20 +92,30 @@ class SharedPrefixEncoder:
             return [got[0]]
         return [self.bytes[b] for b in piece.encode()] if self.bytes else [self.unknown]
 
-    def _last_piece(self, word: str, end: int, last: list[str]) -> str:
-        """The last piece of the encoding of word[:end]; last[k] is that of word[:k]."""
-        get, starts = self.ends.get, []
-        for start in range(end - 1, -1, -1):
-            kind = get(word[start:end], 0)
-            if kind & 1:
-                starts.append(start)
-            if kind < 2:
-                break
-        for start in reversed(starts):
-            piece = word[start:end]
-            if self.alone(piece) and (start == 0 or self.valid(last[start], piece)):
-                return piece
-        return word[end - 1 : end]
+    def _last_pieces(self, word: str, first: int, last: list[str]) -> None:
+        """Appends to last, which holds the last pieces of the encodings of word[:k] for k < first, those of the longer prefixes."""
+        kind_of, known = self.ends.get, self.neighbours.get
+        for end in range(first, len(word) + 1):
+            start, found = end, []
+            while start:
+                start -= 1
+                part = word[start:end]
+                kind = kind_of(part, 0)
+                if kind & 1 and (kind < 4 or self.alone(part)):
+                    found.append(part)
+                if not kind & 2:
+                    break
+            while found:
+                piece = found.pop()
+                if len(piece) == end:
+                    break
+                left = last[end - len(piece)]
+                fits = known((left, piece))
+                if self.valid(left, piece) if fits is None else fits:
+                    break
+            else:
+                piece = word[end - 1 : end]
+            last.append(piece)
 
     def _best_step(self, word: str, end: int, best: list[tuple[float, str]]) -> tuple[float, str]:
         """The best score of word[:end] and its last piece; the longest of equals."""
@@ -131,8 +138,7 @@ class SharedPrefixEncoder:
                 same += 1
             if self.merging:
                 del last[same + 1 :]
-                for end in range(same + 1, len(word) + 1):
-                    last.append(self._last_piece(word, end, last))
+                self._last_pieces(word, same + 1, last)
             else:
                 del best[same + 1 :]
                 for end in range(same + 1, len(word) + 1):
