@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparklode.llm import exact, hmm, licences, linededup, packing, pieces, quality, secretscan, simhash, toxicity
+from sparklode.llm import divergence, exact, filteraudit, gam, hmm, licences, linededup, packing, pieces, quality, secretscan, simhash, toxicity
 from sparklode.sources import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -71,6 +71,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(load(spark, sf_dir, "documents", "doc_id", "text"), load(spark, sf_dir, "labels", "doc_id", "toxic"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source of a language against every other, and its own terms."""
+    return divergence.source_divergences(load(spark, sf_dir, "documents", "text", "lang", "source"))
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its quality score."""
+    return gam.quality_scores(load(spark, sf_dir, "documents", "doc_id", "text"), load(spark, sf_dir, "labels", "doc_id", "quality"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every language, order of the five filters and step with what the step does."""
+    docs = load(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return filteraudit.filter_order_audit(docs, load(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
+
+
 def queries() -> dict[str, Query]:
     found = (
         op1_secret_scan,
@@ -83,6 +99,9 @@ def queries() -> dict[str, Query]:
         op8_simhash_near_dedup,
         op9_sentencepiece,
         op10_toxicity,
+        op11_source_divergence,
+        op12_quality_classifier,
+        op13_filter_audit,
     )
     return {f.__name__: f for f in found}
 
@@ -163,5 +182,86 @@ from (select distinct doc_id from documents) left join found using (doc_id)
 """
 
 
+OP11_SQL = """
+with docs as (
+  select row_number() over () as doc, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
+  from documents),
+tokens as (
+  select doc, lang, source, unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) as term from docs),
+vocabulary as (
+  select lang, term, count(*)::hugeint as lang_n from tokens group by lang, term having count(distinct doc) >= 30),
+sizes as (select lang, count(*) as kinds, sum(lang_n)::hugeint as lang_total from vocabulary group by lang),
+entries as (
+  select lang, source, term, count(*)::hugeint as n from tokens join vocabulary using (lang, term) group by lang, source, term),
+groups as (
+  select lang, source, coalesce(sum(n), 0)::hugeint as total
+  from (select distinct lang, source from docs) left join entries using (lang, source) group by lang, source),
+smooth as (
+  select lang, source, term, coalesce(n, 0) as n,
+    1 + (1000000000::hugeint * (coalesce(n, 0) + 5)) // (total + 5 * kinds) as p,
+    1 + (1000000000::hugeint * (lang_n + 5)) // (lang_total + 5 * kinds) as q
+  from groups join vocabulary using (lang) join sizes using (lang) left join entries using (lang, source, term)),
+pairs as (
+  select a.lang, a.source, b.source as item, coalesce(d.value, 0) as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+  left join (
+    select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value
+    from smooth a join smooth b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all) d
+    on d.lang = a.lang and d.source = a.source and d.item = b.source),
+found as (
+  select lang, source, 'pair' as part, item, value from pairs
+  union all select lang, source, 'term', term, p - q from smooth where n > 0 and p > q),
+ranked as (
+  select lang, source, part, item, value::bigint as value,
+    (row_number() over (partition by lang, source, part order by value desc, item))::int as rank
+  from found)
+select * from ranked where part = 'pair' or rank <= 50
+"""
+
+OP13_SQL = """
+with docs as (
+  select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w
+  from documents),
+said as (select doc_id, max(quality) = 1 as good, max(toxic) = 1 as toxic from labels group by doc_id),
+failed as (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+    case when len(w) < 100 then 'A' else '' end
+    || case when 100 * len(list_distinct(w)) < 80 * len(w) then 'B' else '' end
+    || case when 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) then 'C' else '' end
+    || case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end
+    || case when doc_id > min(doc_id) over (partition by t) then 'E' else '' end as mask
+  from docs left join said using (doc_id)),
+held as (
+  select part, mask, count(*) as n, count(*) filter (where good) as good, count(*) filter (where toxic) as toxic
+  from failed group by part, mask),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as f),
+orders as (
+  select a.f || b.f || c.f || d.f || e.f as filter_order from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps as (
+  select filter_order, step, substr(filter_order, step, 1) as f, left(filter_order, step - 1) as before
+  from orders, (select unnest(range(1, 6))::int as step)),
+judged as (
+  select part, filter_order, step, f, n, good, toxic, contains(mask, f) as fails, mask = f as alone,
+    length(translate(mask, before, '')) = length(mask) as alive
+  from held, steps),
+done as (
+  select part, filter_order, step, f,
+    coalesce(sum(n) filter (where alive and not fails), 0) as kept,
+    coalesce(sum(n) filter (where alive and fails), 0) as removed,
+    coalesce(sum(n) filter (where not alive and fails), 0) as redundant,
+    coalesce(sum(n) filter (where alone), 0) as unique_fails,
+    coalesce(sum(good) filter (where alive and fails), 0) as good_lost,
+    coalesce(sum(toxic) filter (where alive and fails), 0) as toxic_lost
+  from judged group by part, filter_order, step, f)
+select part, filter_order, step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant,
+  unique_fails::bigint as unique_fails, good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost,
+  (sum(removed) over (partition by part, f))::bigint as shapley
+from done
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op7_licence_scan": op7_sql()}
+    return {"op11_source_divergence": OP11_SQL, "op13_filter_audit": OP13_SQL, "op2_line_dedup": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op7_licence_scan": op7_sql()}
