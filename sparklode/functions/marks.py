@@ -5,17 +5,30 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Environments that may stand in a formula, and words that begin a task rather than an option.
+# Environments that may stand in a formula, and words that begin a task rather than an option; the names of
+# the reasons in tail_options are fixed too.
 ENVIRONMENTS = "align aligned array cases matrix pmatrix gathered".split()
 TASK_WORDS = "find draw compute determine prove explain".split()
 OPTION = r"^\s*([0-9]{1,2}|[A-Za-z])[.)]\s+(\S.*?)\s*$"
 
 
 def number_in_name(name: Column) -> Column:
-    """The number after a number sign, else the first bare one of at most four digits that is no decimal and no anniversary; null without one."""
-    signed = F.regexp_extract(name, r"№\s*(\d+)", 1)
-    bare = F.regexp_extract(name, r"(?<![\d.])(\d{1,4})(?![\d.])(?!\s*-?\s*(й\s+)?лет)", 1)
-    return F.coalesce(F.nullif(signed, F.lit("")), F.nullif(bare, F.lit(""))).try_cast("int")
+    """The number that names something; null without one.
+
+    The name is split into words at white space and marks. A number word after the number sign wins; else it is the first word
+    of one to four digits that the words after it do not make an age or anniversary. Decimals and joined words are none.
+    """
+    words = F.split(F.replace(name, F.lit("№"), F.lit(" № ")), r"[\s,;:()«»\"]+")
+    next_word = lambda k, ahead: F.coalesce(F.get(words, k + ahead), F.lit(""))
+    years = lambda word: word.startswith("лет")
+
+    def names(word: Column, k: Column) -> Column:
+        aged = years(next_word(k, 1)) | ((next_word(k, 1) == "й") & years(next_word(k, 2)))
+        return F.when((F.length(word) <= 4) & word.rlike("^[0-9]+$") & ~aged, word)
+
+    signed = F.filter(words, lambda word, k: (F.get(words, k - 1) == "№") & word.rlike("^[0-9]+$"))
+    bare = F.filter(F.transform(words, names), lambda word: word.isNotNull())
+    return F.coalesce(F.get(signed, F.lit(0)), F.get(bare, F.lit(0))).try_cast("int")
 
 
 def formula_faults(body: Column) -> dict[str, Column]:

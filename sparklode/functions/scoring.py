@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# All thresholds, rates and bounds of the ladders, multipliers and curves below.
+
 
 def ladder(value: Column, steps: list[tuple[float, object]], otherwise: object) -> Column:
     """The first step whose bound `value` reaches."""

@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparklode.functions import text as T
 from sparklode.operators.graph import connected_components
 
 
@@ -44,12 +43,6 @@ def text_groups(df: DataFrame, id_col: str, text: Column, least: int) -> DataFra
     return keyed.groupBy("digest").agg(F.min("id").alias("root"), F.count("*").alias("members")).where("members > 1")
 
 
-def near_pairs(pairs: DataFrame, a: str, b: str, similarity: Column, least: float = 0.98, jaccard: float = 0.8) -> DataFrame:
-    """Candidate pairs that are near in vectors, have the same numbers and similar trigrams."""
-    same = T.same_multiset(T.numbers(F.col(a)), T.numbers(F.col(b)))
-    return pairs.where((similarity >= least) & same).where(T.jaccard(T.trigrams(F.col(a)), T.trigrams(F.col(b))) >= jaccard)
-
-
 def representatives(members: DataFrame, group: str, id_col: str, score: Sequence[Column]) -> DataFrame:
     """Each group's member with the best scores, ties by the smallest id, and the rule that decided.
 

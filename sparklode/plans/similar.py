@@ -67,26 +67,6 @@ def connected_components_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(_edges(spark, sf_dir), "a", "b")
 
 
-@register(f"""
-with p as (select a.doc_id as a, b.doc_id as b, left(a.text, 400) as x, left(b.text, 400) as y, a.n_chars / greatest(b.n_chars, 1)::double as ratio from
- (select *, lower(left(text, 60)) as k from documents where length(text) >= 60) a join (select *, lower(left(text, 60)) as k from documents where length(text) >= 60) b on a.k = b.k and a.doc_id < b.doc_id
- where a.doc_id = (select min(c.doc_id) from documents c where lower(left(c.text, 60)) = a.k and length(c.text) >= 60)),
-t as (select *, {tri_sql("x")} as tx, {tri_sql("y")} as ty from p where list_sort({numbers_sql("x")}) = list_sort({numbers_sql("y")}))
-select a, b, case when ratio >= 0.98 then 'duplicate' when ratio >= 0.9 then 'hidden' else 'distinct' end as band from t where len(list_intersect(tx, ty)) / (len(tx) + len(ty) - len(list_intersect(tx, ty)))::double >= 0.8
-""")
-def near_dup_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Candidates that start alike, against their group's anchor, behind the number and trigram gates."""
-    rows = docs(spark, sf_dir).where(F.length("text") >= 60).withColumn("k", F.lower(F.substring("text", 1, 60)))
-    stars = dedup.star_edges(rows, "doc_id", [F.sha1("k")])
-    heads = rows.select("doc_id", F.substring("text", 1, 400).alias("x"), "n_chars")
-    left = heads.select(F.col("doc_id").alias("a"), "x", F.col("n_chars").alias("na"))
-    right = heads.select(F.col("doc_id").alias("b"), F.col("x").alias("y"), F.col("n_chars").alias("nb"))
-    pairs = stars.join(left, "a").join(right, "b")
-    gated = dedup.near_pairs(pairs, "x", "y", F.lit(1.0))
-    ratio = F.col("na") / F.greatest(F.col("nb"), F.lit(1))
-    return gated.select("a", "b", dedup.bands(ratio, 0.98, 0.9).alias("band"))
-
-
 @register(f"""
 with recursive {EDGES},
 reach(node, root) as (select a, a from both_ways union select e.b, r.root from reach r join both_ways e on r.node = e.a),

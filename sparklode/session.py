@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from sparklode.sources.scratch import discard
+
 
 def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: str = "sparklode", **conf: str) -> SparkSession:
     """A session with adaptive execution, UTC timestamps and Arrow; on a cluster leave `master` to spark-submit."""
@@ -20,3 +22,9 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def end(spark: SparkSession) -> None:
+    """Delete the application's scratch tables and stop it."""
+    discard(spark)
+    spark.stop()

@@ -1,7 +1,8 @@
 """Intermediate tables in the folder that driver and executors share.
 
 A written table cuts the lineage: a lost executor costs a re-read, not a recomputation, and no block lives only on
-one machine. The folder is `spark.checkpoint.dir`; only where the session has none (tests) is one made.
+one machine. The folder is `spark.checkpoint.dir`; only where the session has none (tests) is one made. All tables of an
+application lie in one folder below it, which `discard` deletes when nothing will read them again.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 SETTING = "spark.checkpoint.dir"
+#: The temporary folders made here, by application; the setting itself can't be changed in a running session.
+_made: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,9 +24,24 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {SETTING} to a folder that all executors share")
-    made = "file://" + tempfile.mkdtemp(prefix="sparklode-")
-    spark.conf.set(SETTING, made)
-    return made
+    application = spark.sparkContext.applicationId
+    if application not in _made:
+        _made[application] = "file://" + tempfile.mkdtemp(prefix="sparklode-")
+    return _made[application]
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def application_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/sparklode-{spark.sparkContext.applicationId}"
+
+
+def discard(spark: SparkSession) -> None:
+    """Delete all scratch tables of this application; frames that still read them can't be used afterwards."""
+    _delete(spark, application_dir(spark))
 
 
 class Scratch:
@@ -31,7 +49,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, operator: str) -> None:
         self.spark = spark
-        self.root = f"{shared_dir(spark)}/{operator}-{uuid.uuid4().hex[:12]}"
+        self.root = f"{application_dir(spark)}/{operator}-{uuid.uuid4().hex[:12]}"
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -44,8 +62,5 @@ class Scratch:
 
     def drop(self, *names: str) -> None:
         """Delete tables that nothing will read again."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for name in names:
-            place = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            place.getFileSystem(conf).delete(place, True)
+            _delete(self.spark, self.path(name))
