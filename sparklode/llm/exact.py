@@ -79,7 +79,8 @@ class Index:
         stays = F.max(F.struct("doc_id", "row")).alias("top")
         several = self.held.where("n > 1").select("h")
         alone = self.keys.join(self.held.where("n = 1").select("h"), "h", "left_semi").select("h", "sha", F.struct("doc_id", "row").alias("top"), F.lit(1).cast("long").alias("group_size"))
-        together = texts.withColumn("h", F.xxhash64("text")).join(several, "h", "left_semi")
+        # Shuffled at every size: a broadcast of the repeated hashes would be chosen on small inputs only, as they grow with the input.
+        together = texts.withColumn("h", F.xxhash64("text")).join(several.hint("merge"), "h", "left_semi")
         compared = together.groupBy("h", "text").agg(stays, F.count("*").alias("group_size")).select("h", F.sha2("text", 256).alias("sha"), "top", "group_size")
         chain = F.row_number().over(W.partitionBy("bucket", "h").orderBy("sha", "top")).alias("chain")
         twins = F.count("*").over(W.partitionBy("bucket", "h", "sha")).alias("twins")
