@@ -31,23 +31,25 @@ def means(cases: DataFrame, ks: list[int]) -> DataFrame:
     return out.withColumn("gap", F.round(F.col(f"recall_{ks[-1]}") - F.col(f"recall_{ks[0]}"), 9))
 
 
-def graded(rankings: DataFrame, labels: DataFrame, k: int, good: int) -> DataFrame:
-    """precision@k (unlabelled counts as bad), precision among labelled (null without any), labelled share, graded ndcg@k, and whether three are good."""
+def graded(rankings: DataFrame, labels: DataFrame, counts: DataFrame, k: int, good: int) -> DataFrame:
+    """precision@k (unlabelled counts as bad), precision among labelled (null without any), labelled share, graded ndcg@k, and whether three are good.
+
+    labels: (query_id, id, label) of the rows shown. counts: (query_id, counts), how many rows each query has of the highest
+    label, the next, and so on down to 1; the perfect list is made of them."""
     shown = rankings.where(F.col("rank") <= k).join(labels, ["query_id", "id"], "left")
     ok = F.col("label") >= good
+    gain = lambda label, place: (F.pow(F.lit(2.0), label) - 1) / F.log2(place + 1)
     scored = shown.groupBy("query_id").agg(
         (F.count_if(ok) / F.count("*")).alias("precision"),
         F.try_divide(F.count_if(ok), F.count("label")).alias("precision_labelled"),
         (F.count("label") / F.count("*")).alias("labelled_share"),
-        F.sum(F.coalesce((F.pow(F.lit(2.0), F.col("label")) - 1) / F.log2(F.col("rank") + 1), F.lit(0.0))).alias("dcg"),
+        F.sum(F.coalesce(gain(F.col("label"), F.col("rank")), F.lit(0.0))).alias("dcg"),
         (F.count_if(ok) >= 3).alias("three_good"),
     )
-    from pyspark.sql import Window as W
-
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("label"), "id"))
-    best = labels.withColumn("r", place).where(F.col("r") <= k)
-    ideal = best.groupBy("query_id").agg(F.sum((F.pow(F.lit(2.0), F.col("label")) - 1) / F.log2(F.col("r") + 1)).alias("ideal"))
-    return scored.join(ideal, "query_id", "left").withColumn("ndcg", F.coalesce(F.try_divide(F.col("dcg"), F.col("ideal")), F.lit(0.0))).drop("dcg", "ideal")
+    best = F.slice(F.flatten(F.transform("counts", lambda n, j: F.array_repeat(F.size("counts") - j, F.least(n, F.lit(k)).cast("int")))), 1, k)
+    ideal = F.aggregate(F.transform(best, lambda label, place: gain(label, place + 1)), F.lit(0.0), lambda s, x: s + x)
+    joined = scored.join(counts.select("query_id", ideal.alias("ideal")), "query_id", "left")
+    return joined.withColumn("ndcg", F.coalesce(F.try_divide(F.col("dcg"), F.col("ideal")), F.lit(0.0))).drop("dcg", "ideal")
 
 
 def merged_judges(first: DataFrame, second: DataFrame, rule: str) -> DataFrame:
