@@ -246,11 +246,14 @@ def url_two_level_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relational.two_level_join(left, right, "url", "norm", "right_id").select("page_id", "match_id", "level")
 
 
-@register(r"""
+HTML_SQL = r"""
 with a as (select page_id, regexp_replace(regexp_replace(html, '(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g') as t from pages),
 b as (select page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&') as t from a)
 select page_id, sha1(trim(regexp_replace(t, '[ \t\n\r\f\v]+', ' ', 'g'))) as digest from b
-""")
+"""
+
+
+@register(HTML_SQL)
 def html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "pages", "page_id", "html").select("page_id", F.sha1(textquality.html_text(F.col("html"))).alias("digest"))
 
