@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparklode.sources.scratch import Scratch
@@ -20,12 +22,41 @@ def spare(columns: list[str], *names: str) -> list[str]:
     return out
 
 
+#: Rows of a block: as many bits as one of Spark's bitmaps has.
+BLOCK = 1 << 15
+
+
 def with_row(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
-    """`docs` with a number for each row, written once so that every reader sees the same numbers; and the number's column."""
-    (row,) = spare(docs.columns, "row")
-    return scratch.keep(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
+    """`docs` with a number for each row, written once so that every reader sees the same numbers; and the number's column.
+
+    The rows are bucketed by blocks of neighbouring numbers, which one task writes, so that `without` moves numbers only. The
+    last column is the block; `without` drops it."""
+    spark = scratch.spark
+    row, block = spare(docs.columns, "row", "block")
+    numbered = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(block, _block(F.col(row)))
+    name = f"numbered_rows_{uuid.uuid4().hex[:12]}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbered.write.bucketBy(buckets, block).option("path", scratch.path(name)).mode("overwrite").saveAsTable(name)
+    rows = spark.table(name)
+    # The files stay; the frame knows them and their buckets without the catalogue's entry.
+    spark.sql(f"drop table {name}")
+    return rows, row
+
+
+def _block(row: Column) -> Column:
+    return F.shiftright(row, BLOCK.bit_length() - 1)
 
 
 def without(rows: DataFrame, row: str, gone: DataFrame) -> DataFrame:
-    """The rows whose number is not in `gone` (row), without the number."""
-    return rows.join(gone.select(F.col("row").alias(row)), row, "left_anti").drop(row)
+    """The rows of `with_row` whose number is not in `gone` (row), without the number.
+
+    The numbers that go are a bitmap for each block, and only those are shuffled, to the blocks' buckets; a task holds its
+    buckets' bitmaps, never the rows."""
+    block = rows.columns[-1]
+    place = F.col("row").bitwiseAND(F.lit(BLOCK - 1))
+    (bits,) = spare(rows.columns, "bits")
+    maps = gone.groupBy(_block(F.col("row")).alias(block)).agg(F.bitmap_construct_agg(place).alias(bits)).hint("shuffle_hash")
+    at = F.col(row).bitwiseAND(F.lit(BLOCK - 1))
+    byte = F.conv(F.hex(F.substring(F.col(bits), F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = F.getbit(byte, at.bitwiseAND(F.lit(7)).cast("int")) == 1
+    return rows.join(maps, block, "left").where(~F.coalesce(marked, F.lit(False))).drop(row, block, bits)

@@ -142,6 +142,7 @@ def link_components(prints: DataFrame) -> DataFrame:
         & _linked(F.col("a.slot"), diff),
     ).select(F.col("a.root").alias("x"), F.col("b.root").alias("y"))
     merged = scratch.keep(connected_components(across.distinct(), "x", "y"), "merged")
+    scratch.drop("prints", "filed", "open")
     out = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select(F.col("node").alias("fp"), F.coalesce("top", "root").alias("root"))
     alone = merged.join(roots, "node", "left_anti").select(F.col("node").alias("fp"), "root")
     return out.unionByName(alone)

@@ -473,6 +473,24 @@ def test_toxicity(spark, odd, none):
     assert {r["score"] for r in toxicity.toxicity_scores(odd, labels.limit(0)).collect()} == {0.0}
 
 
+def test_numbered_rows(spark, tmp_path):
+    """Any set of numbers goes, over several blocks and buckets, and the rows themselves are not shuffled."""
+    from sparklode.llm import rows as R
+
+    rng = random.Random(2)
+    docs = spark.range(0, 100_000, 1, 3).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("Row"), F.lit(None).cast("string").alias("bits"))
+    kept, row = R.with_row(docs, exact.Scratch(spark, "test"))
+    numbers = {r[0]: r[1] for r in kept.select(row, "doc_id").collect()}
+    assert len(numbers) == 100_000 and kept.columns[:3] == docs.columns
+    gone = set(rng.sample(sorted(numbers), 40_000)) | {0, 32767, 32768}
+    left = R.without(kept, row, spark.createDataFrame([(g,) for g in gone], "row long"))
+    assert left.columns == docs.columns and {r[0] for r in left.select("doc_id").collect()} == {d for n, d in numbers.items() if n not in gone}
+    plan = left._jdf.queryExecution().executedPlan().toString()
+    rows_side = plan[plan.index("Join") : plan.index("FileScan")]
+    assert "Bucketed: true" in plan and "Exchange" not in rows_side
+    assert R.without(kept, row, spark.createDataFrame([], "row long")).count() == 100_000
+
+
 def test_pipeline(spark):
     import corpus_pipeline as p
 
