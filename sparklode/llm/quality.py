@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from sparklode.llm.rows import spare
+from sparklode.llm.rows import sliced, spare
 from sparklode.sources.scratch import Scratch
 
 SYMBOLS = b"#*$%&|<>"
@@ -190,7 +190,7 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     kind = StructType([StructField(n, LongType()) for n in NAMES])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             table = np.array([counts_of(t.as_py()) for t in batch.column(at)], np.int64).reshape(-1, len(NAMES))
             yield batch.append_column(name, pa.StructArray.from_arrays([pa.array(c) for c in table.T], names=list(NAMES)))
 

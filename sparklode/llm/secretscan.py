@@ -22,6 +22,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparklode.llm.rows import sliced
+
 KINDS = ("assign", "access", "hex", "novel")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -136,7 +138,7 @@ def mask_secrets(docs: DataFrame, text_col: str = "text", mask: str = "[secret]"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         novelty = Novelty()
-        for batch in batches:
+        for batch in sliced(batches):
             texts = pa.array([masked(t.as_py(), novelty, mask) for t in batch.column(at)], batch.schema.field(at).type)
             yield batch.set_column(at, batch.schema.field(at), texts)
 
