@@ -3,25 +3,27 @@
 Words are runs of non-white-space (ASCII white space) with A-Z lower-cased; in counts each is its XXH64. For each class c,
 toxic and ordinary, the probability of a word w after the word v is
 
-    P_c(w | v) = max(n_c(v, w) - 1, 0) / N_c(v) + T_c(v) / N_c(v) * P_c(w)
-    P_c(w)     = max(n_c(w) - D, 0) / N_c + (1 - mass kept) * S(w)
+    P_c(w | v) = own_c(v, w) / N_c(v) + g_c(v) * P_c(w),     own_c(v, w) = max(n_c(v, w) - r * E_c(v, w) - D, 0)
+    P_c(w)     = own_c(w) / N_c + g_c * S(w),                own_c(w)    = max(n_c(w) - r * E_c(w) - D, 0)
 
 n_c(v, w) and n_c(w) are continuation counts: the different words that come before the pair or word in class c, so copies
-of a text don't raise them. N and T are their sums and numbers of kinds, D is `DISCOUNT`; pairs are discounted by a whole
-count, so a pair with one word before it anywhere adds nothing but backing off. S is the backoff that both classes share: a
-word weighs one for each class that has it, and all unseen words together weigh one. A rare expression so gets nearly the
-same probability in both classes. Each P_c(. | v) is a distribution.
-
-The score compares the two length-normalised log-likelihoods, of the whole text by P_c(w | v) and of its most toxic single
-word by P_c(w): a logistic curve of both differences and of the text's length.
-
-The models are fitted on at most `PER_CLASS` labelled rows of each class, those with the smallest hashes of doc_id, which
-bounds what the driver collects and the tasks hold; no word of theirs is left out. The curve is fitted on the same rows,
-each half of them scored by the models of the other half, weighted to the shares of all labelled rows. Rows whose
-crc32(doc_id as text) mod 5 is 0 are held out from both. A doc_id with several labels is toxic if any says so. Null and
-empty texts score like texts without a word; without labelled rows of both classes every score is the share of toxic
-labels, 0 if there are none. Repeated rows score alike; an empty table gives no rows; other columns are ignored, whatever
-their names.
+of a text don't raise them. N are their sums. S is the backoff that both classes share: the classes' continuation shares,
+weighted by how many labelled rows each has, unseen words together counting as one more word. E_c is the count that the
+shared rates explain: N_c * S(w), and N_c(v) times the share of w among what follows v in both classes. A class so keeps a count of its
+own only for what it says more than r times as often as all text does, beyond the discount D; everything else, and every rare expression,
+backs off to the same shared probability in both. g is the mass that is left, so each P_c(. | v) is a distribution. r is
+`EXCESS`, but at most half way to the rate of an expression that only the smaller class has.
+
+The score is a logistic curve of one number, the difference of the two length-normalised log-likelihoods of the whole text, toxic less
+ordinary. Words and pairs without counts of their own add log(g_toxic / g_ordinary) whatever they are, so only expressions
+with counts of their own leave the tables: each has more than D different words before it.
+
+The models are fitted on at most `PER_CLASS` labelled rows of each class, those with the smallest hashes of doc_id; no word of
+theirs is left out. The curve is fitted on the same rows, each half of them compared by the models of the other half, weighted to the
+shares of all labelled rows. Rows whose crc32(doc_id as text) mod 5 is 0 are held out from both. A doc_id with several
+labels is toxic if any says so. Null and empty texts score like texts whose words are all shared; without labelled rows of
+both classes every score is the share of toxic labels, 0 if there are none. Repeated rows score alike; an empty table gives
+no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 
 from sparklode.sources.scratch import Scratch
 
-DISCOUNT, PER_CLASS, FOLDS, RIDGE = 0.75, 4000, 5, 1.0
+DISCOUNT, EXCESS, PER_CLASS, FOLDS, RIDGE = 3.0, 2.0, 4000, 5, 0.1
 #: What stands before a text's first word, and a factor that makes one number of two words.
 START, MIX = 0, 0x9E3779B97F4A7C15
 
@@ -68,11 +70,11 @@ def pairs_of(left: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 class Lookup:
-    """Rows of numbers by key; zeros where the key is missing."""
+    """Rows of numbers by key, and a row for missing keys."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
+    def __init__(self, keys: np.ndarray, values: np.ndarray, missing: list[float]) -> None:
         order = np.argsort(keys)
-        self.keys, self.values = keys[order], np.vstack([values[order], np.zeros((1, 2))])
+        self.keys, self.values = keys[order], np.vstack([values.reshape(-1, len(missing))[order], missing])
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.keys, keys)
@@ -83,54 +85,49 @@ class Lookup:
 
 @dataclass
 class Model:
-    """Continuation counts (ordinary, toxic): of words, of pairs, and of each left word the sum N and the kinds T."""
+    """What is a class's own (ordinary, toxic): of words own_c(w) / N_c and S(w), of pairs own_c(v, w) / N_c(v), of left words
+    g_c(v); and g_c."""
 
     words: Lookup
     pairs: Lookup
-    sums: Lookup
-    kinds: Lookup
+    lefts: Lookup
+    rest: np.ndarray
 
     @classmethod
-    def of(cls, words: pd.DataFrame, pairs: pd.DataFrame, lefts: pd.DataFrame) -> Model:
-        """words and pairs: key, ordinary, toxic; lefts: key, n_ordinary, n_toxic, t_ordinary, t_toxic."""
+    def of(cls, words: pd.DataFrame, pairs: pd.DataFrame) -> Model:
+        """words: w, own_0, own_1, shared of all words with own counts or own pairs; pairs: v, w, own_0, own_1."""
 
-        def table(frame: pd.DataFrame, *columns: str) -> Lookup:
-            return Lookup(frame["key"].to_numpy(np.int64).view(np.uint64), frame[list(columns)].to_numpy(float))
+        def number(frame: pd.DataFrame, name: str) -> np.ndarray:
+            return frame[name].to_numpy(np.int64).view(np.uint64)
 
-        return cls(table(words, "ordinary", "toxic"), table(pairs, "ordinary", "toxic"), table(lefts, "n_ordinary", "n_toxic"), table(lefts, "t_ordinary", "t_toxic"))
-
-    def __post_init__(self) -> None:
-        counts = self.words.values[:-1]
-        self.totals = np.maximum(counts.sum(axis=0), 1)
-        self.backoff = 1 - np.maximum(counts - DISCOUNT, 0).sum(axis=0) / self.totals
-        self.shared_total = float((counts > 0).sum()) + 1
+        own = pairs[["own_0", "own_1"]].to_numpy(float)
+        lefts, at = np.unique(number(pairs, "v"), return_inverse=True)
+        held = np.zeros((len(lefts), 2))
+        np.add.at(held, at, own)
+        alone = words[["own_0", "own_1", "shared"]].to_numpy(float)
+        # A word that has no row has no counts of its own; its shared probability cancels, so any stands for it.
+        return cls(Lookup(number(words, "w"), alone, [0, 0, 1]), Lookup(pairs_of(number(pairs, "v"), number(pairs, "w")), own, [0, 0]), Lookup(lefts, 1 - held, [1, 1]), 1 - alone[:, :2].sum(axis=0))
 
     def single(self, words: np.ndarray) -> np.ndarray:
-        """P_c(w) of each word, by class."""
-        counts = self.words(words)
-        shared = np.maximum((counts > 0).sum(axis=1, keepdims=True), 1) / self.shared_total
-        return np.maximum(counts - DISCOUNT, 0) / self.totals + self.backoff * shared
+        """P_c(w) of each word, by class; times a number that both classes share where a word has no row."""
+        found = self.words(words)
+        return found[:, :2] + self.rest * found[:, 2:]
 
     def after(self, left: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """P_c(w | v) of each word after its left word, by class."""
-        sums, kinds = self.sums(left), self.kinds(left)
-        rest = np.where(sums > 0, kinds / np.maximum(sums, 1), 1.0)
-        own = np.maximum(self.pairs(pairs_of(left, words)) - 1, 0) / np.maximum(sums, 1)
-        return np.where(sums > 0, own, 0.0) + rest * self.single(words)
-
-    def features(self, texts: list[str | None]) -> np.ndarray:
-        """For each text the differences of length-normalised log-likelihoods, toxic less ordinary: of the most toxic word by
-        itself, and of the whole text, each word in its context; and the logarithm of the length. The texts go together."""
+        """P_c(w | v) of each word after its left word, by class; as in `single`."""
+        return self.pairs(pairs_of(left, words)) + self.lefts(left) * self.single(words)
+
+    def differences(self, texts: list[str | None]) -> np.ndarray:
+        """Each text's difference of length-normalised log-likelihoods, toxic less ordinary. The texts go together."""
         split = [hashes_of(t) for t in texts]
         sizes = np.array([len(w) for w in split], np.int64)
-        out = np.zeros((len(texts), 3))
+        out = np.full(len(texts), np.log(self.rest[1]) - np.log(self.rest[0]))
         some = np.nonzero(sizes)[0]
         if len(some):
             words = np.concatenate([split[k] for k in some])
             left = np.concatenate([before(split[k]) for k in some])
-            alone, whole = (np.log(p[:, 1]) - np.log(p[:, 0]) for p in (self.single(words), self.after(left, words)))
-            starts = np.cumsum(sizes[some]) - sizes[some]
-            out[some] = np.column_stack([np.maximum.reduceat(alone, starts), np.add.reduceat(whole, starts) / sizes[some], np.log1p(sizes[some])])
+            p = self.after(left, words)
+            out[some] = np.add.reduceat(np.log(p[:, 1]) - np.log(p[:, 0]), np.cumsum(sizes[some]) - sizes[some]) / sizes[some]
         return out
 
 
@@ -148,8 +145,8 @@ def together(texts: list[str | None], characters: int = 200_000) -> Iterator[lis
 
 
 def scores(model: Model, curve: np.ndarray, texts: list[str | None]) -> np.ndarray:
-    rows = [model.features(part) for part in together(texts)]
-    return 1 / (1 + np.exp(-np.clip(curve[0] + np.concatenate(rows) @ curve[1:], -500, 500))) if rows else np.zeros(0)
+    parts = [model.differences(part) for part in together(texts)]
+    return 1 / (1 + np.exp(-np.clip(curve[0] + curve[1] * np.concatenate(parts), -500, 500))) if parts else np.zeros(0)
 
 
 def logistic(features: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE, rounds: int = 40) -> np.ndarray:
@@ -216,8 +213,8 @@ def triples(sample: DataFrame) -> DataFrame:
     return sample.mapInArrow(run, "toxic int, half int, a long, v long, w long")
 
 
-#: Which rows a set of counts is taken from: all, or one half.
-TAKEN = ("all", "half0", "half1")
+#: Which rows a set of counts is taken from: all, or one half; and the classes.
+TAKEN, CLASSES = ("all", "half0", "half1"), (0, 1)
 
 
 def _taken(name: str) -> Column:
@@ -225,33 +222,45 @@ def _taken(name: str) -> Column:
 
 
 def continuation_counts(sample: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """Word counts (key, and by set and class) and pair counts (v, w, and by set and class) of the sample."""
+    """Word counts (w, and by set and class) and pair counts (v, w, and by set and class) of the sample; written."""
     where = [F.max(F.col("half") == k).alias(f"in{k}") for k in (0, 1)]
     runs = scratch.keep(triples(sample).groupBy("toxic", "a", "v", "w").agg(*where), "runs")
-    classes = (("ordinary", 0), ("toxic", 1))
-    each = [F.count_if((F.col("toxic") == k) & _taken(t)).alias(f"{t}_{name}") for t in TAKEN for name, k in classes]
+    each = [F.count_if((F.col("toxic") == c) & _taken(t)).cast("double").alias(f"{t}_{c}") for t in TAKEN for c in CLASSES]
     pairs = scratch.keep(runs.groupBy("v", "w").agg(*each), "pairs")
     lefts = runs.groupBy("toxic", "v", "w").agg(*[F.max(f"in{k}").alias(f"in{k}") for k in (0, 1)])
-    return lefts.groupBy(F.col("w").alias("key")).agg(*each), pairs
+    return scratch.keep(lefts.groupBy("w").agg(*each), "words"), pairs
+
+
+def excess(shares: list[float]) -> float:
+    return min(EXCESS, (1 + 1 / max(min(shares), 1e-9)) / 2)
+
+
+def own_counts(words: DataFrame, pairs: DataFrame, taken: str, shares: list[float]) -> tuple[DataFrame, DataFrame]:
+    """(w, own_0, own_1, shared) and (v, w, own_0, own_1) of one set, only what has counts of its own or is part of such a pair."""
+    name = [f"{taken}_{c}" for c in CLASSES]
+    ratio = excess(shares)
+    totals = words.agg(*[F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in name]).first()
+    shared = sum(F.lit(shares[c] / (totals[c] + 1)) * F.col(name[c]) for c in CLASSES)
+    more = lambda n, expected, total: F.greatest(n - ratio * expected - DISCOUNT, F.lit(0.0)) / F.greatest(total, F.lit(1.0))
+    alone = [more(F.col(name[c]), totals[c] * shared, F.lit(totals[c])).alias(f"own_{c}") for c in CLASSES]
+
+    # What follows a left word, by class; only pairs with more than the discount can have a count of their own.
+    after = pairs.groupBy("v").agg(*[F.sum(name[c]).alias(f"after_{c}") for c in CLASSES])
+    often = pairs.where(F.greatest(*name) > DISCOUNT).join(after, "v")
+    rate = lambda of: sum(F.lit(shares[c] / (totals[c] + 1)) * F.col(of[c]) for c in CLASSES)
+    afters = [f"after_{c}" for c in CLASSES]
+    share = rate(name) / rate(afters)
+    paired = often.select("v", "w", *[more(F.col(name[c]), F.col(afters[c]) * share, F.col(afters[c])).alias(f"own_{c}") for c in CLASSES])
+    paired = paired.where("own_0 + own_1 > 0")
+    ends = paired.select("w", F.lit(True).alias("ends")).distinct()
+    told = words.select("w", *alone, shared.alias("shared")).join(ends, "w", "left").where("own_0 + own_1 > 0 or ends").drop("ends")
+    return told, paired
 
 
-def models(sample: DataFrame, scratch: Scratch) -> dict[str, Model]:
-    """The models of all sampled rows and of each half."""
+def models(sample: DataFrame, scratch: Scratch, shares: list[float]) -> dict[str, Model]:
+    """The models of all sampled rows and of each half; `shares` are the classes' shares of the labelled rows."""
     words, pairs = continuation_counts(sample, scratch)
-    words = words.toPandas()
-    names = [f"{t}_{c}" for t in TAKEN for c in ("ordinary", "toxic")]
-    sums = [F.sum(n).alias(f"n_{n}") for n in names] + [F.count_if(F.col(n) > 0).alias(f"t_{n}") for n in names]
-    # A left word whose pairs all have one word before them, in both classes, only backs off, and so does such a pair.
-    seen_twice = F.greatest(*names) > 1
-    lefts = pairs.groupBy(F.col("v").alias("key")).agg(F.max(seen_twice).alias("told"), *sums).where("told").toPandas()
-    twice = pairs.where(seen_twice).toPandas()
-    twice["key"] = pairs_of(twice["v"].to_numpy(np.int64).view(np.uint64), twice["w"].to_numpy(np.int64).view(np.uint64)).view(np.int64)
-    out = {}
-    for t in TAKEN:
-        plain = {f"{t}_{c}": c for c in ("ordinary", "toxic")}
-        left = {f"{k}_{t}_{c}": f"{k}_{c}" for k in "nt" for c in ("ordinary", "toxic")}
-        out[t] = Model.of(words.rename(columns=plain), twice.rename(columns=plain), lefts.rename(columns=left))
-    return out
+    return {t: Model.of(*(table.toPandas() for table in own_counts(words, pairs, t, shares))) for t in TAKEN}
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple[Model, np.ndarray] | float:
@@ -261,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple
     if not all(held):
         return held[1] / max(1, sum(held))
     sample = scratch.keep(sample, "sample")
-    fitted = models(sample, scratch)
+    fitted = models(sample, scratch, [h / sum(held) for h in held])
     shared = docs.sparkSession.sparkContext.broadcast((fitted["half0"], fitted["half1"]))
 
     def crossed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,12 +278,11 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple
             texts, y, halves = (c.to_pylist() for c in batch.columns)
             for half in (0, 1):
                 mine = [k for k, h in enumerate(halves) if h == half]
-                for part in together(mine and [texts[k] for k in mine]):
+                for part in together([texts[k] for k in mine]):
                     done, mine = mine[: len(part)], mine[len(part) :]
-                    rows = shared.value[1 - half].features(part).T
-                    yield pa.RecordBatch.from_arrays([pa.array([float(y[k]) for k in done]), *(pa.array(c) for c in rows)], names=["y", "a", "b", "c"])
+                    yield pa.RecordBatch.from_arrays([pa.array([float(y[k]) for k in done]), pa.array(shared.value[1 - half].differences(part))], names=["y", "x"])
 
-    seen = sample.mapInArrow(crossed, "y double, a double, b double, c double").toPandas().to_numpy(float)
+    seen = sample.mapInArrow(crossed, "y double, x double").toPandas().to_numpy(float)
     shared.unpersist()
     y = seen[:, 0]
     have = np.array([(y == 0).sum(), (y == 1).sum()])

@@ -419,35 +419,62 @@ def test_viterbi_equals_all_cuts():
         assert sum(by_id[i] for i in ids) == pytest.approx(max(sum(scores[p] for p in c) for c in cuts if all(p in scores for p in c)))
 
 
-def test_kneser_ney(spark):
-    """Counts and probabilities of both classes against plain ones, and their sums."""
+def plain_models(texts, shares, discount, ratio):
+    """P_c(w) and P_c(w | v) of both classes by the docstring's formulas, with plain counters; texts are (text, class)."""
+    runs = [{(a, v, w) for text, y in texts if y == c for a, v, w in zip(["", "", *text.split()], ["", *text.split()], text.split())} for c in (0, 1)]
+    pair = [Counter((v, w) for _, v, w in r) for r in runs]
+    single = [Counter(w for _, w in p) for p in pair]
+    total = [sum(s.values()) for s in single]
+    after = [Counter() for _ in (0, 1)]
+    for c in (0, 1):
+        for (v, _), n in pair[c].items():
+            after[c][v] += n
+    seen = set(single[0]) | set(single[1])
+    shared = {w: sum(shares[c] * single[c][w] / (total[c] + 1) for c in (0, 1)) for w in seen}
+    own = [{w: max(single[c][w] - ratio * total[c] * shared[w] - discount, 0) / max(total[c], 1) for w in seen} for c in (0, 1)]
+    rest = [1 - sum(o.values()) for o in own]
+
+    def low(c, w):
+        return own[c].get(w, 0) + rest[c] * shared.get(w, 1 - sum(shared.values()))
+
+    def of(counts, key):
+        return sum(shares[c] / (total[c] + 1) * counts[c][key] for c in (0, 1))
+
+    def own_pair(c, v, w):
+        n = pair[c][v, w]
+        return max(n - ratio * after[c][v] * of(pair, (v, w)) / of(after, v) - discount, 0) / after[c][v] if n else 0.0
+
+    def high(c, v, w):
+        kept = sum(own_pair(c, v, x) for x in seen)
+        return own_pair(c, v, w) + (1 - kept) * low(c, w)
+
+    return low, high, seen
+
+
+def test_kneser_ney(spark, monkeypatch):
+    """Both classes' probabilities against plain ones, their sums, and the differences of texts."""
+    monkeypatch.setattr(toxicity, "DISCOUNT", 1.0)
     rng = random.Random(3)
-    rows = [(" ".join(rng.choices("abcdef", k=rng.randint(0, 12))), toxic, half) for toxic in (0, 1) for half in (0, 1) for _ in range(6)]
+    rows = [(" ".join(rng.choices("abcdef" if toxic == 0 else "abcxyx", k=rng.randint(0, 25))), toxic, half) for toxic in (0, 1) for half in (0, 1) for _ in range(8)]
     sample = spark.createDataFrame(rows, "text string, toxic int, half int")
-    fitted = toxicity.models(sample, exact.Scratch(spark, "test"))
-    vocabulary = [*"abcdef", "unseen"]
-    number = toxicity.hashes_of(" ".join(vocabulary))
+    shares = [0.8, 0.2]
+    ratio = toxicity.excess(shares)
+    assert ratio == 2.0 and toxicity.excess([0.5, 0.5]) == 1.5 and toxicity.excess([0.0, 1.0]) == 2.0
+    fitted = toxicity.models(sample, exact.Scratch(spark, "test"), shares)
+    texts = ["", "a", "x y x", "a b c d e f", "unseen words x", "x x y unseen y x a b"]
     for name, halves in (("all", {0, 1}), ("half0", {0}), ("half1", {1})):
-        runs = [{(a, v, w) for text, y, half in rows if y == c and half in halves for a, v, w in zip(["", "", *text.split()], ["", *text.split()], text.split())} for c in (0, 1)]
-        pair = [Counter((v, w) for _, v, w in r) for r in runs]
-        single = [Counter(w for _, w in p) for p in pair]
-        kinds = {w: max(1, sum(w in s for s in single)) for w in vocabulary}
-        total = sum(len(s) for s in single) + 1
-        model = fitted[name]
+        low, high, seen = plain_models([(t, y) for t, y, h in rows if h in halves], shares, 1.0, ratio)
         for c in (0, 1):
-            n = sum(single[c].values())
-            free = 1 - sum(max(x - 0.75, 0) for x in single[c].values()) / n
-            low = {w: max(single[c][w] - 0.75, 0) / n + free * kinds[w] / total for w in vocabulary}
-            assert model.single(number)[:, c] == pytest.approx([low[w] for w in vocabulary])
-            seen = [w for w in vocabulary if any(w in s for s in single)]
-            assert sum(low[w] for w in seen) + low["unseen"] == pytest.approx(1)
-            for v in ["", *vocabulary]:
-                after = {w: pair[c][v, w] for w in vocabulary if pair[c][v, w]}
-                told = any(pair[k][v, w] > 1 for w in vocabulary for k in (0, 1)) or name != "all"
-                want = [(max(after.get(w, 0) - 1, 0) + len(after) * low[w]) / sum(after.values()) if after else low[w] for w in vocabulary]
-                left = toxicity.hashes_of(v) if v else np.array([toxicity.START], np.uint64)
-                got = model.after(np.repeat(left, len(vocabulary)), number)[:, c]
-                assert not told or got == pytest.approx(want)
+            assert sum(low(c, w) for w in seen) + low(c, "unseen") == pytest.approx(1)
+            for v in ["", *seen]:
+                assert sum(high(c, v, w) for w in seen) + high(c, v, "unseen") == pytest.approx(1)
+        want = []
+        for t in texts:
+            w = t.split()
+            each = [np.log(high(1, v, x) / high(0, v, x)) for v, x in zip(["", *w], w)]
+            want.append(np.mean(each) if each else np.log(low(1, "unseen") / low(0, "unseen")))
+        assert fitted[name].differences(texts) == pytest.approx(want)
+    assert len(fitted["all"].pairs.keys) and fitted["all"].differences(["x y x"])[0] > fitted["all"].differences(["a b c"])[0]
     assert toxicity.fit(sample.select("text", F.monotonically_increasing_id().alias("doc_id")).where("false"), spark.createDataFrame([(1, 1)], "doc_id long, toxic int")) in (0.0, 1.0)
 
 
@@ -463,11 +490,20 @@ def test_smallest(spark):
 
 
 def test_toxicity(spark, odd, none):
-    rows = queries.op10_toxicity(spark, "/root/testdata/sf0.1")
-    seen = rows.join(load(spark, "/root/testdata/sf0.1", "labels"), "doc_id").where("held_out").select("score", "toxic", "predicted").toPandas()
-    pos, neg = (seen[seen.toxic == k].score.to_numpy() for k in (1, 0))
-    auc = ((pos[:, None] > neg[None, :]).mean() + 0.5 * (pos[:, None] == neg[None, :]).mean()).item()
-    assert auc > 0.9 and (seen[seen.predicted == 1].toxic == 1).mean() > 0.85
+    big = "/root/testdata/sf0.1"
+    docs, marks = load(spark, big, "documents", "doc_id", "text"), load(spark, big, "labels")
+    rows = queries.op10_toxicity(spark, big).join(marks, "doc_id").where("held_out")
+    seen = rows.join(docs, "doc_id").select("score", "toxic", "predicted", "text").toPandas()
+
+    def auc(x):
+        pos, neg = (x[seen.toxic == k] for k in (1, 0))
+        return ((pos[:, None] > neg[None, :]).mean() + 0.5 * (pos[:, None] == neg[None, :]).mean()).item()
+
+    assert auc(seen.score.to_numpy()) > 0.94 and (seen[seen.predicted == 1].toxic == 1).mean() > 0.95 and seen[seen.toxic == 1].predicted.mean() > 0.85
+    # The score is the curve of the comparison and nothing else, and rises with it.
+    model, curve = toxicity.fit(docs, marks)
+    x = model.differences(seen.text.tolist())
+    assert len(curve) == 2 and curve[1] > 0 and seen.score.to_numpy() == pytest.approx(1 / (1 + np.exp(-(curve[0] + curve[1] * x))))
     labels = load(spark, SMALL, "labels")
     assert toxicity.toxicity_scores(odd, labels).count() == len(ODD) + 1 and toxicity.toxicity_scores(none, labels).count() == 0
     assert {r["score"] for r in toxicity.toxicity_scores(odd, labels.limit(0)).collect()} == {0.0}
