@@ -4,23 +4,25 @@ Words are runs of non-white-space (ASCII white space); null text has none. Count
 word_chars (code points in words), n_symbols (characters of `#*$%&|<>`), n_dup_lines (lines with a word that equal an
 earlier line), n_repeat_words (words in 5-word windows that occur twice or more, the first occurrence included).
 
-Rules vote good (1), bad (-1) or abstain (0) on those counts. How they vote is a latent-class model: a document is good, or
-bad in one of as many kinds as there are rules, for a text that fails by its symbols need not fail by its length, and rules
-that fail together are one kind. In each class every rule has its own probability of voting bad, given that it votes; an
-abstaining rule says nothing. These accuracies and the classes' shares are estimated without labels by expectation-maximisation over the table of vote patterns, which has at most 3^rules rows
-whatever the input. The k-th bad kind starts where the k-th rule fails and the others vote as for good documents; all
-probabilities are estimated from the votes, with `PSEUDO_VOTES` votes for the start added. The posterior probability of
-being good, not the passing of all rules, decides: a document is kept when it does not fail the base rule and its posterior
-is at least one half. Without documents the model is its start. Null and empty texts have all counts 0 and fail the base
-rule. An empty table gives no rows; equal texts and repeated rows get equal results, whatever their ids, also where those
-are missing; other columns are ignored, whatever their names.
+Rules vote good (1), bad (-1) or abstain (0) on those counts and a few more; where counts of a short text say little, rules
+abstain. How they vote is a latent-class model: a document is good, or bad in one of the few `KINDS`, each of which several
+rules speak for, as texts that fail by noise need not fail by repetition. In each class every rule has its own probability of voting
+bad, given that it votes; an abstaining rule says nothing. These accuracies and the classes' shares are estimated without
+labels by expectation-maximisation over the table of vote patterns, which has at most 3^rules rows whatever the input. A kind
+starts where its own rules vote bad more often than not and the others as on good documents, and these rates, added as the votes
+of `ANCHOR` of all documents, keep a kind from turning into the failure of a single rule.
+
+The posterior probability of being good, not the passing of all rules, decides: a document is kept when it does not fail the base
+rule and its posterior is at least one half. One bad vote of a rule that also fires on good documents is so outweighed by the
+good votes of the others, while one that good documents never get is enough. Without documents the model is its start. Null
+and empty texts have all counts 0 and fail the base rule. An empty table gives no rows; equal texts and repeated rows get equal results,
+whatever their ids, also where those are missing; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import itertools
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,10 +36,14 @@ from sparklode.sources.scratch import Scratch
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
-NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters")
-#: Where estimation starts: the share of good documents, and how often a rule votes bad on them and on the bad kind that is
-#: named after it. So many votes for the start are added to those counted.
-START_GOOD, BAD_ON_GOOD, BAD_ON_ITS_KIND, PSEUDO_VOTES, ROUNDS = 0.85, 0.01, 0.9, 10.0, 60
+NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_ends", "n_distinct", "n_short")
+#: The bad kinds, and the rules that speak for each.
+KINDS = {"noise": ("symbols", "mean_word", "short_words"), "repetition": ("repeats", "dup_lines", "distinct"), "shape": ("length", "upper", "ends")}
+#: Where estimation starts: the share of good documents, and how often a rule votes bad on them and on a kind it speaks for. The
+#: start counts as the votes of so large a share of all documents, and of `PSEUDO_VOTES` at least.
+START_GOOD, BAD_ON_GOOD, BAD_ON_ITS_KIND, ANCHOR, PSEUDO_VOTES, ROUNDS = 0.85, 0.02, 0.6, 0.02, 10.0, 60
+#: Under so many words the rules on words and line ends abstain.
+ENOUGH_WORDS = 30
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -81,6 +87,9 @@ def counts_of(text: str | None) -> tuple[int, ...]:
         len(lines),
         upper,
         letters,
+        sum(line.rstrip()[-1:] in (b".", b"!", b"?", b":", b";") for line in lines),
+        len(set(words)),
+        sum(len(w) <= 3 for w in words),
     )
 
 
@@ -111,19 +120,29 @@ def rules(of: dict[str, Column] | None = None) -> dict[str, Column]:
     of = of or {n: F.col(n) for n in NAMES}
     words = of["n_words"]
     per_word = lambda n: of[n] / F.greatest(words, F.lit(1))
-    symbols, mean, repeats = map(per_word, ("n_symbols", "word_chars", "n_repeat_words"))
-    lines = of["n_dup_lines"] / F.greatest(of["n_lines"], F.lit(1))
+    per_line = lambda n: of[n] / F.greatest(of["n_lines"], F.lit(1))
+    symbols, mean, repeats, distinct, short = map(per_word, ("n_symbols", "word_chars", "n_repeat_words", "n_distinct", "n_short"))
+    repeated, ends = map(per_line, ("n_dup_lines", "n_ends"))
     upper = of["n_upper"] / F.greatest(of["n_letters"], F.lit(1))
+    enough = lambda vote: F.when(words < ENOUGH_WORDS, 0).otherwise(vote)
     return {
-        "length": _vote(words, words >= 25, words < 10),
-        "symbols": _vote(symbols, symbols < 0.1, symbols > 0.4),
-        "mean_word": _vote(mean, (mean > 3) & (mean < 10), (mean < 2) | (mean > 15)),
-        "repeats": _vote(repeats, repeats < 0.05, repeats > 0.2),
-        "dup_lines": _vote(lines, lines < 0.1, lines > 0.4),
-        "upper": _vote(upper, upper < 0.2, upper > 0.6),
+        "length": _vote(words, words >= 60, words < 30),
+        "symbols": _vote(symbols, symbols < 0.05, symbols > 0.2),
+        "mean_word": enough(_vote(mean, (mean > 4) & (mean < 6.5), (mean < 3.5) | (mean > 7))),
+        "repeats": _vote(repeats, repeats < 0.1, repeats > 0.2),
+        "dup_lines": _vote(repeated, repeated < 0.2, repeated > 0.4),
+        "upper": enough(_vote(upper, upper < 0.1, upper > 0.25)),
+        "ends": enough(_vote(ends, ends > 0.9, ends < 0.7)),
+        "distinct": _vote(distinct, distinct > 0.5, distinct < 0.3),
+        "short_words": enough(_vote(short, (short > 0.1) & (short < 0.45), (short < 0.03) | (short > 0.55))),
     }
 
 
+def spoken_for(names: Sequence[str], kinds: dict[str, Sequence[str]] = KINDS) -> list[list[int]]:
+    """For each kind the places of its rules among `names`."""
+    return [[names.index(r) for r in rules_] for rules_ in kinds.values()]
+
+
 @dataclass
 class LatentClasses:
     """shares: of the classes, good first; bad: class x rule, how often the rule votes bad on the class when it votes."""
@@ -132,10 +151,11 @@ class LatentClasses:
     bad: np.ndarray
 
     @classmethod
-    def start(cls, rules: int) -> LatentClasses:
-        bad = np.full((rules + 1, rules), BAD_ON_GOOD)
-        bad[np.arange(1, rules + 1), np.arange(rules)] = BAD_ON_ITS_KIND
-        return cls(np.array([START_GOOD, *[(1 - START_GOOD) / rules] * rules]), bad)
+    def start(cls, rules: int, kinds: list[list[int]]) -> LatentClasses:
+        bad = np.full((len(kinds) + 1, rules), BAD_ON_GOOD)
+        for k, own in enumerate(kinds, 1):
+            bad[k, own] = BAD_ON_ITS_KIND
+        return cls(np.array([START_GOOD, *[(1 - START_GOOD) / len(kinds)] * len(kinds)]), bad)
 
     def belongs(self, votes: np.ndarray) -> np.ndarray:
         """P(class | votes) of each row of `votes`."""
@@ -144,32 +164,38 @@ class LatentClasses:
         return likelihood / likelihood.sum(axis=1, keepdims=True)
 
 
-def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: int, rounds: int = ROUNDS) -> LatentClasses:
+def estimate(patterns: list[tuple[tuple[int, ...], int]], rules: int, kinds: list[list[int]], rounds: int = ROUNDS) -> LatentClasses:
     """The model of `patterns`, distinct vote vectors with their numbers of documents, by expectation-maximisation."""
-    start = model = LatentClasses.start(rules)
+    start = model = LatentClasses.start(rules, kinds)
     if not patterns:
         return model
     votes = np.array([p for p, _ in patterns])
     weight = np.array([w for _, w in patterns], float)
+    added = max(PSEUDO_VOTES, ANCHOR * weight.sum())
     for _ in range(rounds):
         here = model.belongs(votes) * weight[:, None]
         shares = here.sum(axis=0) + PSEUDO_VOTES * start.shares
         down, cast = here.T @ (votes < 0), here.T @ (votes != 0)
-        model = LatentClasses(shares / shares.sum(), (down + PSEUDO_VOTES * start.bad) / (cast + PSEUDO_VOTES))
+        model = LatentClasses(shares / shares.sum(), (down + added * start.bad) / (cast + added))
     return model
 
 
 def posterior(model: LatentClasses, votes: list[Column]) -> Column:
-    """P(good | votes): looked up by the votes' pattern, of which there are 3^rules."""
-    every = np.array(list(itertools.product((-1, 0, 1), repeat=len(votes))))
-    place = sum(((vote + 1) * 3**k for k, vote in enumerate(reversed(votes))), F.lit(1))
-    return F.element_at(F.lit(model.belongs(every)[:, 0].tolist()), place.cast("int"))
+    """P(good | votes)."""
+    logs = []
+    for share, bad in zip(model.shares.tolist(), model.bad.tolist()):
+        terms = [F.when(v < 0, float(np.log(b))).when(v > 0, float(np.log1p(-b))).otherwise(0.0) for v, b in zip(votes, bad)]
+        logs.append(sum(terms, F.lit(float(np.log(share)))))
+    # One-element arrays hold the logarithms and their largest, so that each is worked out once.
+    parts = F.transform(F.array(F.array(*logs)), lambda ls: F.transform(ls, lambda x: F.exp(x - F.array_max(ls))))[0]
+    return F.transform(F.array(parts), lambda p: p[0] / F.aggregate(p, F.lit(0.0), lambda s, x: s + x))[0]
 
 
 def _fitted(counted: DataFrame, names: dict[str, Column]) -> Column:
     """P(good) of each row of `counted`, which holds the counts, with the model estimated from all of them."""
     rows = counted.select(*[v.alias(n) for n, v in names.items()]).groupBy(*names).count().collect()
-    return posterior(estimate([(tuple(r[n] for n in names), r["count"]) for r in rows], len(names)), list(names.values()))
+    model = estimate([(tuple(r[n] for n in names), r["count"]) for r in rows], len(names), spoken_for(list(names)))
+    return posterior(model, list(names.values()))
 
 
 def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
