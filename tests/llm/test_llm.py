@@ -180,6 +180,9 @@ def test_forward_equals_all_paths():
     got = hmm.expected_counts(model, texts)
     assert got[0] == pytest.approx(starts) and got[2] == pytest.approx(emits) and got[3] == pytest.approx(sum(want))
     assert got[1].sum() == pytest.approx(sum(len(t) - 1 for t in texts))
+    for cells in (1, 2, 3):
+        parts = hmm.expected_counts(model, texts, cells)
+        assert all(x == pytest.approx(y) for x, y in zip(parts, got))
     better = model.updated(*got[:3])
     assert hmm.log_likelihoods(better, texts).sum() > sum(want) - 1
 
@@ -212,6 +215,51 @@ def test_language_model(spark, small, odd, none):
     assert hmm.language_model_scores(odd).count() == len(ODD) + 1 and hmm.language_model_scores(none).count() == 0
 
 
+def test_language_model_scores_by_all_paths(spark, monkeypatch):
+    """Whole scores of a tiny table, by adding up the paths of a fixed model, with words that are no symbols and words never seen."""
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(hmm, "train", lambda texts, prior, states, rounds: hmm.Hmm(rng.dirichlet([1, 1]), rng.dirichlet([1, 1], 2), rng.dirichlet(np.ones(len(prior)), 2), prior))
+    fixed = hmm.train(None, np.ones(5), 2, 0)
+    monkeypatch.setattr(hmm, "train", lambda texts, prior, states, rounds: fixed)
+    ids = [k for k in range(40) if zlib.crc32(str(k).encode()) % 10][:4] + [next(k for k in range(40) if zlib.crc32(str(k).encode()) % 10 == 0)]
+    texts = ["a a a b B c", "a b", "c d e a b", "", "a zz c e"]
+    rows = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")
+    counts = Counter(w for t in texts[:4] for w in t.lower().split())
+    head = sorted(counts, key=lambda w: (-counts[w], w))[:3]
+    rest = {w: n for w, n in counts.items() if w not in head}
+    total = sum(rest.values()) + 0.1 * (len(rest) + 1)
+    for r in hmm.language_model_scores(rows, counted=4, symbols=3, states=2).collect():
+        w = texts[ids.index(r["doc_id"])].lower().split()
+        symbols = [head.index(x) if x in head else 3 for x in w] + [4]
+        p = sum(
+            fixed.start[path[0]] * np.prod([fixed.move[a, b] for a, b in itertools.pairwise(path)]) * np.prod([fixed.emit[s, x] for s, x in zip(path, symbols)])
+            for path in itertools.product(range(2), repeat=len(symbols))
+        )
+        inside = sum(np.log10((rest.get(x, 0) + 0.1) / total) for x in w if x not in head)
+        assert r["score"] == pytest.approx(np.log10(p) + inside)
+    with pytest.raises(ValueError):
+        hmm.language_model_scores(rows, counted=10, symbols=20)
+
+
+def test_training_on_long_texts(spark):
+    """A corpus of long texts only is trained on, over more than 16 bits of symbols, and beats its base."""
+    pattern = "the cat sat on a mat and then the dog ran to an old red barn while it rained all day long".split()
+    rng = random.Random(8)
+    rows = [(k, " ".join(w if rng.random() > 0.1 else f"x{rng.randrange(30)}" for _ in range(230) for w in pattern)) for k in range(12)]
+    assert all(len(t.split()) > hmm.START_LENGTH for _, t in rows)
+    out = hmm.language_model_scores(spark.createDataFrame(rows, "doc_id long, text string"), counted=80_000, symbols=70_000).collect()
+    assert all(r["score"] > 0.9 * r["base_score"] for r in out) and all(r["score"] > r["base_score"] + 100 for r in out)
+
+
+def test_many_symbols(spark):
+    """Words beyond the 65536th keep their symbol."""
+    words = [f"w{k:05d}" for k in range(70_000)]
+    index = {w.encode(): k for k, w in enumerate(words)}
+    counts = hmm.Counts(index, np.ones(len(words)), len(words) + 1, len(words) + 1, 1, len(words))
+    symbols = np.frombuffer(counts.encoded("w00003 w69999 none")[4], hmm.SYMBOL)
+    assert symbols.tolist() == [3, 69_999, 70_000, 70_001]
+
+
 def test_quality(spark, small, odd, none):
     for r in queries.op5_quality_rules(spark, SMALL).collect():
         text = small[r["doc_id"]] or ""
