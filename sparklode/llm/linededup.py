@@ -6,13 +6,17 @@ all their lines except in the largest doc_id that holds them, where all of them
 are one document for the count. Rows without doc_id keep all their lines and count for none. Other columns are ignored,
 whatever their names; an empty table gives no rows.
 
-Runs: documents come in batches, here by ranges of doc_id with the largest first. A batch's keys are counted once a
+Runs: documents come in batches of about `BATCH_DOCS`, `BATCHES` at least, here by ranges of doc_id that hold about as many rows each,
+the largest ids first. A batch's keys are counted once a
 document and combined where they were read. The batch is merge-anti-joined with each run: keys that no run holds are new,
 and the batch's largest doc_id is their holder, which no later batch can exceed; only these make the batch's own run, so a
 key is in one run only. Keys that a run holds already add to a table of further counts. A run is a table bucketed and
 sorted by key, in as many buckets as the session has shuffle partitions, so that a batch just counted meets it, and runs
 meet each other, without moving the run. When a level has `FANOUT` runs, they are merged bucket by bucket into one of the
 next level, so a key is rewritten once a level. Keys are 128-bit hashes (two XXH64 with different seeds).
+
+A document's dropped lines are found by their places, which are set against all places of its text at once, so the work on a text
+grows with its lines and not with their square.
 """
 
 from __future__ import annotations
@@ -25,7 +29,7 @@ from pyspark.sql import functions as F
 from sparklode.llm.exact import LOWER, UPPER
 from sparklode.sources.scratch import Scratch
 
-MIN_LENGTH, MIN_DOCS, FANOUT, BATCHES = 20, 3, 2, 3
+MIN_LENGTH, MIN_DOCS, FANOUT, BATCHES, BATCH_DOCS = 20, 3, 2, 3, 100_000_000
 KEY = ["h1", "h2"]
 #: Lets a scan of a bucketed table with one file a bucket count as sorted.
 ORDERED = "spark.sql.legacy.bucketedTableScan.outputOrdering"
@@ -138,15 +142,21 @@ class SortedRuns:
         self.levels = []
 
 
-def repeated_keys(docs: DataFrame, scratch: Scratch, min_length: int = MIN_LENGTH, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
+def batch_ends(docs: DataFrame, batches: int) -> list[int]:
+    """The largest doc_id of each batch but the last, in falling order, by approximate quantiles; fewer where ids repeat a lot."""
+    at = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], F.lit(10_000))).first()[0] if batches > 1 else []
+    return sorted(set(at or []), reverse=True)
+
+
+def repeated_keys(docs: DataFrame, scratch: Scratch, min_length: int = MIN_LENGTH, min_docs: int = MIN_DOCS, batch_docs: int = BATCH_DOCS) -> DataFrame:
     """(h1, h2, holder): keys found in at least `min_docs` documents, with the largest doc_id that holds each; a written table."""
-    low, high, n, different = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("doc_id"), F.count_distinct("doc_id")).first()
+    n, different = docs.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
     runs = SortedRuns(scratch)
-    if low is None:
-        low = high = 0
-    step = -(-(high - low + 1) // batches)
-    for k in range(batches - 1, -1, -1):
-        part = docs.where(F.col("doc_id").between(low + k * step, low + (k + 1) * step - 1))
+    ends = batch_ends(docs, max(BATCHES, -(-n // batch_docs)))
+    for k in range(len(ends) + 1):
+        part = docs.where(F.col("doc_id").isNotNull())
+        part = part.where(F.col("doc_id") > ends[k]) if k < len(ends) else part
+        part = part.where(F.col("doc_id") <= ends[k - 1]) if k else part
         keys = long_keys(part, min_length)
         runs.add(keys.distinct() if n > different else keys)
     out = scratch.keep(runs.repeated(min_docs), "repeated")
@@ -154,19 +164,18 @@ def repeated_keys(docs: DataFrame, scratch: Scratch, min_length: int = MIN_LENGT
     return out
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_length: int = MIN_LENGTH, min_docs: int = MIN_DOCS, batch_docs: int = BATCH_DOCS) -> DataFrame:
     """(doc_id, n_lines, n_dropped, text): the text that is left of every row."""
     scratch = Scratch(docs.sparkSession, "lines")
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    repeated = repeated_keys(slim, scratch, min_length, min_docs, batches)
-    found = long_keys(slim, min_length).join(repeated, KEY).where(F.col("doc_id") < F.col("holder"))
-    dropped = found.groupBy("doc_id").agg(F.collect_set(F.concat_ws("/", *KEY)).alias("gone"))
-    lines = slim.join(dropped, "doc_id", "left").select("doc_id", lines_of(F.col("text")).alias("lines"), "gone")
-
-    def stays(line: Column) -> Column:
-        key = line_key(line)
-        return (F.length(key) < min_length) | ~F.array_contains("gone", F.concat_ws("/", *hashes(key)))
-
-    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.filter("lines", stays))
+    repeated = repeated_keys(slim, scratch, min_length, min_docs, batch_docs)
+    # Rows of one doc_id may have different texts: a row is known by its id and its text's hash, and rows equal in both fare alike.
+    named = slim.withColumn("of", F.xxhash64("text"))
+    placed = named.select("doc_id", "of", F.posexplode(F.transform(lines_of(F.col("text")), line_key)).alias("place", "key")).where(F.length("key") >= min_length)
+    found = placed.select("doc_id", "of", "place", *hashes(F.col("key"))).join(repeated, KEY).where(F.col("doc_id") < F.col("holder"))
+    dropped = found.groupBy("doc_id", "of").agg(F.collect_list("place").alias("gone"))
+    lines = named.join(dropped, ["doc_id", "of"], "left").select("doc_id", lines_of(F.col("text")).alias("lines"), "gone")
+    places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.when(F.col("gone").isNull(), F.col("lines")).otherwise(F.transform(places, lambda k: F.get("lines", k)))
     left = lines.select("doc_id", F.size("lines").cast("long").alias("n_lines"), kept.alias("kept"))
     return left.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), F.array_join("kept", "\n").alias("text"))

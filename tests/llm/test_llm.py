@@ -89,6 +89,38 @@ def test_lines(spark, odd, none):
     assert linededup.drop_repeated_lines(odd).count() == len(ODD) + 1 and linededup.drop_repeated_lines(none).count() == 0
 
 
+def test_lines_of_many_batches(spark):
+    """Many small batches, ids with a far-off one, rows that share an id but not a text: the same lines go."""
+    rng = random.Random(4)
+    pool = [f"a long enough line number {k} of many" for k in range(40)] + ["short", "", "x" * 19]
+    rows = [(rng.choice([k, k, 7]), "\n".join(rng.choices(pool, k=rng.randint(0, 12)))) for k in range(60)] + [(10**15, pool[0]), (None, pool[1])]
+    holders, docs = defaultdict(int), defaultdict(set)
+    for k, t in rows:
+        for line in t.split("\n"):
+            if k is not None and len(line) >= 20:
+                docs[line].add(k)
+                holders[line] = max(holders[line], k)
+    want = Counter((k, "\n".join(x for x in t.split("\n") if not (k is not None and len(docs[x]) >= 3 and k < holders[x]))) for k, t in rows)
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    for batch_docs in (9, 1000):
+        assert Counter((r["doc_id"], r["text"]) for r in linededup.drop_repeated_lines(table, batch_docs=batch_docs).collect()) == want
+    ends = linededup.batch_ends(table.where("doc_id is not null"), 4)
+    sizes = [sum(1 for k, _ in rows if k is not None and (i == 0 or k <= ends[i - 1]) and (i == len(ends) or k > ends[i])) for i in range(len(ends) + 1)]
+    assert sum(sizes) == 61 and max(sizes) < 40
+
+
+def test_lines_of_a_very_long_text(spark):
+    """Three texts of a hundred thousand lines: work that grows with their lines ends in seconds."""
+    import time
+
+    lines = [f"line number {k} which is long enough" for k in range(100_000)]
+    rows = [(k, "\n".join(lines[:50] + [f"only here in text {k} at all"] + lines[50:])) for k in (1, 2, 3)]
+    began = time.perf_counter()
+    got = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in linededup.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[3] == (100_001, 0, rows[2][1]) and got[1] == (100_001, 100_000, "only here in text 1 at all") and got[2][1] == 100_000
+    assert time.perf_counter() - began < 60
+
+
 def test_line_runs(spark):
     """Runs share no key, merges keep every key, and a key's holder is the one that came first."""
     rng = random.Random(8)
