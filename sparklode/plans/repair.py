@@ -55,7 +55,7 @@ def glued_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 INJECTED = [
     "", "\\footnote{x} here", "\n  % a comment", "one & two", "p{3cm} wide", "about 5\\% more", "one -- two", "\\label{eq} there", "\\textcolor{red}{x}",
     "a) first thing b) second", "Answer: 5", "словосочетаниеenglishword", "see figure 1", "а) слово d) word", "$a & b$ only", "https://x.org/a--b", "\\includegraphics{x}",
-    "<<quoted>>", "\\textbf{x} and", "thanks in advance", "t.me/somewhere", "costs $5", "($L) of", "x$y$z", "$cdot x$", "√x", "bro-\nken", "Options: a", "ending with,",
+    "<<quoted>>", "\\textbf{x} and", "thanks in advance", "t.me/somewhere", "costs $5", "($L) of", "x$y$z", "$cdot x$", "√x", "bro-\nken", "\nOptions: a", "ending with,",
 ]
 
 
