@@ -109,6 +109,11 @@ def shorten(text: Column, limit: int) -> Column:
     return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.regexp_replace(whole, "[ ,.;:!?-]+$", ""), F.lit("…")))
 
 
+def within_budgets(blocks: dict[int, Column]) -> Column:
+    """Blocks joined by spaces, each cut to its budget of characters; null and empty ones are left out."""
+    return F.concat_ws(" ", *[F.nullif(F.left(block, F.lit(budget)), F.lit("")) for budget, block in blocks.items()])
+
+
 def masked_numbers(text: Column) -> Column:
     return F.regexp_replace(text, "[0-9]+", "#")
 

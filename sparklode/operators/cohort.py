@@ -31,6 +31,30 @@ def counts_below(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return inside.join(parts, same).select(*keys, value, "n", (F.col("__inside") + F.col("__before")).alias("below"), "size")
 
 
+def ranked_values(df: DataFrame, keys: Sequence[str], value: str, ranks: dict[str, Column]) -> DataFrame:
+    """(keys, a column for each of `ranks`): the values at several ranks, each an expression over `size`, from one count.
+
+    A rank may lie between two: `name: (low, high)` gives their mean, as a median wants it."""
+    found = counts_below(df.where(F.col(value).isNotNull()), keys, value)
+    at = lambda rank: F.max(F.when((rank > F.col("below")) & (rank <= F.col("below") + F.col("n")), F.col(value)))
+    out = {name: (at(rank[0]) + at(rank[1])) / 2 if isinstance(rank, tuple) else at(rank) for name, rank in ranks.items()}
+    return found.groupBy(*keys).agg(*[c.alias(name) for name, c in out.items()])
+
+
+def round_rank(percent: int) -> Column:
+    """round(p / 100 * n), half to even, kept inside the list."""
+    return F.greatest(F.lit(1), F.least(F.bround(F.lit(percent) / 100 * F.col("size")).cast("long"), F.col("size")))
+
+
+def ceil_rank(percent: int) -> Column:
+    """ceil(p * n / 100)."""
+    return F.greatest(F.lit(1), F.ceil(F.lit(percent) * F.col("size") / 100))
+
+
+def median_ranks() -> tuple[Column, Column]:
+    return F.floor((F.col("size") + 1) / 2), F.floor(F.col("size") / 2) + 1
+
+
 def _at_rank(df: DataFrame, keys: Sequence[str], value: str, rank: Column, name: str) -> DataFrame:
     found = counts_below(df.where(F.col(value).isNotNull()), keys, value)
     return found.where((rank > F.col("below")) & (rank <= F.col("below") + F.col("n"))).select(*keys, F.col(value).alias(name))
@@ -38,13 +62,12 @@ def _at_rank(df: DataFrame, keys: Sequence[str], value: str, rank: Column, name:
 
 def nearest_rank_round(df: DataFrame, keys: Sequence[str], value: str, percent: int) -> DataFrame:
     """The value at index round(p / 100 * n) - 1 of the sorted values, half to even, kept inside the list."""
-    at = F.greatest(F.lit(1), F.least(F.bround(F.lit(percent) / 100 * F.col("size")).cast("long"), F.col("size")))
-    return _at_rank(df, keys, value, at, f"p{percent}")
+    return _at_rank(df, keys, value, round_rank(percent), f"p{percent}")
 
 
 def nearest_rank_ceil(df: DataFrame, keys: Sequence[str], value: str, percent: int) -> DataFrame:
     """The value at rank ceil(p * n / 100)."""
-    return _at_rank(df, keys, value, F.greatest(F.lit(1), F.ceil(F.lit(percent) * F.col("size") / 100)), f"p{percent}")
+    return _at_rank(df, keys, value, ceil_rank(percent), f"p{percent}")
 
 
 def percent_below(df: DataFrame, cohort: str, value: str, least: int) -> DataFrame:

@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from sparklode.operators.graph import connected_components
@@ -44,24 +43,50 @@ def text_groups(df: DataFrame, id_col: str, text: Column, least: int) -> DataFra
 
 
 def representatives(members: DataFrame, group: str, id_col: str, score: Sequence[Column]) -> DataFrame:
-    """Each group's member with the best scores, ties by the smallest id, and the rule that decided.
+    """(group, id, rule): each group's member with the best scores, ties by the smallest id, and the rule that decided.
 
-    The rule is `only` for groups of one, `score` where the first score is larger than anyone else's, else `tie`.
+    The rule is `only` for groups of one, `score` where the first score is larger than anyone else's, else `tie`. Ids are
+    numbers. Members are counted by group and first score where they are read, so a large group is no one task's work.
     """
-    w = W.partitionBy(group)
-    ranked = members.withColumn("__n", F.row_number().over(w.orderBy(*[s.desc() for s in score], F.col(id_col).asc())))
-    ranked = ranked.withColumn("__first", score[0]).withColumn("__top", F.max("__first").over(w)).withColumn("__size", F.count("*").over(w))
-    ranked = ranked.withColumn("__tops", F.count_if(F.col("__first") == F.col("__top")).over(w))
-    rule = F.when(F.col("__size") == 1, "only").when(F.col("__tops") == 1, "score").otherwise("tie")
-    return ranked.where("__n = 1").withColumn("rule", rule).drop("__n", "__first", "__top", "__size", "__tops")
+    rest = F.struct(*[s.alias(f"s{k}") for k, s in enumerate(score[1:])], (-F.col(id_col)).alias("less"), F.col(id_col).alias("id"))
+    by_score = members.groupBy(F.col(group), score[0].alias("__first")).agg(F.count("*").alias("__n"), F.max(rest).alias("__best"))
+    top = F.max(F.struct(F.col("__first"), F.col("__n"), F.col("__best")))
+    whole = by_score.groupBy(group).agg(F.sum("__n").alias("__size"), top.alias("__top"))
+    rule = F.when(F.col("__size") == 1, "only").when(F.col("__top.__n") == 1, "score").otherwise("tie")
+    return whole.select(group, F.col("__top.__best.id").alias(id_col), rule.alias("rule"))
+
+
+def chosen(members: DataFrame, margin: int = 2) -> DataFrame:
+    """(grp, id, rule, completeness, second) of members (grp, id, completeness, approved): which member stands for its group.
+
+    One approved member stands for it; else the most complete one, if no other comes within `margin`; else nobody does and the group
+    is left to a person, with the most complete member of the smallest id as a proposal. Completeness has few values, so a
+    group is counted by them."""
+    levels = members.groupBy("grp", "completeness").agg(F.count("*").alias("n"), F.min("id").alias("least"), F.count_if("approved").alias("yes"), F.min(F.when(F.col("approved"), F.col("id"))).alias("ok"))
+    whole = levels.groupBy("grp").agg(F.sum("yes").alias("yes"), F.min("ok").alias("ok"), F.reverse(F.array_sort(F.collect_list(F.struct("completeness", "n", "least")))).alias("by"))
+    best, next_ = F.get("by", F.lit(0)), F.get("by", F.lit(1))
+    second = F.when(best["n"] > 1, best["completeness"]).otherwise(next_["completeness"])
+    rule = F.when(F.col("yes") == 1, "approved").when(second.isNull() | (best["completeness"] - second >= margin), "margin").otherwise("human")
+    return whole.select("grp", F.when(F.col("yes") == 1, F.col("ok")).otherwise(best["least"]).alias("id"), rule.alias("rule"), best["completeness"].alias("completeness"), second.alias("second"))
+
+
+def without_conflicts(matches: DataFrame, anchors: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(candidate, anchor) of the candidates no two of whose anchors conflict: on each key the anchors that have one (a null agrees with
+    anything) have the same. Agreement isn't transitive over nulls, so anchors are compared all together, by counting keys."""
+    joined = matches.join(anchors.withColumnRenamed("id", "anchor"), "anchor")
+    counted = joined.groupBy("candidate").agg(*[(F.min(k) != F.max(k)).alias(f"__{j}") for j, k in enumerate(keys)])
+    clash = F.lit(False)
+    for j in range(len(keys)):
+        clash = clash | F.coalesce(F.col(f"__{j}"), F.lit(False))
+    return matches.join(counted.where(clash).select("candidate"), "candidate", "left_anti").select("candidate", "anchor")
 
 
 def collapse(ranked: DataFrame, id_col: str, group: str, rank: str, favourite: str) -> DataFrame:
-    """One result per duplicate group: its favourite if it is among the results, else the best-ranked; ids without a group stay."""
-    key = F.coalesce(F.col(group).cast("string"), F.concat(F.lit("own-"), F.col(id_col).cast("string")))
-    w = W.partitionBy("__key")
-    kept = ranked.withColumn("__key", key).withColumn("__n", F.row_number().over(w.orderBy(F.desc(F.coalesce(favourite, F.lit(False)).cast("int")), rank, id_col)))
-    return kept.withColumn("position", F.min(rank).over(w)).where("__n = 1").drop("__key", "__n")
+    """(id, position): one result per duplicate group, its favourite if it is among the results, else the best-ranked; ids without a
+    group stay. position is the group's best rank."""
+    key = F.coalesce(F.concat(F.lit("group-"), F.col(group).cast("string")), F.concat(F.lit("own-"), F.col(id_col).cast("string")))
+    first = F.min(F.struct((~F.coalesce(F.col(favourite), F.lit(False))).alias("other"), F.col(rank).alias("rank"), F.col(id_col).alias("id")))
+    return ranked.groupBy(key.alias("__key")).agg(first.alias("__best"), F.min(rank).alias("position")).select(F.col("__best.id").alias(id_col), "position")
 
 
 def bands(similarity: Column, duplicate: float, hidden: float) -> Column:

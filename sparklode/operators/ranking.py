@@ -66,11 +66,30 @@ def board_with_me(placed: DataFrame, top: int, mine: Column) -> DataFrame:
 
 def gap_to_better(df: DataFrame, value: str, board: Sequence[str]) -> DataFrame:
     """The distance to the next better distinct value on the board; null for the best."""
-    levels = df.select(*board, value).distinct()
-    nearest = levels.withColumn("__up", F.lag(value).over(W.partitionBy(*board).orderBy(F.desc(value)))).select(*board, value, "__up")
+    nearest = before_in_order(df.select(*board, value).distinct(), board, [F.desc(value)], value, "__up").select(*board, value, "__up")
     return df.join(nearest, [*board, value]).withColumn("gap", F.col("__up") - F.col(value)).drop("__up")
 
 
+def before_in_order(df: DataFrame, board: Sequence[str], order: Order, value: str, name: str) -> DataFrame:
+    """`df` with `value` of the row before on its board as `name`; null for a board's first row, and `value` must not be null.
+
+    Rows are dealt out by range of (board, order), so that a board with most of the rows is many tasks' work. The first row of a task's
+    part of a board takes the last value of the part before: one row a part, and at most two boards of a task go on elsewhere.
+    """
+    dealt = df.repartitionByRange(*[F.asc(b) for b in board], *order).withColumn("__part", F.spark_partition_id())
+    rows = Scratch(df.sparkSession, "before").keep(dealt, "dealt")
+    inside = W.partitionBy("__part", *board).orderBy(*order)
+    marked = rows.withColumn("__own", F.lag(value).over(inside)).withColumn("__first", F.row_number().over(inside) == 1).withColumn("__last", F.lead(value).over(inside).isNull())
+    ends = marked.where("__last").select(*[F.col(b).alias(f"__b{k}") for k, b in enumerate(board)], "__part", F.col(value).alias("__end"))
+    keys = [f"__b{k}" for k in range(len(board))]
+    carried = ends.withColumn("__carried", F.lag("__end").over(W.partitionBy(*keys).orderBy("__part"))).where("__carried is not null")
+    here = F.col("__part") == F.col("__p")
+    for k, b in enumerate(board):
+        here = here & F.col(b).eqNullSafe(F.col(f"__b{k}"))
+    joined = marked.join(F.broadcast(carried.select(F.col("__part").alias("__p"), *keys, "__carried")), here & F.col("__first"), "left")
+    return joined.withColumn(name, F.coalesce("__own", "__carried")).drop("__part", "__p", "__own", "__first", "__last", "__carried", *keys)
+
+
 def running_record(df: DataFrame, key: str, order: Order, value: Column, counts: Column) -> DataFrame:
     """Running maximum of `value` over earlier and this row; only rows where `counts` holds advance it."""
     frame = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -86,9 +105,12 @@ def day_streaks(days: DataFrame, key: str, day: str) -> DataFrame:
 
 
 def streak_summary(streaks: DataFrame, key: str, today: Column) -> DataFrame:
-    """Best run, and the run that reaches today or yesterday (0 without one)."""
+    """Best run, the run that reaches today or yesterday (0 without one), and the days of the seven up to today."""
     alive = F.col("last_day") >= F.date_sub(today, 1)
-    return streaks.groupBy(key).agg(F.max("length").alias("best"), F.coalesce(F.max(F.when(alive, F.col("length"))), F.lit(0)).alias("current"))
+    inside = F.datediff(F.least("last_day", today), F.greatest("first_day", F.date_sub(today, 6))) + 1
+    return streaks.groupBy(key).agg(
+        F.max("length").alias("best"), F.coalesce(F.max(F.when(alive, F.col("length"))), F.lit(0)).alias("current"), F.sum(F.greatest(inside, F.lit(0))).cast("long").alias("week")
+    )
 
 
 def longest_run(df: DataFrame, key: str, order: Order, failed: Column) -> DataFrame:

@@ -136,12 +136,13 @@ def anonymised(df: DataFrame, names: Sequence[str], keys: Sequence[str], salt: s
     return df.withColumns(hidden)
 
 
-def manifest(df: DataFrame, key: str, chunk: int) -> DataFrame:
+def manifest(df: DataFrame, key: str, chunk: int, line: Column | None = None) -> DataFrame:
     """(chunk_no, rows, digest): the package's chunks of consecutive ids with a digest of each.
 
-    A chunk is `chunk` neighbouring ids wide, so its rows and their digest are found in one task of bounded size.
+    A chunk is `chunk` neighbouring ids wide, so its rows and their digest are found in one task of bounded size. A row's line is
+    `line`, or else all its columns as JSON.
     """
-    line = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)])), 256)
+    line = F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(df.columns)])) if line is None else line, 256)
     lines = df.select(F.floor(F.col(key) / chunk).alias("chunk_no"), F.col(key).alias("__k"), line.alias("__l"))
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__k", "__l"))), lambda s: s["__l"]), "")
     return lines.groupBy("chunk_no").agg(F.count("*").alias("rows"), F.sha2(ordered, 256).alias("digest"))

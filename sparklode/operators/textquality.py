@@ -85,6 +85,48 @@ def quality_score(text: Column, quality: Column, toxic: Column) -> Column:
     )
 
 
+# The nine components of a text's quality, their weights, and what each asks.
+COMPONENTS: dict[str, tuple[float, str | None]] = {
+    "reviewed": (0.2, None),
+    "harmless": (0.15, None),
+    "long_enough": (0.15, None),
+    "ends_well": (0.1, r"[.!?:;)\"][ \t\n\r]*$"),
+    "no_link": (0.1, r"https?://"),
+    "even_dollars": (0.1, None),
+    "no_noise": (0.1, r"[%&*#$]{3}"),
+    "no_shouting": (0.05, r"[A-Z]{4,}[!]{2}"),
+    "no_table": (0.05, r" \| "),
+}
+
+
+def quality_components(text: Column, quality: Column, toxic: Column) -> dict[str, Column]:
+    """The points of each component; what can't be told gives none."""
+    holds = {
+        "reviewed": quality == 1,
+        "harmless": toxic == 0,
+        "long_enough": F.length(text) >= 200,
+        "ends_well": text.rlike(COMPONENTS["ends_well"][1]),
+        "even_dollars": F.length(F.regexp_replace(text, "[^$]", "")) % 2 == 0,
+    } | {name: ~text.rlike(pattern) for name, (_, pattern) in COMPONENTS.items() if name.startswith("no_")}
+    return {name: F.when(F.coalesce(holds[name], F.lit(False)), weight).otherwise(0.0) for name, (weight, _) in COMPONENTS.items()}
+
+
+def component_sql() -> dict[str, tuple[float, str]]:
+    """The weight and the SQL condition of each component, over text, quality and toxic."""
+    plain = {"reviewed": "quality = 1", "harmless": "toxic = 0", "long_enough": "length(text) >= 200", "even_dollars": "length(regexp_replace(text, '[^$]', '', 'g')) % 2 = 0"}
+    return {k: (w, plain.get(k) or ("not " if k.startswith("no_") else "") + f"regexp_matches(text, '{p}')") for k, (w, p) in COMPONENTS.items()}
+
+
+def component_sum(parts: Column) -> Column:
+    return F.round(F.aggregate(F.map_values(parts), F.lit(0.0), lambda s, x: s + x), 4)
+
+
+def explained(mine: Column, theirs: Column, names: list[str]) -> Column:
+    """The components in which two rows differ, each with + where the first has more, else -."""
+    differ = [F.when(mine[n] > theirs[n], f"{n}+").when(mine[n] < theirs[n], f"{n}-") for n in names]
+    return F.array_join(F.array_compact(F.array(*differ)), ",")
+
+
 def document_frequency(df: DataFrame, id_col: str, text: str) -> DataFrame:
     """In how many documents each term occurs; a document's terms are made distinct before they are shuffled."""
     terms = df.select(F.explode(F.array_distinct(T.tokens(F.col(text)))).alias("term"))

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from sparklode.plans.registry import Query
 
-MODULES = ("activity", "catalogue", "texts", "similar", "snapshots", "rules", "marks", "records", "neighbours", "live", "concepts", "files", "repair")
+MODULES = ("activity", "catalogue", "texts", "similar", "snapshots", "rules", "marks", "records", "neighbours", "live", "concepts", "files", "repair", "audits")
 
 
 def queries() -> dict[str, Query]:

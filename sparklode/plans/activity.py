@@ -9,6 +9,7 @@ from sparklode.functions import dates, scoring
 from sparklode.operators import cohort, ranking, relational
 from sparklode.plans.registry import Registry
 from sparklode.sources import load
+from sparklode.sources.scratch import Scratch
 
 register = Registry()
 
@@ -110,11 +111,12 @@ def day_streak_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(f"""
-select user_id, max(length) as best, coalesce(max(case when last_day >= date '2024-01-29' then length end), 0) as current
+select user_id, max(length) as best, coalesce(max(case when last_day >= date '2024-01-29' then length end), 0) as current,
+  sum(greatest(0, date_diff('day', greatest(first_day, date '2024-01-24'), least(last_day, date '2024-01-30')) + 1))::bigint as week
 from ({STREAKS_SQL}) group by user_id
 """)
 def day_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Best and current streak of local days, as of 2024-01-30."""
+    """Best and current streak of local days, and active days of the last seven, as of 2024-01-30."""
     return ranking.streak_summary(ranking.day_streaks(activity_days(spark, sf_dir), "user_id", "day"), "user_id", F.lit("2024-01-30").cast("date"))
 
 
@@ -206,8 +208,7 @@ select event_type, p90, p50 from a join b using (event_type)
 """)
 def nearest_rank_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both nearest-rank rules: rounded index (p90) and rank rounded up (p50)."""
-    rows = events(spark, sf_dir)
-    return cohort.nearest_rank_round(rows, ["event_type"], "value", 90).join(cohort.nearest_rank_ceil(rows, ["event_type"], "value", 50), "event_type")
+    return cohort.ranked_values(events(spark, sf_dir), ["event_type"], "value", {"p90": cohort.round_rank(90), "p50": cohort.ceil_rank(50)})
 
 
 @register("""
@@ -285,17 +286,19 @@ def personal_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
+with r as (select event_type, value, row_number() over (partition by event_type order by value) as k, count(*) over (partition by event_type) as n from events where value is not null),
+p as (select event_type, max(value) filter (where k = greatest(1, ceil(25 * n / 100.0))) as p25, max(value) filter (where k = greatest(1, ceil(90 * n / 100.0))) as p90 from r group by 1)
 select event_type, count(*) as attempts, round(median(value), 6) as median_value, round(100.0 * count(*) / sum(count(*)) over (), 4) as share,
- count(*) filter (where value > 100) as high from events group by event_type having count(*) >= 20
+ count(*) filter (where value > 100) as high, any_value(p25) as p25, any_value(p90) as p90 from events join p using (event_type) group by event_type having count(*) >= 20
 """)
 def economy_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Modes with enough attempts: size, median, share of all attempts of such modes, and high values."""
+    """Modes with enough attempts: size, median and percentiles, share of all attempts of such modes, and high values."""
     from pyspark.sql import Window as W
 
-    rows = events(spark, sf_dir).groupBy("event_type").agg(
-        F.count("*").alias("attempts"), F.round(F.median("value"), 6).alias("median_value"), F.count_if(F.col("value") > 100).alias("high")
-    )
-    rows = rows.where("attempts >= 20")
+    all_ = events(spark, sf_dir)
+    values = cohort.ranked_values(all_, ["event_type"], "value", {"median_value": cohort.median_ranks(), "p25": cohort.ceil_rank(25), "p90": cohort.ceil_rank(90)})
+    rows = all_.groupBy("event_type").agg(F.count("*").alias("attempts"), F.count_if(F.col("value") > 100).alias("high"))
+    rows = rows.where("attempts >= 20").join(values, "event_type").withColumn("median_value", F.round("median_value", 6))
     return rows.withColumn("share", F.round(100.0 * F.col("attempts") / F.sum("attempts").over(W.partitionBy()), 4))
 
 
@@ -405,18 +408,19 @@ def failure_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-with a as (select event_id, ts, ts + interval 90 minute as expires_at, case when event_type = 'error' then null else ts + (value * 2) * interval 1 minute end as submitted from events)
-select event_id, case when submitted is null or submitted > expires_at then true else false end as lapsed,
+with a as (select event_id, ts, ts + interval 90 minute as expires_at, ts + interval 95 minute as graced_at, case when event_type = 'error' then null else ts + (value * 2) * interval 1 minute end as submitted from events)
+select event_id, case when submitted is null or submitted > graced_at then true else false end as lapsed,
  cast(ceil(epoch(case when submitted is null or submitted > expires_at then expires_at else submitted end) - epoch(ts)) as bigint) as spent_s
 from a where expires_at < timestamp '2024-01-31 12:00:00'
 """)
 def lapsed_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Attempts past their time are closed at their expiry, not when found."""
+    """Attempts past their time and five minutes of grace have lapsed; all are closed at their expiry at the latest, not when found."""
     minutes = F.col("value") * 2
     rows = events(spark, sf_dir).withColumn("limit_s", F.lit(5400.0)).withColumn("used_s", F.when(F.col("event_type") != "error", minutes * 60))
+    lapsed = F.col("used_s").isNull() | (F.col("used_s") > F.col("limit_s") + 300)
     late = F.col("used_s").isNull() | (F.col("used_s") > F.col("limit_s"))
     open_ = rows.where(F.col("ts") + F.expr("INTERVAL 90 MINUTES") < "2024-01-31 12:00:00")
-    return open_.select("event_id", late.alias("lapsed"), F.ceil(F.round(F.when(late, F.col("limit_s")).otherwise(F.col("used_s")), 6)).cast("long").alias("spent_s"))
+    return open_.select("event_id", lapsed.alias("lapsed"), F.ceil(F.round(F.when(late, F.col("limit_s")).otherwise(F.col("used_s")), 6)).cast("long").alias("spent_s"))
 
 
 @register("""
@@ -444,11 +448,13 @@ def identity_link(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("""
 with p as (select user_id, ts, value from events where event_type = 'purchase')
-select user_id, count(*) as n, round(100 * pow(greatest(count(*) - 1, 0), 1.5), 4) as xp_needed from p group by user_id
+select user_id, count(*) as n, round(100 * pow(greatest(count(*) - 1, 0), 1.5), 4) as xp_needed, cast(floor(sum(value)) as bigint) as xp,
+  list_max(list_filter(range(1, 2000), lambda l: 100 * pow(l - 1, 1.5) <= floor(sum(value)))) as level from p group by user_id
 """)
 def level_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = events(spark, sf_dir).where("event_type = 'purchase'").groupBy("user_id").agg(F.count("*").alias("n"))
-    return rows.select("user_id", "n", F.round(scoring.xp_for_level(F.col("n")), 4).alias("xp_needed"))
+    """The experience that as many levels as purchases need, and the level that the purchases' value reaches."""
+    rows = events(spark, sf_dir).where("event_type = 'purchase'").groupBy("user_id").agg(F.count("*").alias("n"), F.floor(F.sum("value")).alias("xp"))
+    return rows.select("user_id", "n", F.round(scoring.xp_for_level(F.col("n")), 4).alias("xp_needed"), "xp", scoring.level_for_xp(F.col("xp")).cast("long").alias("level"))
 
 
 @register("""
@@ -534,3 +540,29 @@ def corpus_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     newest = F.date_format(F.max("ts"), "yyyy-MM-dd HH:mm:ss")
     one = events(spark, sf_dir).agg(F.count("*").alias("n"), F.sum("event_id").alias("id_sum"), newest.alias("newest"))
     return one.withColumn("digest", F.substring(F.sha1(F.concat_ws(",", "n", "id_sum", "newest")), 1, 16))
+
+
+@register("""
+with s as (select user_id, cast(ts as date) as day, round(sum(value), 6) as score from events where event_type = 'purchase' group by 1, 2),
+r as (select user_id, day, rank() over (partition by day order by score) - 1 as wins, rank() over (partition by day order by score desc) - 1 as losses, count(*) over (partition by day) - 1 as rivals from s)
+select user_id, sum(rivals)::bigint as duels, sum(wins)::bigint as won, sum(losses)::bigint as lost, sum(rivals - wins - losses)::bigint as drawn from r group by 1
+""")
+def duel_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's scores against those of all others of the same days: won, lost and drawn, counted without pairs."""
+    days = events(spark, sf_dir).where("event_type = 'purchase'").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.round(F.sum("value"), 6).alias("score"))
+    days = Scratch(spark, "duels").keep(days, "days")
+    placed = days.join(cohort.counts_below(days, ["day"], "score"), ["day", "score"])
+    lost = F.col("size") - F.col("below") - F.col("n")
+    return placed.groupBy("user_id").agg(F.sum(F.col("size") - 1).alias("duels"), F.sum("below").alias("won"), F.sum(lost).alias("lost"), F.sum(F.col("n") - 1).alias("drawn"))
+
+
+@register("""
+with u as (select event_type, user_id, count(*) as n, count(*) filter (where value > 50) as good from events group by 1, 2)
+select event_type, count(*) as users, sum(n)::bigint as attempts, sum(good)::bigint as good, round(sum(good) / sum(n)::double, 9) as share, max(n) as most, round(avg(n), 9) as mean, sum((good = 0)::int)::bigint as without from u group by 1
+""")
+def work_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each kind of work: who did it, how often and how well, the busiest, and those who never did well."""
+    by_user = events(spark, sf_dir).groupBy("event_type", "user_id").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("good"))
+    return by_user.groupBy("event_type").agg(
+        F.count("*").alias("users"), F.sum("n").alias("attempts"), F.sum("good").alias("good"), F.round(F.sum("good") / F.sum("n"), 9).alias("share"), F.max("n").alias("most"), F.round(F.avg("n"), 9).alias("mean"), F.count_if(F.col("good") == 0).alias("without")
+    )

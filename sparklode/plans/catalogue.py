@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from sparklode.operators import ranking, relational, reports
+from sparklode.operators import dedup, ranking, relational, reports
 from sparklode.plans.registry import Registry
 from sparklode.sources import load
 
@@ -306,12 +306,73 @@ def month_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register("""
-select l_partkey, max(l_shipdate) > date '1998-06-01' as stale from lineitem group by 1
+with built as (select l_partkey, max(o_orderdate) as built from lineitem join orders on l_orderkey = o_orderkey group by 1), edited as (select l_partkey, max(l_shipdate) as edited from lineitem group by 1)
+select l_partkey, edited > built as stale, date_diff('day', built, edited) as days from edited join built using (l_partkey)
 """)
 def as_of_staleness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items edited after their index was built."""
-    rows = load(spark, sf_dir, "lineitem", "l_partkey", "l_shipdate").groupBy("l_partkey").agg(F.max("l_shipdate").alias("edited"))
-    return rows.select("l_partkey", (F.col("edited") > "1998-06-01").alias("stale"))
+    """Items last shipped after they were last ordered, each compared with its own date."""
+    rows = load(spark, sf_dir, "lineitem", "l_partkey", "l_orderkey", "l_shipdate")
+    edited = rows.groupBy("l_partkey").agg(F.max("l_shipdate").alias("edited"))
+    built = rows.join(load(spark, sf_dir, "orders", "o_orderkey", "o_orderdate").withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey").groupBy("l_partkey").agg(F.max("o_orderdate").alias("built"))
+    return edited.join(built, "l_partkey").select("l_partkey", (F.col("edited") > F.col("built")).alias("stale"), F.datediff("edited", "built").cast("long").alias("days"))
+
+
+@register("""
+select r_name, n_name, year(o_orderdate) as year, count(distinct o_orderkey) as orders, cast(sum(cast(l_extendedprice * (1 - l_discount) as decimal(18,4))) as double) as revenue, min(o_totalprice) as cheapest, max(o_totalprice) as dearest
+from region join nation on n_regionkey = r_regionkey join customer on c_nationkey = n_nationkey join orders on o_custkey = c_custkey join lineitem on l_orderkey = o_orderkey join supplier on s_suppkey = l_suppkey and s_nationkey = c_nationkey
+group by all
+""")
+def revenue_by_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revenue of customers from suppliers of their own nation, by year: six tables joined."""
+    tables = {t: load(spark, sf_dir, t) for t in ("region", "nation", "customer", "orders", "lineitem", "supplier")}
+    joined = (
+        tables["lineitem"]
+        .join(tables["orders"], F.col("l_orderkey") == F.col("o_orderkey"))
+        .join(tables["customer"], F.col("o_custkey") == F.col("c_custkey"))
+        .join(tables["supplier"], (F.col("l_suppkey") == F.col("s_suppkey")) & (F.col("s_nationkey") == F.col("c_nationkey")))
+        .join(tables["nation"], F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(tables["region"], F.col("n_regionkey") == F.col("r_regionkey"))
+    )
+    revenue = F.sum((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)")).cast("double")
+    return joined.groupBy("r_name", "n_name", F.year("o_orderdate").alias("year")).agg(
+        F.count_distinct("o_orderkey").alias("orders"), revenue.alias("revenue"), F.min("o_totalprice").alias("cheapest"), F.max("o_totalprice").alias("dearest")
+    )
+
+
+@register("select l_returnflag as flag, l_linestatus as status, count(*) as n, cast(sum(cast(l_quantity as decimal(18,2))) as double) as quantity from lineitem group by all")
+def nested_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums by fields of the items of a JSON array in a column: each order's lines as one array, taken apart again."""
+    line = F.struct(F.col("l_returnflag").alias("flag"), F.col("l_linestatus").alias("status"), F.col("l_quantity").alias("quantity"))
+    lines = load(spark, sf_dir, "lineitem", "l_orderkey", "l_returnflag", "l_linestatus", "l_quantity").groupBy("l_orderkey").agg(F.to_json(F.collect_list(line)).alias("lines"))
+    items = lines.select(F.explode(F.from_json("lines", "array<struct<flag:string,status:string,quantity:double>>")).alias("x")).select("x.*")
+    return items.groupBy("flag", "status").agg(F.count("*").alias("n"), F.sum(F.col("quantity").cast("decimal(18,2)")).cast("double").alias("quantity"))
+
+
+@register("""
+with m as (select p_partkey, p_brand as grp, (p_name <> '')::int + (p_size > 20)::int + (p_retailprice > 1000)::int + (p_size % 2)::int + (p_partkey % 3 = 0)::int + (length(p_name) > 12)::int as completeness, p_partkey % 29 = 0 as approved from part),
+r as (select *, row_number() over (partition by grp order by completeness desc, p_partkey) as n, count(*) filter (where approved) over (partition by grp) as yes, min(p_partkey) filter (where approved) over (partition by grp) as ok,
+  nth_value(completeness, 2) over (partition by grp order by completeness desc, p_partkey rows between unbounded preceding and unbounded following) as second from m)
+select grp, case when yes = 1 then ok else p_partkey end as id, case when yes = 1 then 'approved' when second is null or completeness - second >= 2 then 'margin' else 'human' end as rule, completeness, second from r where n = 1
+""")
+def group_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which part stands for its brand and size: the approved one, else the clearly most complete one, else a person is asked."""
+    one = lambda c: c.cast("int")
+    rows = parts(spark, sf_dir)
+    filled = one(F.col("p_name") != "") + one(F.col("p_size") > 20) + one(F.col("p_retailprice") > 1000) + F.col("p_size") % 2 + one(F.col("p_partkey") % 3 == 0) + one(F.length("p_name") > 12)
+    members = rows.select(F.col("p_brand").alias("grp"), F.col("p_partkey").alias("id"), filled.alias("completeness"), (F.col("p_partkey") % 29 == 0).alias("approved"))
+    return dedup.chosen(members)
+
+
+@register("""
+with a as (select p_partkey as anchor, case when p_partkey % 4 <> 0 then p_size % 3 end as year, case when p_partkey % 3 <> 0 then left(p_brand, 7) end as stage from part), m as (select distinct l_orderkey as candidate, l_partkey as anchor from lineitem),
+c as (select x.candidate from m x join m y on x.candidate = y.candidate and x.anchor < y.anchor join a p on p.anchor = x.anchor join a q on q.anchor = y.anchor where p.year <> q.year or p.stage <> q.stage)
+select candidate, anchor from m where candidate not in (select candidate from c)
+""")
+def matches_without_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders whose parts agree on size class and brand, a missing one agreeing with any, with all pairs of their parts."""
+    matches = load(spark, sf_dir, "lineitem", F.col("l_orderkey").alias("candidate"), F.col("l_partkey").alias("anchor")).distinct()
+    rows = parts(spark, sf_dir).select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 4 != 0, F.col("p_size") % 3).alias("year"), F.when(F.col("p_partkey") % 3 != 0, F.substring("p_brand", 1, 7)).alias("stage"))
+    return dedup.without_conflicts(matches, rows, ["year", "stage"])
 
 
 @register("""
@@ -336,7 +397,7 @@ def global_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("""
 select l_returnflag, l_linestatus, cast(sum(cast(l_quantity as decimal(18,2))) as double) as sum_qty, round(sum(l_extendedprice), 1) as sum_base_price,
- round(avg(l_discount), 9) as avg_disc, count(*) as count_order from lineitem where l_shipdate <= timestamp '1998-09-02 00:00:00' group by all
+ round(avg(l_discount), 9) as avg_disc, count(*) as count_order, min(l_quantity) as least_qty, max(l_extendedprice) as top_price from lineitem where l_shipdate <= timestamp '1998-09-02 00:00:00' group by all
 """)
 def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "lineitem", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate")
@@ -346,4 +407,6 @@ def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.sum("l_extendedprice"), 1).alias("sum_base_price"),
         F.round(F.avg("l_discount"), 9).alias("avg_disc"),
         F.count("*").alias("count_order"),
+        F.min("l_quantity").alias("least_qty"),
+        F.max("l_extendedprice").alias("top_price"),
     )

@@ -122,20 +122,23 @@ def anonymised_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snapshot.anonymised(load(spark, sf_dir, "customer", "c_custkey", "c_name", "c_mktsegment"), ["c_name"], ["c_custkey"], "salt")
 
 
-@register()
+@register("""
+select doc_id // 500 as chunk_no, count(*) as rows, sha256(string_agg(sha256(concat_ws('|', doc_id, lang, sha256(text))), '' order by doc_id)) as digest from documents group by 1
+""")
 def package_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of 500 ids with their digests."""
-    return snapshot.manifest(load(spark, sf_dir, "documents", "doc_id", "text", "lang"), "doc_id", 500)
+    """Chunks of 500 ids with digests that depend on the rows' order."""
+    rows = load(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    return snapshot.manifest(rows, "doc_id", 500, F.concat_ws("|", "doc_id", "lang", F.sha2("text", 256)))
 
 
-@register("select doc_id, min(n) as copies from (select doc_id, count(*) over (partition by doc_id) as n from documents) group by 1")
+@register("select doc_id, row_number() over (order by (doc_id * 7919) % 1009, doc_id) as position from (select distinct doc_id from documents)")
 def json_lines_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents written as JSON lines with repeats and read back as a queue of ids without them."""
+    """Documents queued as JSON lines in a mixed order, a fifth of them again at the end, and read back as ids without repeats and with
+    their places."""
     scratch = Scratch(spark, "queue")
-    rows = load(spark, sf_dir, "documents", "doc_id", "lang")
+    rows = load(spark, sf_dir, "documents", "doc_id", "lang").orderBy((F.col("doc_id") * 7919) % 1009, "doc_id")
     rows.unionByName(rows.where("doc_id % 5 = 0")).write.json(scratch.path("lines"))
-    queue = formats.first_of_each(formats.read_json_lines(spark, scratch.path("lines"), "doc_id long, lang string"), "doc_id")
-    return queue.select("doc_id", F.lit(1).alias("copies"))
+    return formats.first_of_each(formats.read_json_lines(spark, scratch.path("lines"), "doc_id long, lang string"), "doc_id")
 
 
 @register("select doc_id, case when regexp_matches(t, '^[=+@\\t\\r-]') then '''' || t else t end as cell from (select doc_id, case when doc_id % 2 = 0 then '=' || lang else lang end as t from documents)")
@@ -201,14 +204,38 @@ def mastery_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", scoring.mastery(F.col("ok"), F.col("n"), F.col("hard")).alias("mastery"))
 
 
-ANSWERS = [("1,5", "3/2", 0.0), ("−2", "-2.0", 0.0), ("10", "10.4", 0.5), ("10", "10.6", 0.5), ("Yes  Sir", "yes sir", 0.0), ("1/0", "1/0", 0.0), ("abc", "3", 9.0), ("0.1", "0.10", 0.0), ("", "x", 0.0)]
+#: A right answer and one given, in all notations, from each part's size, price and name.
+ANSWERS = """
+case p_partkey % 9 when 0 then p_size || ',5' when 1 then '−' || p_size when 2 then '' || p_size when 3 then p_name when 4 then p_size || '/0' when 5 then p_name when 6 then '' || cast(p_size as double)
+  when 7 then ' ' || p_size || '/4 ' else '' end as correct,
+case p_partkey % 9 when 0 then (2 * p_size + 1) || '/2' when 1 then '-' || (p_size + p_partkey % 2) || '.0' when 2 then '' || (p_size + (p_partkey % 4) * 0.25) when 3 then '  ' || upper(p_name) || ' ' when 4 then p_size || '/0'
+  when 5 then '' || p_size when 6 then '+' || p_size || '.00' when 7 then replace('' || (p_size / 4.0), '.', ',') else 'x' end as given
+"""
+
 
+def _parsed_sql(text: str) -> str:
+    flat = f"translate(trim(translate({text}, '{T.DASHES}', '{'-' * len(T.DASHES)}')), ', ', '.')"
+    top, below = f"split_part({flat}, '/', 1)", f"split_part({flat}, '/', 2)"
+    return f"""case when regexp_matches({flat}, '^[+-]?[0-9]+([.][0-9]+)?$') then {flat}::double
+ when regexp_matches({flat}, '^-?[0-9]+/[0-9]+$') and try_cast({below} as double) <> 0 then {top}::double / {below}::double end"""
 
-@register("select * from (values ('1,5', '3/2', true), ('−2', '-2.0', true), ('10', '10.4', true), ('10', '10.6', false), ('Yes  Sir', 'yes sir', true), ('1/0', '1/0', true), ('abc', '3', false), ('0.1', '0.10', true), ('', 'x', false)) v(correct, given, ok)")
+
+@register(rf"""
+with a as (select p_partkey, {ANSWERS} from part), p as (select *, {_parsed_sql("correct")} as x, {_parsed_sql("given")} as y from a)
+select p_partkey, round(x, 9) as parsed, coalesce(case when x is not null and y is not null then abs(x - y) <= 0.5 * (p_partkey % 9 = 2)::int + 1e-12 end,
+  trim(regexp_replace(lower(correct), '[ \t\n\r\f\v]+', ' ', 'g')) = trim(regexp_replace(lower(given), '[ \t\n\r\f\v]+', ' ', 'g'))) as ok from p
+""")
 def open_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Open answers: numbers within a tolerance, else equal texts."""
-    rows = spark.createDataFrame(ANSWERS, "correct string, given string, tolerance double")
-    return rows.select("correct", "given", T.open_answer_right(F.col("correct"), F.col("given"), F.col("tolerance")).alias("ok"))
+    """Open answers: numbers in any notation within a tolerance, else equal texts."""
+    rows = load(spark, sf_dir, "part", "p_partkey", "p_name", "p_size").selectExpr("p_partkey", *[f"{x} as {name}" for x, name in _answer_parts()])
+    tolerance = F.when(F.col("p_partkey") % 9 == 2, 0.5).otherwise(0.0)
+    return rows.select("p_partkey", F.round(T.parsed_number(F.col("correct")), 9).alias("parsed"), T.open_answer_right(F.col("correct"), F.col("given"), tolerance).alias("ok"))
+
+
+def _answer_parts() -> list[tuple[str, str]]:
+    """The two expressions of ANSWERS with their names; both engines read them alike."""
+    first, second = ANSWERS.strip().rsplit(" as given", 1)[0].split(" as correct,")
+    return [(first, "correct"), (second, "given")]
 
 
 @register("""

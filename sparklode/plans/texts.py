@@ -55,23 +55,25 @@ def tri_sql(t: str) -> str:
 
 
 @register(f"""
-with p as (select a.doc_id, left(a.text, 300) as x, left(b.text, 300) as y from documents a join documents b on b.doc_id = a.doc_id + 1),
+with p as (select a.doc_id, a.text as x, b.text as y from documents a join documents b on b.doc_id = a.doc_id + 1),
 t as (select *, {tri_sql("x")} as tx, {tri_sql("y")} as ty, {numbers_sql("x")} as nx, {numbers_sql("y")} as ny from p)
-select doc_id, round(len(list_intersect(tx, ty)) / (len(tx) + len(ty) - len(list_intersect(tx, ty)))::double, 9) as jaccard, list_sort(nx) = list_sort(ny) as same_numbers, x = y as same_head,
+select doc_id, round(len(list_intersect(tx, ty)) / (len(tx) + len(ty) - len(list_intersect(tx, ty)))::double, 9) as jaccard, list_sort(nx) = list_sort(ny) as same_numbers, string_split(x, chr(10))[1] = string_split(y, chr(10))[1] as same_head, string_split(x, chr(10))[1] = string_split(y, chr(10))[1] and x <> y as header_clash,
  case when len(list_distinct(nx)) = 0 and len(list_distinct(ny)) = 0 then 'none' when len(list_intersect(list_distinct(nx), list_distinct(ny))) = len(list_distinct(nx)) and len(list_distinct(nx)) = len(list_distinct(ny)) then 'equal'
   when len(list_intersect(list_distinct(nx), list_distinct(ny))) = 0 then 'disjoint' when len(list_intersect(list_distinct(nx), list_distinct(ny))) in (len(list_distinct(nx)), len(list_distinct(ny))) then 'subset' else 'overlap' end as verdict
 from t
 """)
 def neighbour_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trigram overlap and number agreement of each document's head with the next document's."""
-    rows = docs(spark, sf_dir).select("doc_id", F.substring("text", 1, 300).alias("x"))
+    """Trigram overlap and number agreement of each document with the next one, and whether they share their first line but not their text."""
+    rows = docs(spark, sf_dir).select("doc_id", F.col("text").alias("x"))
     after = rows.select((F.col("doc_id") - 1).alias("doc_id"), F.col("x").alias("y"))
+    same_head = F.get(F.split("x", "\n", -1), F.lit(0)) == F.get(F.split("y", "\n", -1), F.lit(0))
     pairs = rows.join(after, "doc_id").withColumns({"nx": T.numbers(F.col("x")), "ny": T.numbers(F.col("y"))})
     return pairs.select(
         "doc_id",
         F.round(T.jaccard(T.trigrams(F.col("x")), T.trigrams(F.col("y"))), 9).alias("jaccard"),
         T.same_multiset(F.col("nx"), F.col("ny")).alias("same_numbers"),
-        (F.col("x") == F.col("y")).alias("same_head"),
+        same_head.alias("same_head"),
+        (same_head & (F.col("x") != F.col("y"))).alias("header_clash"),
         T.number_verdict(F.col("nx"), F.col("ny")).alias("verdict"),
     )
 
@@ -162,6 +164,48 @@ def source_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _component_sql() -> str:
+    """Each component's points, by name, as an SQL list of structures."""
+    conditions = textquality.component_sql()
+    return "[" + ", ".join(f"struct_pack(k := '{k}', v := case when coalesce({c}, false) then {w} else 0 end)" for k, (w, c) in conditions.items()) + "]"
+
+
+@register(f"""
+with c as (select doc_id, {_component_sql()} as c from documents left join (select doc_id, max(quality) as quality, max(toxic) as toxic from labels group by 1) using (doc_id)),
+p as (select a.doc_id, a.c as a, b.c as b from c a join c b on b.doc_id = a.doc_id + 1)
+select doc_id, round(list_sum(list_transform(a, lambda x: x.v)), 4)::double as score,
+  array_to_string(list_transform(list_filter(range(1, len(a) + 1), lambda i: a[i].v <> b[i].v), lambda i: a[i].k || case when a[i].v > b[i].v then '+' else '-' end), ',') as explained from p
+""")
+def quality_explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nine weighted components of each document's quality, and in which of them it is better or worse than the next document."""
+    marks = load(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    parts = textquality.quality_components(F.col("text"), F.col("quality"), F.col("toxic"))
+    scored = docs(spark, sf_dir).join(marks, "doc_id", "left").select("doc_id", F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), v)]).alias("c"))
+    after = scored.select((F.col("doc_id") - 1).alias("doc_id"), F.col("c").alias("d"))
+    return scored.join(after, "doc_id").select("doc_id", textquality.component_sum(F.col("c")).alias("score"), textquality.explained(F.col("c"), F.col("d"), list(parts)).alias("explained"))
+
+
+@register(r"""
+with f as (select doc_id, case doc_id % 3 when 0 then 'fi 2 1⁄2 ' when 1 then 'No — ' else '' end || text as seen from documents)
+select doc_id, sha1(trim(regexp_replace(translate(lower(translate(seen, '‐‑‒–—−―', '-------')), 'ё', 'е'), '[^\p{L}\p{N}]+', ' ', 'g'))) as statement_form from f
+""")
+def comparable_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The form in which statements are compared, of texts that begin with compatibility characters: ligature, exponent, fraction, sign."""
+    seen = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("ﬁ ² ½ "), F.col("text"))).when(F.col("doc_id") % 3 == 1, F.concat(F.lit("№ — "), F.col("text"))).otherwise(F.col("text"))
+    return docs(spark, sf_dir).select("doc_id", F.sha1(T.statement_form(seen)).alias("statement_form"))
+
+
+@register(r"""
+with l as (select doc_id, string_split(text, chr(10)) as l from documents)
+select doc_id, sha1(regexp_replace(concat_ws(' ', nullif(left(l[1], 60), ''), nullif(left(l[2], 200), ''), nullif(left(array_to_string(l[3:], ' '), 400), '')), '[0-9]+', '#', 'g')) as digest from l
+""")
+def budgeted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text of blocks, each within its budget of characters, empty ones left out, numbers masked."""
+    lines = F.split("text", "\n", -1)
+    blocks = {60: F.get(lines, F.lit(0)), 200: F.get(lines, F.lit(1)), 400: F.array_join(F.slice(lines, F.lit(3), F.greatest(F.size(lines), F.lit(1))), " ")}
+    return docs(spark, sf_dir).select("doc_id", F.sha1(T.masked_numbers(T.within_budgets(blocks))).alias("digest"))
+
+
 @register(r"""
 select doc_id, round(case when quality = 1 then 0.4 else 0 end + case when toxic = 0 then 0.2 else 0 end + case when length(text) >= 200 then 0.15 else 0 end
  + case when regexp_matches(rtrim(text), '[.!?:;)"]$') then 0.15 else 0 end + case when not regexp_matches(text, 'https?://') then 0.1 else 0 end, 4)::double as score

@@ -19,9 +19,14 @@ def read_json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def first_of_each(df: DataFrame, id_col: str) -> DataFrame:
-    """The queue's ids without repeats, numbered by their first appearance in the file."""
-    numbered = df.select(id_col, F.monotonically_increasing_id().alias("__at"))
-    return numbered.groupBy(id_col).agg(F.min("__at").alias("position"))
+    """(id, position): the queue's ids without repeats, numbered from 1 by their first appearance: files in order of their names, lines in
+    order. df comes right from a reader of files; however those are split over tasks, a line's place is its file, the block
+    it was read from and its turn there."""
+    from sparklode.operators.ranking import places
+
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("turn"))
+    first = df.select(id_col, at.alias("__at")).groupBy(id_col).agg(F.min("__at").alias("__at"))
+    return places(first, [F.asc("__at")]).select(id_col, F.col("place").alias("position"))
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
