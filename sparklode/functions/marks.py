@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 # Environments that may stand in a formula, and words that begin a task rather than an option; the names of
 # the reasons in tail_options are fixed too.
 ENVIRONMENTS = "align aligned array cases matrix pmatrix gathered".split()
+COMMANDS = (
+    "begin end frac dfrac tfrac sqrt cdot times div pm mp le leq ge geq ne neq approx equiv sum prod int lim infty log ln exp sin cos tan max min left right text mathrm mathbf overline "
+    "underline hat bar alpha beta gamma delta epsilon lambda mu pi sigma theta varepsilon Delta Pi Sigma Omega partial nabla to rightarrow Rightarrow quad qquad ldots dots cdots binom in cup cap subset"
+).split()
 TASK_WORDS = "find draw compute determine prove explain".split()
 OPTION = r"^\s*([0-9]{1,2}|[A-Za-z])[.)]\s+(\S.*?)\s*$"
 
@@ -32,7 +36,8 @@ def number_in_name(name: Column) -> Column:
 
 
 def formula_faults(body: Column) -> dict[str, Column]:
-    """braces: one closes before it opens or stays open; environment: one of unknown name; unclosed: begins and ends differ in number."""
+    """braces: one closes before it opens or stays open; environment: one of unknown name; unclosed: begins and ends differ in number;
+    command: one of unknown name."""
     marks = F.regexp_extract_all(F.regexp_replace(body, r"\\[{}]", ""), F.lit("[{}]"), 0)
     zero = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("low"))
 
@@ -44,6 +49,7 @@ def formula_faults(body: Column) -> dict[str, Column]:
     return {
         "braces": F.aggregate(marks, zero, step, lambda s: (s["depth"] != 0) | (s["low"] < 0)),
         "environment": F.exists(names, lambda n: ~n.isin(ENVIRONMENTS)),
+        "command": F.exists(F.regexp_extract_all(body, F.lit(r"\\([A-Za-z]+)"), 1), lambda n: ~n.isin(COMMANDS)),
         "unclosed": F.size(names) != F.size(F.regexp_extract_all(body, F.lit(r"\\end\{"), 0)),
     }
 

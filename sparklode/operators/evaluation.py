@@ -52,6 +52,13 @@ def graded(rankings: DataFrame, labels: DataFrame, counts: DataFrame, k: int, go
     return joined.withColumn("ndcg", F.coalesce(F.try_divide(F.col("dcg"), F.col("ideal")), F.lit(0.0))).drop("dcg", "ideal")
 
 
+def anchor_recall(rankings: DataFrame, anchors: DataFrame, ks: list[int]) -> DataFrame:
+    """(k, recall): the share of anchors (query_id, id), one a query, that stand among the first k; none is no anchors at all."""
+    found = anchors.join(rankings, ["query_id", "id"], "left")
+    shares = [F.struct(F.lit(k).alias("k"), F.avg(F.coalesce(F.col("rank") <= k, F.lit(False)).cast("int")).alias("recall")) for k in ks]
+    return found.agg(*[s.alias(f"s{j}") for j, s in enumerate(shares)]).select(F.explode(F.array(*[F.col(f"s{j}") for j in range(len(ks))])).alias("x")).select("x.*")
+
+
 def merged_judges(first: DataFrame, second: DataFrame, rule: str) -> DataFrame:
     """Two judges' labels, 0 to 2, by `consensus` (1, disputed, where they differ), `lenient` (the larger) or `strict` (the smaller).
 

@@ -566,3 +566,24 @@ def work_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_user.groupBy("event_type").agg(
         F.count("*").alias("users"), F.sum("n").alias("attempts"), F.sum("good").alias("good"), F.round(F.sum("good") / F.sum("n"), 9).alias("share"), F.max("n").alias("most"), F.round(F.avg("n"), 9).alias("mean"), F.count_if(F.col("good") == 0).alias("without")
     )
+
+
+def _daily_sql(anonymous: bool) -> str:
+    some = "" if anonymous else "where user_id % 10 <> 0"
+    return f"""select cast(ts as date) as day, user_id, max(value) as best from events {some} group by 1, 2"""
+
+
+@register(f"""
+with a as (select 'all' as kind, * from ({_daily_sql(True)}) union all select 'named', * from ({_daily_sql(False)})),
+p as (select *, row_number() over (partition by kind, day order by best desc, user_id) as place from a)
+select kind, cast(day as varchar) as day, user_id, best, place, place > 3 as outside_top from p where place <= 3 or user_id = 7
+""")
+def daily_boards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day's three best with user 7's own place, once with everybody and once without the anonymous rows."""
+    best = events(spark, sf_dir).groupBy(F.to_date("ts").alias("day"), "user_id").agg(F.max("value").alias("best"))
+    out = None
+    for kind, rows in (("all", best), ("named", best.where("user_id % 10 <> 0"))):
+        placed = ranking.places(rows, [F.desc("best"), F.asc("user_id")], ["day"])
+        board = ranking.board_with_me(placed, 3, F.col("user_id") == 7).withColumn("kind", F.lit(kind))
+        out = board if out is None else out.unionByName(board)
+    return out.select("kind", F.col("day").cast("string").alias("day"), "user_id", "best", "place", "outside_top")

@@ -124,17 +124,17 @@ def missing_on_either_side(spark: SparkSession, sf_dir: str) -> DataFrame:
 B = "chr(92)"
 FORMULA = (
     f"case p_partkey % 6 when 0 then {B} || 'frac{{1}}{{' || p_size || '}}' when 1 then {B} || 'frac{{1}}{{' || p_size when 2 then '}}' || p_size || '{{' "
-    f"when 3 then {B} || 'begin{{align}}x' || {B} || 'end{{align}}' when 4 then {B} || 'begin{{tikz}}x' || {B} || 'end{{tikz}}' else {B} || 'begin{{cases}}' || p_size end"
+    f"when 3 then {B} || 'begin{{align}}x' || {B} || 'end{{align}}' when 4 then {B} || 'begin{{tikz}}x' || {B} || 'end{{tikz}}' else {B} || 'begin{{cases}}' || p_size || case p_partkey % 4 when 0 then {B} || 'cdot x' when 1 then {B} || 'colour{{x}}' else '' end end"
 )
 
 
 @register(f"""
 with f as (select p_partkey, {FORMULA} as f from part), c as (select p_partkey, f, list_transform(string_split(f, ''), lambda x: case x when '{{' then 1 when '}}' then -1 else 0 end) as d from f)
-select p_partkey, list_sum(d) <> 0 or list_min(list_transform(range(1, len(d) + 1), lambda k: list_sum(d[1:k]))) < 0 as braces, contains(f, 'begin{{tikz}}') as environment,
+select p_partkey, list_sum(d) <> 0 or list_min(list_transform(range(1, len(d) + 1), lambda k: list_sum(d[1:k]))) < 0 as braces, contains(f, 'begin{{tikz}}') as environment, contains(f, 'colour') as command,
 len(regexp_extract_all(f, 'begin\\{{')) <> len(regexp_extract_all(f, 'end\\{{')) as unclosed from c
 """)
 def formula_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Braces that don't close, environments that aren't known, and those that aren't closed."""
+    """Braces that don't close, environments and commands that aren't known, and environments that aren't closed."""
     rows = load(spark, sf_dir, "part").select("p_partkey", F.expr(FORMULA).alias("f"))
     return rows.select("p_partkey", *[c.alias(n) for n, c in marks.formula_faults(F.col("f")).items()])
 
@@ -167,3 +167,23 @@ def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "documents", "doc_id", "text").join(labels, "doc_id", "left")
     critical = (F.length(F.coalesce("text", F.lit(""))) < 200) | F.contains("text", F.lit("#"))
     return relational.flag_changes(rows, critical, F.col("quality") == 1, F.col("toxic") == 1).select("doc_id", "action")
+
+
+PLACED = (
+    "case s_suppkey % 8 when 0 then 'г. ' || n_name || ', ул. Школьная, 18' when 1 then 'ул. Мира, 2, с. ' || n_name || ' ул. Новая, Тверская область, 171062' when 2 then 'REGION region, ' || n_name || ' CITY' "
+    "when 3 then '12 Main street, ' || n_name || ', 99' when 4 then '171062, Тверская область, д. 5' when 5 then 'town of ' || lower(n_name) || ' street 5; x' when 6 then 'district of ' || n_name else null end"
+)
+
+
+@register(f"""
+with s as (select s_suppkey, n_name, s_suppkey % 8 as k, row_number() over (partition by n_nationkey order by s_suppkey) as n from supplier join nation on s_nationkey = n_nationkey)
+select s_suppkey, case when k in (0, 1, 2, 6) or (k = 3 and n_name in (select n_name from nation where n_nationkey % 2 = 0)) then left(n_name, 1) || lower(substr(n_name, 2)) when k = 5 then lower(n_name) end as city from s
+""")
+def address_cities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of addresses in eight notations; every second nation's name is a known city."""
+    from sparklode.functions import address
+
+    nations = load(spark, sf_dir, "nation", "n_nationkey", "n_name")
+    known = [r["n_name"] for r in nations.where("n_nationkey % 2 = 0").select("n_name").orderBy("n_name").limit(1000).collect()]
+    rows = load(spark, sf_dir, "supplier", "s_suppkey", "s_nationkey").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    return rows.select("s_suppkey", address.city_of(F.expr(PLACED), F.array(*map(F.lit, known))).alias("city"))

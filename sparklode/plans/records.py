@@ -188,3 +188,22 @@ def exam_item_results(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("kind"), F.col("given"), F.array("p_brand"), F.col("marked"), correct, F.array(*map(F.lit, range(1, 6))), answers, truth, F.lit(250), F.lit(50), F.col("p_partkey") % 2 == 0
     )
     return rows.select("p_partkey", got.alias("x")).select("p_partkey", "x.*")
+
+
+NESTED = (
+    "'id: ' || o_orderkey || chr(10) || 'buyer:' || chr(10) || '  key: ' || o_custkey || chr(10) || '  note: \"a: b\"' || chr(10) || 'price: ' || round(o_totalprice, 2) || chr(10) || 'tags:' || chr(10) || '  - ' || o_orderstatus || chr(10) || '  - ' || o_orderpriority "
+    "|| case when o_orderkey % 5 = 0 then chr(10) || '    deep: x' else '' end || case when o_orderkey % 7 = 0 then chr(10) || 'id: 3' else '' end || case when o_orderkey % 11 = 0 then chr(10) || chr(9) || 'x: y' else '' end"
+)
+
+
+@register("""
+select o_orderkey, o_custkey as buyer, 'a: b' as note, o_orderpriority as second_tag,
+ array_to_string(list_filter([case when o_orderkey % 5 = 0 then 'line 9: below a value' end, case when o_orderkey % 7 = 0 then 'line ' || (9 + (o_orderkey % 5 = 0)::int) || ': id again' end,
+  case when o_orderkey % 11 = 0 then 'line ' || (9 + (o_orderkey % 5 = 0)::int + (o_orderkey % 7 = 0)::int) || ': tab' end], lambda x: x is not null), '; ') as errors from orders
+""")
+def nested_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with nested keys, lists and quoted values, all errors of each told."""
+    rows = load(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_totalprice", "o_orderstatus", "o_orderpriority")
+    parsed = formats.key_values(rows.select(F.expr(NESTED).alias("text")))
+    of = lambda path: F.col("fields")[path]
+    return parsed.select(of("id").cast("long").alias("o_orderkey"), of("buyer.key").cast("long").alias("buyer"), of("buyer.note").alias("note"), of("tags[1]").alias("second_tag"), F.array_join("errors", "; ").alias("errors"))

@@ -94,26 +94,62 @@ def repair_json(raw: pd.Series) -> pd.Series:
     return raw.map(lambda t: repaired_json(t) if isinstance(t, str) else None)
 
 
-def key_values(path_or_df: DataFrame, text: str = "text") -> DataFrame:
-    """Documents of `key: value` lines as maps, with all errors of a document in one array."""
+def nested_values(doc: str | None) -> tuple[dict[str, str], list[str]]:
+    """The leaves of a document of `key: value` lines by their paths, and all its errors.
+
+    Deeper indentation nests below the key before it, with a dot between; items of a list (`- value`) are numbered. Values may be
+    quoted. Comments and blank lines are passed over; what is no key, comes twice, is indented by a tab or below a value is an error."""
+    found: dict[str, str] = {}
+    errors: list[str] = []
+    #: Open levels: indentation, path, and how many list items stand there.
+    open_: list[list] = [[-1, "", 0]]
+    last: tuple[int, str] | None = None
+    for n, raw in enumerate((doc or "").split("\n"), 1):
+        line = raw.rstrip()
+        body = line.lstrip(" ")
+        if not body or body.startswith("#"):
+            continue
+        if body.startswith("\t"):
+            errors.append(f"line {n}: tab")
+            continue
+        indent = len(line) - len(body)
+        while indent <= open_[-1][0]:
+            open_.pop()
+        if last is not None and indent > last[0]:
+            if last[1] in found:
+                errors.append(f"line {n}: below a value")
+                continue
+            open_.append([last[0], last[1], 0])
+        prefix = open_[-1][1]
+        if body.startswith("- ") or body == "-":
+            path, value = f"{prefix}[{open_[-1][2]}]", body[1:].strip()
+            open_[-1][2] += 1
+        else:
+            key, colon, value = body.partition(":")
+            key, value = key.strip(), value.strip()
+            if not colon or not key:
+                errors.append(f"line {n}: no key")
+                continue
+            path = f"{prefix}.{key}" if prefix else key
+        if path in found:
+            errors.append(f"line {n}: {path} again")
+            continue
+        if len(value) > 1 and value[0] == value[-1] and value[0] in "\"'":
+            value = value[1:-1]
+        elif not value and not body.startswith("-"):
+            last = (indent, path)
+            continue
+        found[path] = value
+        last = (indent, path)
+    return found, errors
+
+
+def key_values(rows: DataFrame, text: str = "text") -> DataFrame:
+    """(fields, errors): documents of keys and values as maps from path to value, with all errors of a document in one array."""
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for rows in batches:
-            found, errors = [], []
-            for doc in rows["text"]:
-                pairs, bad = {}, []
-                for n, line in enumerate(doc.split("\n") if isinstance(doc, str) else [], 1):
-                    name, colon, value = line.partition(":")
-                    if not line.strip() or line.startswith("#"):
-                        continue
-                    if not colon or not name.strip():
-                        bad.append(f"line {n}: no key")
-                    elif name.strip() in pairs:
-                        bad.append(f"line {n}: {name.strip()} again")
-                    else:
-                        pairs[name.strip()] = value.strip()
-                found.append(pairs)
-                errors.append(bad)
-            yield pd.DataFrame({"fields": found, "errors": errors})
-
-    return path_or_df.select(F.col(text).alias("text")).mapInPandas(parse, "fields map<string,string>, errors array<string>")
+        for batch in batches:
+            read = [nested_values(doc if isinstance(doc, str) else None) for doc in batch["text"]]
+            yield pd.DataFrame({"fields": [f for f, _ in read], "errors": [e for _, e in read]})
+
+    return rows.select(F.col(text).alias("text")).mapInPandas(parse, "fields map<string,string>, errors array<string>")

@@ -168,3 +168,31 @@ def test_staleness(spark):
     assert got == want and set(want.values()) == {True, False}
     sums = {r["journal"]: r for r in staleness.audit(present, {"one": frame, "two": frame.where("seq < 40")}).collect()}
     assert sums["one"]["stale"] == sum(want.values()) and sums["one"]["entries"] == 90 and sums["union"]["stale"] >= sums["intersection"]["stale"] > 0
+
+
+def test_nested_documents():
+    doc = "# head\na: 1\nb:\n  c: 'x: y'\n  d:\n    - one\n    - two\n  e: 2\n\nf: \"q\"\n   g: 3\na: 4\nnone\n\th: 1\ni:\n  : 5\nj: http://x"
+    found, errors = formats.nested_values(doc)
+    assert found == {"a": "1", "b.c": "x: y", "b.d[0]": "one", "b.d[1]": "two", "b.e": "2", "f": "q", "j": "http://x"}
+    assert errors == ["line 11: below a value", "line 12: a again", "line 13: no key", "line 14: tab", "line 16: no key"]
+    assert formats.nested_values(None) == formats.nested_values("\n \n") == ({}, [])
+
+
+def test_addresses(spark):
+    from sparklode.functions import address
+
+    cases = {
+        "г. Тверь, ул. Школьная, 18": "Тверь",
+        "Россия, Волгоград, ул. Мира": "Волгоград",
+        "171062, Тверская область, с. Кемцы, д. 5": "Кемцы",
+        "ЧЕЛЯБИНСК ГОРОД, ул. Труда, 1": "Челябинск",
+        "РОСТОВ-НА-ДОНУ Г.": "Ростов-На-Дону",
+        "городской округ Самара, дом 3": "Самара",
+        "city of Leeds, 5 Main street": "Leeds",
+        "ул. Мира, 5": None,
+        "": None,
+        None: None,
+    }
+    rows = spark.createDataFrame([(a,) for a in cases], "a string")
+    got = {r["a"]: r["c"] for r in rows.select("a", address.city_of(F.col("a"), F.array(F.lit("ВОЛГОГРАД"))).alias("c")).collect()}
+    assert got == cases
