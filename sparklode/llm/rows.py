@@ -33,6 +33,9 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Re
 
 #: Rows of a block: as many bits as one of Spark's bitmaps has.
 BLOCK = 1 << 15
+#: Lets a task write the files of so many buckets side by side, instead of sorting its rows, texts and all, by bucket; a task with
+#: more blocks sorts the rest.
+SIDE_BY_SIDE = ("spark.sql.maxConcurrentOutputFileWriters", "4")
 
 
 def with_row(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
@@ -45,7 +48,13 @@ def with_row(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, str]:
     numbered = docs.withColumn(row, F.monotonically_increasing_id()).withColumn(block, _block(F.col(row)))
     name = f"numbered_rows_{uuid.uuid4().hex[:12]}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    numbered.write.bucketBy(buckets, block).option("path", scratch.path(name)).mode("overwrite").saveAsTable(name)
+    setting, side_by_side = SIDE_BY_SIDE
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, side_by_side)
+    try:
+        numbered.write.bucketBy(buckets, block).option("path", scratch.path(name)).mode("overwrite").saveAsTable(name)
+    finally:
+        spark.conf.set(setting, before)
     rows = spark.table(name)
     # The files stay; the frame knows them and their buckets without the catalogue's entry.
     spark.sql(f"drop table {name}")
