@@ -79,6 +79,36 @@ def test_secrets(spark, small, odd, none):
     assert secretscan.mask_secrets(odd).columns == odd.columns
 
 
+def test_recall_of_planted_secrets(small):
+    """Nine in ten random strings of each kind in a sensitive phrase are covered, and prose and plain identifiers are left alone."""
+    import base64
+    import string
+
+    rng = random.Random(1)
+    letters = string.ascii_letters + string.digits
+    of_ = lambda alphabet, n: "".join(rng.choices(alphabet, k=n))
+    url = lambda n: base64.urlsafe_b64encode(rng.randbytes(n)).decode().rstrip("=")
+    kinds = {
+        "base62 of 16": lambda: of_(letters, 16), "base62 of 24": lambda: of_(letters, 24), "base62 of 40": lambda: of_(letters, 40), "base64": lambda: base64.b64encode(rng.randbytes(25)).decode(),
+        "url-safe": lambda: url(18), "hexadecimal": lambda: rng.randbytes(16).hex().upper(), "uuid": lambda: "-".join(rng.randbytes(n).hex() for n in (4, 2, 2, 2, 6)),
+        "three parts": lambda: ".".join(map(url, (18, 40, 24))), "base36": lambda: of_(string.ascii_lowercase + string.digits, 20),
+    }
+    phrases = ["Authorization: Bearer {}", "session cookie {}", "private key {} end", "the signing key is {}.", "client credential {}", "login with {} now", "auth({})", "signature={}", "pwd {}", "passphrase '{}'"]
+    words_ = [w for t in small.values() for w in (t or "").split()]
+    novelty = secretscan.Novelty()
+    for kind, make in kinds.items():
+        hits = 0
+        for _ in range(100):
+            key = make()
+            text = " ".join(rng.choices(words_, k=40)) + "\n" + rng.choice(phrases).format(key) + "\n" + " ".join(rng.choices(words_, k=40))
+            at = text.index(key)
+            hits += sum(max(0, min(e, at + len(key)) - max(s, at)) for s, _, e in secretscan.all_spans(text, novelty)) >= 0.9 * len(key)
+        assert hits >= 90, kind
+    plain = "get_user_session_token refreshAccessTokenHandler authentication_provider_factory AbstractAuthenticationProcessingFilter session-timeout-seconds loginFormControllerTest 2024-01-15T10:22:33 com.example.auth.LoginService"
+    assert not [w for w in plain.split() if any(k == 3 for _, k, _ in secretscan.all_spans(f"the auth key {w} here", novelty))]
+    assert not [k for t in small.values() for _, k, _ in secretscan.all_spans(t, novelty) if k == 3]
+
+
 def test_lines(spark, odd, none):
     text = "A line that is long enough"
     rows = [(1, f"{text}\nshort\nx"), (2, f"  {text.upper()}\t\nshort"), (3, f"{text}\n{text}"), (4, None), (5, "short")]
