@@ -51,10 +51,19 @@ def month_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return written.select("o_custkey", "months", F.size(T.grade_numbers(F.col("months"))).cast("long").alias("n"))
 
 
-NAMED = "case p_partkey % 4 when 0 then 'школа № ' || p_size when 1 then p_name || ' ' || p_size || '-летия' when 2 then p_name || ' ' || p_size else p_name || ' ' || p_size || '.5' end"
+NAMED = (
+    "case p_partkey % 7 when 0 then 'школа №' || p_size || ', 12' when 1 then p_name || ' ' || p_size || '-летия' when 2 then p_name || ' ' || p_size when 3 then p_name || ' ' || p_size || '.5' "
+    "when 4 then p_size || ' лет ' || p_name || ' 7' when 5 then '(' || p_size || ') й летний' else 'дом 12345 ' || p_size || ' й летний ' || p_partkey end"
+)
 
 
-@register("select p_partkey, case when p_partkey % 4 in (0, 2) then p_size end as number from part")
+@register(f"""
+with n as (select p_partkey, string_split_regex(replace({NAMED}, '№', ' № '), '[\\s,;:()«»"]+') as w from part),
+s as (select *, list_filter(range(1, len(w) + 1), lambda i: i > 1 and w[i - 1] = '№' and regexp_matches(w[i], '^[0-9]+$')) as signed,
+  list_filter(range(1, len(w) + 1), lambda i: length(w[i]) <= 4 and regexp_matches(w[i], '^[0-9]+$') and not starts_with(coalesce(w[i + 1], ''), 'лет')
+    and not (coalesce(w[i + 1], '') = 'й' and starts_with(coalesce(w[i + 2], ''), 'лет'))) as bare from n)
+select p_partkey, try_cast(coalesce(w[signed[1]], w[bare[1]]) as int) as number from s
+""")
 def numbers_in_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numbers that name something; anniversaries and decimals are none."""
     return load(spark, sf_dir, "part").select("p_partkey", marks.number_in_name(F.expr(NAMED)).alias("number"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
@@ -79,3 +79,26 @@ def append_log(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     query = stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
+
+
+def event_log(stream: DataFrame, faults: dict[str, Column], path: str, checkpoint: str) -> StreamingQuery:
+    """An append-only log that no event can stop: rows with a fault go to `path`/refused with the names of their faults, all others to
+    `path`/events.
+
+    `faults` are conditions by name; one that can't be told is none. Each batch writes folders of its own number, so a batch that runs
+    again replaces what it wrote. A batch that can't be written is reported in `path`/failed and the stream goes on.
+    """
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        named = F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(F.coalesce(bad, F.lit(False)), name) for name, bad in faults.items()]))
+        marked = rows.withColumn("faults", named)
+        try:
+            marked.where(F.size("faults") == 0).drop("faults").write.mode("overwrite").parquet(f"{path}/events/batch={batch}")
+            marked.where(F.size("faults") > 0).write.mode("overwrite").parquet(f"{path}/refused/batch={batch}")
+        except Exception as error:  # an event log must not stop what it records
+            told = rows.sparkSession.createDataFrame([(batch, type(error).__name__)], "batch long, error string")
+            told.write.mode("overwrite").parquet(f"{path}/failed/batch={batch}")
+
+    query = stream.writeStream.outputMode("append").foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return query

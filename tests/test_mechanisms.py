@@ -233,3 +233,16 @@ def test_discard(spark):
     kept = Scratch(spark, "gone").keep(spark.range(2), "t")
     assert kept.count() == 2 and application_dir(spark) in kept.inputFiles()[0].replace("file:///", "file:///")
     assert callable(discard)
+
+
+def test_event_log_goes_on(spark, tmp_path):
+    """Rows with faults are refused, and a batch that can't be written is told of, while the stream ends well."""
+    from sparklode.streaming import counters
+
+    for k in range(3):
+        pd.DataFrame({"event_id": [2 * k, 2 * k + 1], "ts": [pd.Timestamp("2024-01-01")] * 2, "user_id": [k, k], "event_type": ["view", "odd"], "value": [1.0, None], "props": ["", ""]}).astype({"ts": "datetime64[us]"}).to_parquet(f"{tmp_path}/in-{k}.parquet")
+    faults = {"kind": F.col("event_type") == "odd", "value": F.col("value") > 5, "boom": F.when(F.col("event_id") == 2, F.raise_error(F.lit("no")).cast("boolean"))}
+    counters.event_log(counters.event_stream(spark, f"{tmp_path}/"), faults, f"{tmp_path}/log", f"{tmp_path}/checkpoint")
+    refused = spark.read.parquet(f"{tmp_path}/log/refused").collect()
+    assert {(r["event_id"], tuple(r["faults"])) for r in refused} == {(1, ("kind",)), (5, ("kind",))}
+    assert len(spark.read.parquet(f"{tmp_path}/log/failed").collect()) == 1
