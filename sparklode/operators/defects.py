@@ -34,7 +34,7 @@ TASK_WORDS = r"(?i)\?|find|compute|determine|prove|explain|draw|list|state|на
 CYRILLIC_LABEL, LATIN_LABEL = r"(?i)(^|[^\p{L}\p{N}])[абвгд]\)", r"(?i)(^|[^\p{L}\p{N}])[abcde]\)"
 FIGURE_WORDS = r"(?i)in the figure|see figure|see graph|на рисунке|на графике|см\.\s*рис"
 FIGURE_MARKS = r"\\includegraphics|!\[[^\]]*\]|\[(рис|figure)[^\]]*\]"
-SHORT_TITLE, LONG_TITLE, LONG_STATEMENT, STUB = 15, 200, 100, 40
+SHORT_TITLE, LONG_TITLE, LONG_STATEMENT, STUB, AROUND = 15, 200, 100, 40, 20
 
 MARKERS: dict[str, tuple[bool, str]] = {
     "footnote": (False, r"\\footnote\{"),
@@ -58,13 +58,18 @@ def outside(text: Column) -> Column:
 
 
 def snippet(text: Column, pattern: str) -> Column:
-    """The first match with up to twenty characters on either side."""
-    return F.regexp_extract(text, around(pattern), 0)
+    """The first match with up to `AROUND` characters of its line on either side."""
+    start, match = F.length(F.regexp_extract(text, first_match(pattern), 1)), F.regexp_extract(text, first_match(pattern), 2)
+    before = F.regexp_extract(F.right(F.left(text, start), F.lit(AROUND)), r"[^\n]*\z", 0)
+    after = F.regexp_extract(F.substring(text, start + F.length(match) + 1, F.lit(AROUND)), r"\A[^\n]*", 0)
+    return F.concat(before, match, after)
 
 
-def around(pattern: str) -> str:
-    bare = pattern.removeprefix("(?i)")
-    return f"{pattern[: len(pattern) - len(bare)]}[^\\n]{{0,20}}({bare})[^\\n]{{0,20}}"
+def sql_snippet(of: str, pattern: str) -> str:
+    """The same as an SQL expression."""
+    quoted = "'" + first_match(pattern).replace("'", "''") + "'"
+    start, match = f"length(regexp_extract({of}, {quoted}, 1))", f"regexp_extract({of}, {quoted}, 2)"
+    return f"(regexp_extract(right(left({of}, {start}), {AROUND}), '[^\\n]*\\z', 0) || {match} || regexp_extract(substr({of}, {start} + length({match}) + 1, {AROUND}), '\\A[^\\n]*', 0))"
 
 
 def fields(item: Mapping[str, Column]) -> dict[str, Column]:
@@ -79,10 +84,19 @@ def defect_classes(item: Mapping[str, Column]) -> Column:
 
     item: the texts of `fields`, and is_test (boolean), n_parts, labels (the parts' labels in one text), n_files."""
     text = fields(item)
-    title, statement = F.trim(text["title"]), text["statement"]
+    # A one-element array holds the texts, and those without their formulas, so that each is made once and not for every pattern.
+    held = F.struct(
+        F.trim(text["title"]).alias("title"), text["statement"].alias("statement"), text["worked"].alias("worked"), text["all"].alias("all"),
+        outside(text["all"]).alias("all_outside"), outside(text["plain"]).alias("plain_outside"),
+    )
+    return F.transform(F.array(held), lambda t: _classes(t, item))[0]
+
+
+def _classes(t: Column, item: Mapping[str, Column]) -> Column:
+    title, statement = t["title"], t["statement"]
     found: dict[str, Column] = {}
     for name, (field, plain, pattern) in PATTERNS.items():
-        of = outside(text[field]) if plain else (title if field == "title" else text[field])
+        of = t[f"{field}_outside"] if plain else t[field]
         found[name] = F.when(of.rlike(pattern), snippet(of, pattern))
     pool = F.concat_ws("\n", statement, item["labels"])
     bare = F.trim(statement, F.lit(" \t\n\r"))

@@ -93,7 +93,7 @@ def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _class_sql() -> str:
     out = lambda of: f"regexp_replace({of}, {_quoted(D.FORMULA)}, ' ', 'g')"
-    snip = lambda of, p: f"regexp_extract({of}, {_quoted(D.around(p))}, 0)"
+    snip = D.sql_snippet
     has = lambda of, p: f"regexp_matches({of}, {_quoted(p)})"
     cases = {}
     for name, (field, plain, pattern) in D.PATTERNS.items():
