@@ -200,6 +200,8 @@ def test_tail_options_of_odd_texts(spark):
 
 def test_formula_faults_and_names(spark):
     row = spark.range(1).select(*[c.alias(n) for n, c in marks.formula_faults(F.lit(r"\{ {a} \begin{cases}x\end{cases}")).items()]).first()
-    assert tuple(row) == (False, False, False)
+    assert tuple(row) == (False, False, False, False)
+    odd = spark.range(1).select(*[c.alias(n) for n, c in marks.formula_faults(F.lit(r"\begin{tikz} }{ \colour{x} \frac{1}{2}")).items()]).first()
+    assert odd.asDict() == {"braces": True, "environment": True, "command": True, "unclosed": True}
     names = spark.createDataFrame([("n 57",), ("n 50 лет",), ("12345",), ("3.5",), (None,), ("№ 8, 9",)], "t string")
     assert [r[0] for r in names.select(marks.number_in_name(F.col("t"))).collect()] == [57, None, None, None, None, 8]
