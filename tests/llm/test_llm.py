@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline against brute force on small tables."""
+"""Operators 1 to 10 and the pipeline against brute force on small tables."""
 
 from __future__ import annotations
 
