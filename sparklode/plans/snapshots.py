@@ -257,6 +257,8 @@ def _stream(spark: SparkSession, sf_dir: str, build, mode: str) -> DataFrame:
     stream = build(streams.event_stream(spark, f"{sf_dir}/events.parquet", watermark="60 days"))
     sink = streams.latest_result if mode == "complete" else streams.append_log
     sink(stream, scratch.path("result"), scratch.path("checkpoint"))
+    if mode == "complete":
+        return streams.latest(spark, scratch.path("result"), stream.schema)
     return spark.read.schema(stream.schema).parquet(scratch.path("result"))
 
 

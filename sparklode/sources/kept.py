@@ -59,6 +59,12 @@ class Folder:
         self.store.delete(self._path(aside), True)
         return False
 
+    def names(self) -> list[str]:
+        """The finished folders; none if there is no such place."""
+        here = self._path("")
+        found = self.store.listStatus(here) if self.store.exists(here) else []
+        return [s.getPath().getName() for s in found if s.isDirectory() and not s.getPath().getName().startswith(("_", "."))]
+
     def prune(self, builds: int, mine: str) -> None:
         """Delete all but `mine` and the newest others, `builds` in all; folders still being built are not builds."""
         others = [(s.getModificationTime(), s.getPath().getName()) for s in self.store.listStatus(self._path("")) if s.isDirectory()]

@@ -22,7 +22,7 @@ def write_all(path: str, data: bytes) -> None:
         stream.write(data)
 
 
-def listed(path: str, ending: str, marker: str | None = None) -> list[str]:
+def listed(path: str, ending: str) -> list[str]:
     """The files of a folder with this ending, as paths of the same kind, in order; an absent folder has none."""
     store, place = opened(path)
     found = store.get_file_info(fs.FileSelector(place, allow_not_found=True))

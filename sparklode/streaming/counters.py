@@ -9,6 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import StructType
+
+from sparklode.sources.kept import Folder
 
 SCHEMA = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
@@ -67,13 +70,27 @@ def without_repeats(events: DataFrame, seconds: float) -> DataFrame:
 
 
 def latest_result(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """The whole result after each batch, in Parquet files in place of the batch before's; a batch that runs again writes the same."""
-    query = stream.writeStream.outputMode("complete").foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(path))
+    """The whole result after each batch, in a folder of the batch's number that is renamed into place once whole; the one before stays,
+    for readers that have begun, and older ones go. A batch that runs again leaves what it wrote before."""
+
+    def keep(rows: DataFrame, batch: int) -> None:
+        store = Folder(rows.sparkSession, path)
+        rows.write.mode("overwrite").parquet(f"{path}/_building-{batch}")
+        store.renamed(f"_building-{batch}", f"batch-{batch:012d}")
+        store.prune(2, f"batch-{batch:012d}")
+
+    query = stream.writeStream.outputMode("complete").foreachBatch(keep)
     query = query.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return query
 
 
+def latest(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The newest whole result; nothing before the first."""
+    names = Folder(spark, path).names()
+    return spark.read.schema(schema).parquet(f"{path}/{max(names)}") if names else spark.createDataFrame([], schema)
+
+
 def append_log(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """Append-only Parquet sink, exactly once with its checkpoint."""
     query = stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

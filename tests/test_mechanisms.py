@@ -246,3 +246,18 @@ def test_event_log_goes_on(spark, tmp_path):
     refused = spark.read.parquet(f"{tmp_path}/log/refused").collect()
     assert {(r["event_id"], tuple(r["faults"])) for r in refused} == {(1, ("kind",)), (5, ("kind",))}
     assert len(spark.read.parquet(f"{tmp_path}/log/failed").collect()) == 1
+
+
+def test_latest_result(spark, tmp_path):
+    """Over several batches the newest whole result is what is read, and only it and the one before stay."""
+    from sparklode.streaming import counters
+
+    rows = pd.DataFrame({"event_id": range(40), "ts": [pd.Timestamp("2024-01-01")] * 40, "user_id": [k % 3 for k in range(40)], "event_type": ["purchase"] * 40, "value": [1.0] * 40, "props": [""] * 40}).astype({"ts": "datetime64[us]"})
+    os.makedirs(f"{tmp_path}/in")
+    for k in range(4):
+        rows[k * 10 : k * 10 + 10].to_parquet(f"{tmp_path}/in/{k}.parquet")
+    stream = counters.counters(counters.event_stream(spark, f"{tmp_path}/in/"))
+    assert counters.latest(spark, f"{tmp_path}/out", stream.schema).count() == 0
+    counters.latest_result(stream, f"{tmp_path}/out", f"{tmp_path}/checkpoint")
+    got = {r["item"]: r["shown"] for r in counters.latest(spark, f"{tmp_path}/out", stream.schema).collect()}
+    assert got == {0: 14, 1: 13, 2: 13} and len([d for d in os.listdir(f"{tmp_path}/out") if not d.startswith((".", "_"))]) == 2
