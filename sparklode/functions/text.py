@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -109,9 +110,9 @@ def shorten(text: Column, limit: int) -> Column:
     return F.when(F.length(flat) <= limit, flat).otherwise(F.concat(F.regexp_replace(whole, "[ ,.;:!?-]+$", ""), F.lit("…")))
 
 
-def within_budgets(blocks: dict[int, Column]) -> Column:
-    """Blocks joined by spaces, each cut to its budget of characters; null and empty ones are left out."""
-    return F.concat_ws(" ", *[F.nullif(F.left(block, F.lit(budget)), F.lit("")) for budget, block in blocks.items()])
+def within_budgets(blocks: Sequence[tuple[int | None, Column]]) -> Column:
+    """Blocks in order joined by spaces, each cut to its budget of characters if it has one; null and empty ones are left out."""
+    return F.concat_ws(" ", *[F.nullif(block if budget is None else F.left(block, F.lit(budget)), F.lit("")) for budget, block in blocks])
 
 
 def masked_numbers(text: Column) -> Column:

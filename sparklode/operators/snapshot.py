@@ -136,6 +136,25 @@ def anonymised(df: DataFrame, names: Sequence[str], keys: Sequence[str], salt: s
     return df.withColumns(hidden)
 
 
+def upsert(current: DataFrame, incoming: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """(keys, columns, change): facts after an input of facts by their natural key. A null in the input says nothing and leaves what is
+    there; change is inserted, updated, same, or kept for facts the input doesn't have. Of input rows with one key any of the
+    largest is taken; keys may be null and then agree."""
+    latest = incoming.groupBy(*keys).agg(F.max(F.struct(*columns)).alias("new"))
+    a, b = current.alias("a"), latest.alias("b")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    joined = a.withColumn("__held", F.lit(True)).alias("a").join(b, same, "full")
+    value = {c: F.coalesce(F.col(f"b.new.{c}"), F.col(f"a.{c}")) for c in columns}
+    differs = F.lit(False)
+    for c in columns:
+        differs = differs | ~F.col(f"a.{c}").eqNullSafe(value[c])
+    change = F.when(F.col("__held").isNull(), "inserted").when(F.col("b.new").isNull(), "kept").when(differs, "updated").otherwise("same")
+    chosen = [F.when(F.col("__held").isNull(), F.col(f"b.{k}")).otherwise(F.col(f"a.{k}")).alias(k) for k in keys]
+    return joined.select(*chosen, *[v.alias(c) for c, v in value.items()], change.alias("change"))
+
+
 def manifest(df: DataFrame, key: str, chunk: int, line: Column | None = None) -> DataFrame:
     """(chunk_no, rows, digest): the package's chunks of consecutive ids with a digest of each.
 

@@ -290,3 +290,53 @@ def stream_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stateful suppression of repeats; tested against the batch form."""
     return _stream(spark, sf_dir, lambda e: streams.without_repeats(e, 14400), "append").select("event_id", "stored")
+
+
+FACTS = """
+c as (select c_nationkey as place, c_mktsegment as kind, count(*) as n, round(max(c_acctbal), 2) as best from customer where c_custkey % 3 > 0 group by 1, 2),
+i as (select c_nationkey as place, case when c_custkey % 7 = 0 then 'NEW' else c_mktsegment end as kind, count(*) as n, case when c_nationkey % 2 = 0 then round(max(c_acctbal), 2) end as best from customer where c_custkey % 4 = 0 and c_nationkey < 20 group by 1, 2, c_nationkey)
+"""
+
+
+@register(f"""
+with {FACTS}
+select coalesce(c.place, i.place) as place, coalesce(c.kind, i.kind) as kind, coalesce(i.n, c.n) as n, coalesce(i.best, c.best) as best,
+  case when c.n is null then 'inserted' when i.n is null then 'kept' when c.n <> i.n or c.best is distinct from coalesce(i.best, c.best) then 'updated' else 'same' end as change
+from c full join i on c.place = i.place and c.kind = i.kind
+""")
+def facts_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facts by place and kind after a later input of some of them; what the input leaves empty stays."""
+    rows = load(spark, sf_dir, "customer", "c_custkey", "c_nationkey", "c_mktsegment", "c_acctbal").withColumnsRenamed({"c_nationkey": "place", "c_mktsegment": "kind"})
+    best = F.round(F.max("c_acctbal"), 2)
+    current = rows.where("c_custkey % 3 > 0").groupBy("place", "kind").agg(F.count("*").alias("n"), best.alias("best"))
+    later = rows.where("c_custkey % 4 = 0 and place < 20").withColumn("kind", F.when(F.col("c_custkey") % 7 == 0, "NEW").otherwise(F.col("kind")))
+    incoming = later.groupBy("place", "kind").agg(F.count("*").alias("n"), F.when(F.col("place") % 2 == 0, best).alias("best"))
+    return snapshot.upsert(current, incoming, ["place", "kind"], ["n", "best"])
+
+
+#: Nineteen blocks of an order's text, each with its budget; None is no budget. Both engines read the expressions alike.
+BLOCKS: list[tuple[int | None, str]] = [
+    (None, "concat('order ', o_orderkey)"), (None, "case when o_orderkey % 3 > 0 then o_orderstatus end"), (6, "o_orderpriority"), (4, "concat(year(o_orderdate), '')"), (None, "case when o_totalprice > 200000 then 'large' end"),
+    (12, "c_name"), (5, "c_mktsegment"), (None, "case when c_acctbal < 0 then 'in debt' end"), (None, "n_name"), (3, "r_name"), (None, "case when n_lines > 4 then concat(n_lines, ' lines') end"), (None, "case when returned > 0 then 'returned' else '' end"),
+    (8, "p_name"), (7, "p_brand"), (None, "case when p_size > 25 then concat('size ', p_size) end"), (10, "p_type"), (9, "s_name"), (None, "case when s_acctbal > 5000 then 'rich' end"), (None, "case when s_nationkey = c_nationkey then 'local' else null end"),
+]
+ORDER_SQL = """
+l as (select l_orderkey, count(*) as n_lines, count(*) filter (where l_returnflag = 'R') as returned, min(l_partkey) as part, max(l_suppkey) as supp from lineitem group by 1),
+o as (select * from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey left join l on l_orderkey = o_orderkey left join part on p_partkey = part left join supplier on s_suppkey = supp)
+"""
+
+
+@register(f"""
+with {ORDER_SQL}
+select o_orderkey, concat_ws(' ', {", ".join(f"nullif({e if b is None else f'left({e}, {b})'}, '')" for b, e in BLOCKS)}) as text from o
+""")
+def assembled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text of nineteen optional blocks for every order, in their order and each within its budget."""
+    lines = load(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_returnflag").groupBy(F.col("l_orderkey").alias("o_orderkey"))
+    lines = lines.agg(F.count("*").alias("n_lines"), F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.min("l_partkey").alias("p_partkey"), F.max("l_suppkey").alias("s_suppkey"))
+    table = lambda name: load(spark, sf_dir, name)
+    joined = (
+        table("orders").join(table("customer"), F.col("o_custkey") == F.col("c_custkey")).join(table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(table("region"), F.col("n_regionkey") == F.col("r_regionkey")).join(lines, "o_orderkey", "left").join(table("part"), "p_partkey", "left").join(table("supplier"), "s_suppkey", "left")
+    )
+    return joined.select("o_orderkey", T.within_budgets([(budget, F.expr(e)) for budget, e in BLOCKS]).alias("text"))

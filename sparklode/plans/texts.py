@@ -202,7 +202,7 @@ select doc_id, sha1(regexp_replace(concat_ws(' ', nullif(left(l[1], 60), ''), nu
 def budgeted_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text of blocks, each within its budget of characters, empty ones left out, numbers masked."""
     lines = F.split("text", "\n", -1)
-    blocks = {60: F.get(lines, F.lit(0)), 200: F.get(lines, F.lit(1)), 400: F.array_join(F.slice(lines, F.lit(3), F.greatest(F.size(lines), F.lit(1))), " ")}
+    blocks = [(60, F.get(lines, F.lit(0))), (200, F.get(lines, F.lit(1))), (400, F.array_join(F.slice(lines, F.lit(3), F.greatest(F.size(lines), F.lit(1))), " "))]
     return docs(spark, sf_dir).select("doc_id", F.sha1(T.masked_numbers(T.within_budgets(blocks))).alias("digest"))
 
 
