@@ -1,7 +1,7 @@
 """Packing documents into fixed-length training sequences by the sum-of-squares rule.
 
 Tokens: the text's ids by the given vocabulary file without special tokens, then one end id. White space never reaches a
-token of that vocabulary, so a text is encoded piece by piece between ASCII white space, and each distinct piece once a
+token of that vocabulary, so a text is encoded piece by piece between ASCII white space, and each distinct piece about once a
 task. Null text counts as empty (one end token); rows with equal texts are packed one by one; only documents longer than
 a sequence are cut. Other columns of the input are ignored, whatever their names.
 
@@ -14,6 +14,7 @@ short are packed again together with other groups' in a second round, so only on
 
 from __future__ import annotations
 
+import re
 from array import array
 from collections import defaultdict
 from collections.abc import Iterator
@@ -30,6 +31,7 @@ SEQUENCE, END_ID, GROUP = 2048, 0, 8192
 #: Bound on the chunks whose ids a task remembers.
 REMEMBERED = 600_000
 MARKS = b".,;:!?*#%&$|()"
+LATIN = re.compile("[a-zß-öø-ÿ]+")
 
 
 def tokenizer_path() -> str:
@@ -43,14 +45,20 @@ class ChunkEncoder:
     """Ids of chunks of text, remembered as little-endian 32-bit bytes."""
 
     def __init__(self, vocabulary: str) -> None:
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         assert array("I").itemsize == 4
         self.tokenizer = Tokenizer.from_file(vocabulary)
         size = self.tokenizer.get_vocab_size()
         suffix = self.tokenizer.model.end_of_word_suffix or ""
         self.ends_word = np.array([bool(suffix) and (self.tokenizer.id_to_token(k) or "").endswith(suffix) for k in range(size)])
+        # Small Latin letters, which neither normalising nor the rules for words change, need nothing but splitting at spaces; beyond
+        # ASCII they are spelled in bytes.
+        self.ascii, self.latin = Tokenizer.from_file(vocabulary), Tokenizer.from_file(vocabulary)
+        for plain, how in ((self.ascii, [pre_tokenizers.WhitespaceSplit()]), (self.latin, [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])):
+            plain.normalizer, plain.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.Sequence(how)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _one_by_one(self, chunks: list[bytes]) -> None:
         for chunk, got in zip(chunks, self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)):
@@ -58,9 +66,18 @@ class ChunkEncoder:
 
     def _words(self, words: list[bytes]) -> None:
         """Letters only, so each is one word of the vocabulary's rules and ends in one word-end token: one call does for all."""
-        if not words:
-            return
-        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
+        small, latin, rest = [], [], []
+        for word in words:
+            if word.isascii() and word.islower():
+                small.append(word)
+            else:
+                (latin if LATIN.fullmatch(word.decode()) else rest).append(word)
+        for tokenizer, some in ((self.ascii, small), (self.latin, latin), (self.tokenizer, rest)):
+            if some:
+                self._at_once(tokenizer, some)
+
+    def _at_once(self, tokenizer, words: list[bytes]) -> None:
+        ids = np.array(tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, "<u4")
         ends = (np.nonzero(self.ends_word[ids])[0] + 1) * 4
         if len(ends) != len(words):
             self._one_by_one(words)
@@ -69,19 +86,42 @@ class ChunkEncoder:
         self.known.update(zip(words, (raw[a:b] for a, b in zip([0, *ends], ends))))
 
     def learn(self, chunks: set[bytes]) -> None:
-        """Put unseen chunks into `known`. Marks after letters are a word of their own, so letters and marks are joined."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        unseen = chunks - self.known.keys()
-        stems = {c: c.rstrip(MARKS) for c in unseen}
-        marked = {c: w for c, w in stems.items() if w and w != c and w.decode().isalpha()}
-        wanted = (unseen - marked.keys()) | set(marked.values()) | {c[len(w) :] for c, w in marked.items()}
-        new = [c for c in wanted if c not in self.known]
-        words = [c for c in new if c.decode().isalpha()]
-        self._words(words)
-        self._one_by_one([c for c in new if c not in self.known])
+        """Put unseen chunks into `known`. Marks after letters are a word of their own, so letters and marks are joined.
+
+        What is remembered has two generations: when the younger one is full it becomes the older, and what is met again comes back
+        from there, so that common chunks stay and no more than `REMEMBERED` are held."""
+        if len(self.known) > REMEMBERED // 2:
+            self.older, self.known = self.known, {}
+        unseen = self._recalled(chunks)
+        marked: dict[bytes, bytes] = {}
+        words, others = set(), set()
+        for chunk in unseen:
+            if letters(chunk):
+                words.add(chunk)
+                continue
+            stem = chunk.rstrip(MARKS)
+            if stem and stem != chunk and letters(stem):
+                marked[chunk] = stem
+            else:
+                others.add(chunk)
+        tails = {c[len(w) :] for c, w in marked.items()}
+        self._words(list(words | self._recalled(set(marked.values()) - words)))
+        self._one_by_one(list(others | self._recalled(tails - others)))
+        known = self.known
         for chunk, stem in marked.items():
-            self.known[chunk] = self.known[stem] + self.known[chunk[len(stem) :]]
+            known[chunk] = known[stem] + known[chunk[len(stem) :]]
+
+    def _recalled(self, chunks: set[bytes]) -> set[bytes]:
+        """The chunks that neither generation has; those of the older one join the younger."""
+        missing = chunks - self.known.keys()
+        again = missing & self.older.keys()
+        for chunk in again:
+            self.known[chunk] = self.older[chunk]
+        return missing - again
+
+
+def letters(chunk: bytes) -> bool:
+    return chunk.isalpha() or (not chunk.isascii() and chunk.decode().isalpha())
 
 
 def chunks_of(text: str | None) -> list[bytes]:

@@ -223,6 +223,18 @@ def test_chunks_encode_like_whole_texts():
         assert b"".join(encoder.known[c] for c in chunks) == array("I", encoder.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
 
+def test_chunks_of_documents_encode_like_whole_texts(small, monkeypatch):
+    """Small letters, other letters and marks each by their own way, with little remembered, give the library's ids."""
+    monkeypatch.setattr(packing, "REMEMBERED", 300)
+    encoder = packing.ChunkEncoder(packing.tokenizer_path())
+    texts = [*small.values(), "ÉTÉ été Œuvre œuvre ΣΑΣ ßß ÿ. ñandú! ŝ ﬁn İ <|x Ab aB", "e\u0301te\u0301 été", "a" * 3000, "ä" * 500 + "."]
+    for k in range(0, len(texts), 10):
+        split = [packing.chunks_of(t) for t in texts[k : k + 10]]
+        encoder.learn(set().union(*split))
+        for t, chunks in zip(texts[k : k + 10], split):
+            assert b"".join(map(encoder.known.__getitem__, chunks)) == array("I", encoder.tokenizer.encode(t or "", add_special_tokens=False).ids).tobytes()
+
+
 def test_forward_equals_all_paths():
     rng = np.random.default_rng(2)
     model = hmm.Hmm(*(rng.dirichlet(np.ones(n), size) if size else rng.dirichlet(np.ones(n)) for n, size in ((2, None), (2, 2), (4, 2))), np.full(4, 0.25))
