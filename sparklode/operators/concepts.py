@@ -114,12 +114,12 @@ def matched(given: DataFrame, names: DataFrame) -> DataFrame:
 def overlap_top(queries: DataFrame, concepts: DataFrame, tags: DataFrame, k: int) -> DataFrame:
     """(query_id, id, score, rank): the `k` rows that share most with each query, itself left out: concepts count twice.
 
-    queries: (query_id); concepts (id, concept) and tags (id, tag) of all rows, distinct. Common concepts and tags are
-    bounded like a search's common words, so they aren't joined with all queries."""
+    queries: (query_id); concepts (id, concept) and tags (id, tag) of all rows, distinct. They are added up in blocks like a
+    search's words, so common ones aren't joined with all queries."""
     marks = concepts.select(F.col("id"), F.concat(F.lit("c:"), "concept").alias("term"), F.lit(float(CONCEPT_WEIGHT)).alias("w"))
     marks = marks.unionByName(tags.select("id", F.concat(F.lit("t:"), "tag").alias("term"), F.lit(float(TAG_WEIGHT)).alias("w")))
     asked = marks.join(queries.select(F.col("query_id").alias("id")), "id", "left_semi").select(F.col("id").alias("query_id"), "term")
-    found = best_by_bounds(marks.join(asked.select("term").distinct(), "term", "left_semi"), asked, k + 1).where("id <> query_id")
+    found = best_by_bounds(marks, asked, k + 1).where("id <> query_id")
     from sparklode.operators.search import top
 
     return top(found.drop("rank"), k).withColumn("score", F.col("score").cast("long"))
