@@ -2,9 +2,10 @@
 
 A set's tokens are put in one order for the whole table, the rarest first. Two sets with Jaccard similarity t or more share a
 token among the first n - ceil(t * n) + 1 of each, so only those, the prefixes, are joined; their sizes differ by no more
-than the factor t, and what may still follow a shared token bounds the overlap by its position. A candidate pair meets at the
-first token that its prefixes share only if that is where it is found, so each pair is verified once. Equal texts are one
-row before the join: what comes out are pairs of different texts, and each text's rows.
+than the factor t, and what may still follow a shared token bounds the overlap by its position. Tokens of one set alone take a
+place, but meet nothing and aren't joined. A row of a prefix has at most `BESIDE` tokens beside it, whatever the text's length: a
+pair that shares one of those is found there first and nowhere else, and the rest are made distinct, so each pair is verified
+once. Equal texts are one row before the join: what comes out are pairs of different texts, and each text's rows.
 """
 
 from __future__ import annotations
@@ -16,25 +17,36 @@ from sparklode.functions import text as T
 from sparklode.sources.scratch import Scratch
 
 
+#: How many of a prefix's tokens stand beside each of them.
+BESIDE = 16
+
+
 def ordered_sets(sets: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, tokens): each set of sets (id, set), its tokens' hashes from rare to common, ties by hash; empty sets are left out.
+    """(id, tokens, alone): each set of sets (id, set), its tokens' hashes from rare to common, ties by hash, and how many of the
+    first are in no other set; empty sets are left out.
 
     Tokens go by their XXH64; two tokens of one hash would count as one, which can only make a candidate more."""
     slim = sets.select("id", F.array_distinct(F.transform("set", lambda x: F.xxhash64(x))).alias("set")).where(F.size("set") > 0)
     slim = scratch.keep(slim, "sets")
-    tokens = slim.select("id", F.explode("set").alias("token"))
-    often = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    # Only tokens of several sets are told back to their sets; the others are known by their absence.
+    often = slim.select(F.explode("set").alias("token")).groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+    shared = slim.select("id", F.explode("set").alias("token")).join(often, "token")
     # A set's own tokens come together again: a group is one set, never a token's rows.
-    placed = tokens.join(often, "token").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("tokens"))
-    return scratch.keep(placed.select("id", F.transform("tokens", lambda x: x["token"]).alias("tokens")), "ordered")
+    placed = shared.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("shared"))
+    known = placed.select("id", F.transform("shared", lambda x: x["token"]).alias("shared"))
+    both = slim.join(known, "id", "left").withColumn("shared", F.coalesce("shared", F.array().cast("array<bigint>")))
+    alone = F.array_sort(F.array_except("set", "shared"))
+    return scratch.keep(both.select("id", F.concat(alone, "shared").alias("tokens"), (F.size("set") - F.size("shared")).alias("alone")), "ordered")
 
 
 def prefixes(ordered: DataFrame, least: float) -> DataFrame:
-    """(id, n, place, token, prefix): the first tokens of each set, one row each, with all of them beside it."""
+    """(id, n, place, token, prefix): the first tokens of each set that other sets have too, one row each, with the first few of
+    them beside it."""
     size = F.size("tokens")
     length = size - F.ceil(size * F.lit(least) - F.lit(1e-9)).cast("int") + 1
-    cut = ordered.select("id", size.alias("n"), F.slice("tokens", F.lit(1), length).alias("prefix"))
-    return cut.select("id", "n", "prefix", F.posexplode("prefix").alias("place", "token"))
+    cut = ordered.where(length > F.col("alone")).select("id", size.alias("n"), "alone", F.slice("tokens", F.col("alone") + 1, length - F.col("alone")).alias("prefix"))
+    rows = cut.select("id", "n", "alone", F.slice("prefix", 1, BESIDE).alias("few"), F.posexplode("prefix").alias("at", "token"))
+    return rows.select("id", "n", (F.col("at") + F.col("alone")).alias("place"), "token", F.col("few").alias("prefix"))
 
 
 def similar_sets(sets: DataFrame, least: float, scratch: Scratch | None = None) -> DataFrame:
@@ -46,10 +58,11 @@ def similar_sets(sets: DataFrame, least: float, scratch: Scratch | None = None)
     small, large = F.least("na", "nb"), F.greatest("na", "nb")
     most = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     needed = F.lit(least / (1 + least)) * (F.col("na") + F.col("nb")) - F.lit(1e-9)
-    first = F.get(F.array_intersect("xa", "xb"), F.lit(0)) == F.col("token")
-    met = x.join(y, "token").where((F.col("a") < F.col("b")) & (small >= large * F.lit(least) - F.lit(1e-9)) & first & (most >= needed))
-    pairs = scratch.keep(met.select("a", "b"), "candidates")
-    left, right = (ordered.select(F.col("id").alias(k), F.col("tokens").alias(f"t{k}")) for k in "ab")
+    seen = F.get(F.array_intersect("xa", "xb"), F.lit(0))
+    met = x.join(y, "token").where((F.col("a") < F.col("b")) & (small >= large * F.lit(least) - F.lit(1e-9)) & (seen.isNull() | (seen == F.col("token"))) & (most >= needed))
+    pairs = scratch.keep(met.select("a", "b").distinct(), "candidates")
+    tokens = ordered.select("id", "tokens")
+    left, right = (tokens.select(F.col("id").alias(k), F.col("tokens").alias(f"t{k}")) for k in "ab")
     both = F.size(F.array_intersect("ta", "tb"))
     jaccard = both / (F.size("ta") + F.size("tb") - both)
     return pairs.join(left, "a").join(right, "b").select("a", "b", jaccard.alias("jaccard")).where(F.col("jaccard") >= F.lit(least) - F.lit(1e-12))
