@@ -5,7 +5,8 @@ about `SHELF` rows, a large cell being split over several, and a shelf is what o
 shelf. Its worst neighbour so far then bounds what another cell can offer: by the triangle inequality a cell of radius r around p
 has nothing nearer to q than d(q, p) - r, and as its rows are nearer to p than to q's own pivot o, nothing nearer than
 (d(q, p)^2 - d(q, o)^2) / 2 d(p, o). Only rows that a shelf may improve are sent there, and there only its cells within
-their bound are compared, nearest first, while the bound tightens. Nothing is left out: the answers are those of all pairs.
+their bound are compared, nearest first, while the bound tightens: queries of neighbouring cells together, as one product in single
+precision that says which pairs are worth an exact one. Nothing is left out: the answers are those of all pairs.
 Where vectors have no structure the bounds spare little, and the work is that of blocked search, in the same memory.
 
 Equal vectors are one row of the index, with the few ids that can be among anyone's neighbours, so that a vector that a
@@ -15,6 +16,7 @@ third of the rows share is compared once. Similarities are rounded to nine digit
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -28,6 +30,8 @@ from sparklode.sources.scratch import Scratch
 #: Rows whose pivots are fitted on, most pivots, rows of a shelf, and queries that one task compares with a shelf.
 SAMPLE, PIVOTS, SHELF, ASKED = 20_000, 1024, 20_000, 20_000
 SLACK = 1e-6
+#: Queries that go through a shelf together, the fewest and most rows they meet at once, and pairs worked out at once.
+TOGETHER, FEWEST, MOST, PAIRS = 256, 128, 4096, 50_000
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -66,6 +70,10 @@ class Cells:
             self.first[cell], room = at, room - rows
         self.shelves = at + (room < shelf)
 
+    @cached_property
+    def between(self) -> np.ndarray:
+        return distances(self.pivots, self.pivots)
+
     def home(self, cell: np.ndarray, number: np.ndarray) -> np.ndarray:
         """The shelf of rows of these cells; rows of a split cell are spread by their number."""
         return self.first[cell] + number % self.pieces[cell]
@@ -75,7 +83,7 @@ class Cells:
         far = distances(queries, self.pivots)
         own = far.argmin(axis=1)
         ball = far - self.radius
-        apart = np.maximum(distances(self.pivots, self.pivots)[own], 1e-12)
+        apart = np.maximum(self.between[own], 1e-12)
         plane = (far**2 - far[np.arange(len(far)), own][:, None] ** 2) / (2 * apart)
         out = np.maximum(np.maximum(ball, 0), plane)
         out[np.arange(len(far)), own] = np.maximum(ball[np.arange(len(far)), own], 0)
@@ -96,18 +104,24 @@ class Best:
         self.ids, self.sims = np.full((queries, k), np.iinfo(np.int64).max), np.full((queries, k), -np.inf)
         self.compared = 0
 
-    def offer(self, some: np.ndarray, sims: np.ndarray, ids: np.ndarray) -> None:
-        """Similarities of the queries `some` with rows `ids`, the same for all."""
-        self.compared += sims.size
-        if sims.shape[1] > 4 * self.k:
-            edge = -np.partition(-sims, self.k - 1, axis=1)[:, self.k - 1 : self.k]
-            keep = (sims >= edge).any(axis=0)
-            sims, ids = sims[:, keep], ids[keep]
-        both = np.concatenate([self.sims[some], sims], axis=1)
-        names = np.concatenate([self.ids[some], np.broadcast_to(ids, sims.shape)], axis=1)
-        order = np.lexsort((names, -both), axis=1)[:, : self.k]
-        self.sims[some], self.ids[some] = np.take_along_axis(both, order, 1), np.take_along_axis(names, order, 1)
-        self.floor[some] = np.maximum(self.floor[some], self.sims[some, -1])
+    def offer(self, some: slice, queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray) -> None:
+        """Rows for the queries `some`. Single precision, with room for its error, tells which pairs may count; those alone are
+        worked out."""
+        self.compared += len(queries) * len(vectors)
+        room = (queries.shape[1] + 4) * 1.2e-7
+        rough = queries.astype("float32") @ vectors.astype("float32").T
+        query, row = np.nonzero(rough >= (self.floor[some] - room).astype("float32")[:, None] - np.float32(room))
+        exact = [np.einsum("ij,ij->i", queries[query[a : a + PAIRS]], vectors[row[a : a + PAIRS]]) for a in range(0, len(query), PAIRS)]
+        sims = np.round(np.concatenate([*exact, np.zeros(0)]), 9)
+        held, place = np.nonzero(self.sims[some] > -np.inf)
+        query, sims = np.concatenate([held, query]), np.concatenate([self.sims[some][held, place], sims])
+        names = np.concatenate([self.ids[some][held, place], ids[row]])
+        order = np.lexsort((names, -sims, query))
+        query, sims, names = query[order], sims[order], names[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        top = place < self.k
+        self.sims[some][query[top], place[top]], self.ids[some][query[top], place[top]] = sims[top], names[top]
+        self.floor[some] = np.maximum(self.floor[some], self.sims[some][:, -1])
 
     def rows(self, queries: np.ndarray) -> pd.DataFrame:
         at, place = np.nonzero(self.sims >= np.maximum(self.floor, -2)[:, None])
@@ -119,17 +133,25 @@ def compared(cells: Cells, shelf: pd.DataFrame, queries: pd.DataFrame, k: int) -
     if shelf.empty or queries.empty:
         return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "id": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")}), 0
     asked = np.stack(queries["v"].to_list())
+    # Queries of one cell lie side by side, so that they leave out much the same cells.
+    turn = np.argsort(np.concatenate([distances(asked[k : k + 2000], cells.pivots).argmin(axis=1) for k in range(0, len(asked), 2000)]), kind="stable")
+    queries, asked = queries.iloc[turn], asked[turn]
     best = Best(len(asked), k, queries["worst"].to_numpy(float))
-    bounds = cells.bounds(asked)
-    held = {cell: (np.stack(rows["v"].to_list()), rows["id"].to_numpy()) for cell, rows in shelf.groupby("cell")}
-    present = np.array(sorted(held))
-    nearest = present[np.argsort(bounds[:, present], axis=1, kind="stable")]
-    for turn in range(len(present)):
-        within = np.take_along_axis(bounds, nearest[:, turn : turn + 1], 1)[:, 0] <= reach(asked, best.floor)
-        for cell in np.unique(nearest[within, turn]).tolist():
-            some = np.flatnonzero(within & (nearest[:, turn] == cell))
-            vectors, ids = held[cell]
-            best.offer(some, np.round(asked[some] @ vectors.T, 9), ids)
+    shelf = shelf.sort_values("cell", kind="stable")
+    vectors, ids = np.stack(shelf["v"].to_list()), shelf["id"].to_numpy()
+    present, first, many = np.unique(shelf["cell"].to_numpy(), return_index=True, return_counts=True)
+    for at in range(0, len(asked), TOGETHER):
+        some = slice(at, at + TOGETHER)
+        bounds = cells.bounds(asked[some])[:, present]
+        waiting, width = np.argsort(bounds.min(axis=0), kind="stable"), FEWEST
+        while len(waiting):
+            waiting = waiting[(bounds[:, waiting] <= reach(asked[some], best.floor[some])[:, None]).any(axis=0)]
+            now = waiting[: max(1, int(np.searchsorted(np.cumsum(many[waiting]), width)))]
+            waiting = waiting[len(now) :]
+            rows = np.concatenate([np.arange(first[c], first[c] + many[c]) for c in now] or [np.zeros(0, int)])
+            while len(rows):
+                best.offer(some, asked[some], vectors[rows[:width]], ids[rows[:width]])
+                rows, width = rows[width:], min(2 * width, MOST)
     return best.rows(queries["id"].to_numpy()), best.compared
 
 
