@@ -79,6 +79,18 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
+def trigram_jaccard_of(a: str, b: str) -> float:
+    x, y = ({t[i : i + 3] for i in range(len(t) - 2)} or {t} for t in (a, b))
+    both = len(x & y)
+    return both / (len(x) + len(y) - both)
+
+
+@F.pandas_udf(DoubleType())
+def trigram_jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
+    """`jaccard` of the `trigrams` of two texts, whose sets exist for one pair at a time; null where either text is."""
+    return pd.Series([trigram_jaccard_of(x, y) if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(a, b)], dtype="float64")
+
+
 def same_multiset(a: Column, b: Column) -> Column:
     return F.array_sort(a) == F.array_sort(b)
 

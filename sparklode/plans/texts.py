@@ -70,7 +70,7 @@ def neighbour_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = rows.join(after, "doc_id").withColumns({"nx": T.numbers(F.col("x")), "ny": T.numbers(F.col("y"))})
     return pairs.select(
         "doc_id",
-        F.round(T.jaccard(T.trigrams(F.col("x")), T.trigrams(F.col("y"))), 9).alias("jaccard"),
+        F.round(T.trigram_jaccard(F.col("x"), F.col("y")), 9).alias("jaccard"),
         T.same_multiset(F.col("nx"), F.col("ny")).alias("same_numbers"),
         same_head.alias("same_head"),
         (same_head & (F.col("x") != F.col("y"))).alias("header_clash"),
