@@ -62,6 +62,20 @@ def test_gluing_settles(spark):
         assert t.count("\n") - first[k]["text"].count("\n") == first[k]["glued"]
 
 
+def test_gluing_moves_no_line(spark):
+    """A text's lines stay in its row, so nothing is shuffled; signs and guards are those of line by line judging."""
+    texts = [
+        "costs \\$5 and\nmore", "let $$\nx", "let $a\n\\$b$ and\nso", "odd $\nx\n$ and\nso", "back \\\n$x\ny$ and\nso", "(a$ b\nc$) \u00a0\n d", "a\n\nb\n", "\n", "the which\nAnna", "xwhich\nAnna",
+    ]
+    want = [
+        "costs \\$5 and more", "let $$\nx", "let $a\n\\$b$ and so", "odd $\nx\n$ and so", "back \\\n$x\ny$ and so", "(a$ b\nc$) d", "a\n\nb\n", "\n", "the which Anna", "xwhich\nAnna",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    done = gluing.glue_lines(rows)
+    assert {r["id"]: r["text"] for r in done.collect()} == dict(enumerate(want))
+    assert "Exchange" not in done._jdf.queryExecution().executedPlan().toString()
+
+
 def test_guards(spark):
     many, long = "\n".join(["word and"] * 100), "\n".join(["some words of a line and " * 5] * 30)
     got = glued(spark, [many, long, "a\nb"], most=80, longest=2500)
