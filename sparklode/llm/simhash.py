@@ -14,6 +14,9 @@ the whole chain, then the full Hamming check.
 Pairs are never listed within a group. Under each key all members are compared with one leader; components of those
 links leave few keys whose members still differ in component, and only there members outside the key's main component
 are compared with the rest. Two members of one component need no link, so no component is lost.
+
+Both sides of every join here grow with the input, so each is shuffled at every size: Spark takes a table of keys, 39 for each
+fingerprint, for no larger than the fingerprints they are made of, and would broadcast it.
 """
 
 from __future__ import annotations
@@ -121,17 +124,17 @@ def link_components(prints: DataFrame) -> DataFrame:
     )
     leader = F.max(F.struct("n", F.xxhash64("fp", "slot").alias("h"), "fp"))["fp"].alias("leader")
     shared = keyed.groupBy("slot", "bits").agg(leader, F.count("*").alias("members")).where("members > 1").drop("members")
-    filed = scratch.keep(keyed.join(shared, ["slot", "bits"]).select("slot", "bits", "fp", "leader"), "filed")
+    filed = scratch.keep(keyed.join(shared.hint("merge"), ["slot", "bits"]).select("slot", "bits", "fp", "leader"), "filed")
 
     x = F.col("fp").bitwiseXOR(F.col("leader"))
     stars = filed.where(F.col("fp") != F.col("leader")).where(_linked(F.col("slot"), x)).select("fp", "leader").distinct()
     roots = scratch.keep(connected_components(stars, "fp", "leader"), "roots")
 
-    placed = filed.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("slot", "bits", "fp", F.coalesce("root", "fp").alias("root"))
+    placed = filed.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("slot", "bits", "fp", F.coalesce("root", "fp").alias("root"))
     sizes = placed.groupBy("slot", "bits", "root").agg(F.count("*").alias("members"))
     mixed = sizes.groupBy("slot", "bits").agg(F.count("*").alias("roots"), F.max(F.struct("members", "root"))["root"].alias("main")).where("roots > 1").drop("roots")
-    open_rows = scratch.keep(placed.join(mixed, ["slot", "bits"]), "open")
-    a, b = open_rows.where("root <> main").alias("a"), open_rows.alias("b")
+    open_rows = scratch.keep(placed.join(mixed.hint("merge"), ["slot", "bits"]), "open")
+    a, b = open_rows.where("root <> main").alias("a"), open_rows.hint("merge").alias("b")
     diff = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
     across = a.join(
         b,
@@ -143,8 +146,8 @@ def link_components(prints: DataFrame) -> DataFrame:
     ).select(F.col("a.root").alias("x"), F.col("b.root").alias("y"))
     merged = scratch.keep(connected_components(across.distinct(), "x", "y"), "merged")
     scratch.drop("prints", "filed", "open")
-    out = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select(F.col("node").alias("fp"), F.coalesce("top", "root").alias("root"))
-    alone = merged.join(roots, "node", "left_anti").select(F.col("node").alias("fp"), "root")
+    out = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")).hint("merge"), "root", "left").select(F.col("node").alias("fp"), F.coalesce("top", "root").alias("root"))
+    alone = merged.join(roots.hint("merge"), "node", "left_anti").select(F.col("node").alias("fp"), "root")
     return out.unionByName(alone)
 
 
@@ -155,10 +158,10 @@ def _classes(slim: DataFrame, words: int) -> DataFrame:
     first = F.min(F.struct(F.col("doc_id").isNull().alias("lost"), "doc_id", "row"))
     prints = rows.groupBy("fp").agg(F.count("*").alias("n"), first.alias("first"))
     roots = link_components(prints.select("fp", "n"))
-    placed = scratch.keep(prints.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "placed")
+    placed = scratch.keep(prints.join(roots.hint("merge"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "placed")
     least = placed.groupBy("root").agg(F.min("first").alias("top"))
-    by_print = placed.join(least, "root").select("fp", "top")
-    return rows.join(by_print, "fp").select("row", "doc_id", "fp", "top")
+    by_print = placed.join(least.hint("merge"), "root").select("fp", "top")
+    return rows.join(by_print.hint("merge"), "fp").select("row", "doc_id", "fp", "top")
 
 
 def near_duplicate_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 4) -> DataFrame:

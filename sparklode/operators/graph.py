@@ -16,14 +16,14 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node is hung below the node's smallest neighbour."""
     around = _both_ways(edges)
     least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return around.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+    return around.where("v > u").join(least.hint("merge"), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """A node and its smaller neighbours are hung below the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = down.join(least.hint("merge"), "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -32,8 +32,8 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 60)
 
     Each round is one large star and one small star, two shuffles each, with the partial minimum taken before the
     shuffle; a hub is only a key of a join that adaptive execution splits. Rounds grow with the logarithm of the
-    longest path. Every round's edges are written to the shared folder, so no lineage builds up. Null ends are
-    ignored; an edge table without edges gives no rows.
+    longest path. Every round's edges are written to the shared folder, so no lineage builds up; what is joined grows with
+    them, so it is shuffled at every size and never broadcast. Null ends are ignored; an edge table without edges gives no rows.
     """
     scratch = Scratch(edges.sparkSession, "components")
     start = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
