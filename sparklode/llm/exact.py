@@ -70,7 +70,7 @@ class Index:
 
     def placed(self, rows: DataFrame) -> DataFrame:
         """`rows` (h and more) with the bucket that the directory names."""
-        routes = F.broadcast(self.directory) if self.small else self.directory
+        routes = F.broadcast(self.directory) if self.small else self.directory.hint("merge")
         prefix = F.col("h").bitwiseAND(F.lit((1 << self.bits) - 1)).alias("prefix")
         return rows.select("*", prefix).join(routes, "prefix").withColumn("bucket", F.concat_ws("-", "depth", "bits")).drop("prefix", "depth", "bits")
 
@@ -78,8 +78,8 @@ class Index:
         """Write the entries. texts: (row, doc_id, text) of the same rows, the text normalised."""
         stays = F.max(F.struct("doc_id", "row")).alias("top")
         several = self.held.where("n > 1").select("h")
-        alone = self.keys.join(self.held.where("n = 1").select("h"), "h", "left_semi").select("h", "sha", F.struct("doc_id", "row").alias("top"), F.lit(1).cast("long").alias("group_size"))
-        # Shuffled at every size: a broadcast of the repeated hashes would be chosen on small inputs only, as they grow with the input.
+        # Shuffled at every size, here and below: a broadcast of the hashes would be chosen on small inputs only, as they grow with the input.
+        alone = self.keys.join(self.held.where("n = 1").select("h").hint("merge"), "h", "left_semi").select("h", "sha", F.struct("doc_id", "row").alias("top"), F.lit(1).cast("long").alias("group_size"))
         together = texts.withColumn("h", F.xxhash64("text")).join(several.hint("merge"), "h", "left_semi")
         compared = together.groupBy("h", "text").agg(stays, F.count("*").alias("group_size")).select("h", F.sha2("text", 256).alias("sha"), "top", "group_size")
         chain = F.row_number().over(W.partitionBy("bucket", "h").orderBy("sha", "top")).alias("chain")
@@ -89,7 +89,7 @@ class Index:
 
     def lookup(self) -> DataFrame:
         """(row, doc_id, sha, top, group_size, twins) of every row, through its bucket and its hash's chain."""
-        return self.placed(self.keys).join(self.entries, ["bucket", "h", "sha"]).select("row", "doc_id", "sha", "top", "group_size", "twins")
+        return self.placed(self.keys).join(self.entries.hint("merge"), ["bucket", "h", "sha"]).select("row", "doc_id", "sha", "top", "group_size", "twins")
 
 
 def _groups(texts: DataFrame, scratch: Scratch, capacity: int, spare: int) -> DataFrame:

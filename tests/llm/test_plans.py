@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 
-from sparklode.llm import simhash
+from sparklode.llm import exact, packing, simhash
 from sparklode.operators.graph import connected_components
 from sparklode.sources.scratch import Scratch
 
@@ -41,3 +41,14 @@ def test_components_broadcast_nothing(spark, plans):
     edges = spark.createDataFrame([(k, k + 1) for k in range(20)], "a long, b long")
     assert {r["root"] for r in connected_components(edges, "a", "b").collect()} == {0}
     assert not [p for p in plans if "BroadcastHashJoin" in p]
+
+def test_hashes_and_places_are_not_broadcast(spark, plans):
+    docs = spark.createDataFrame([(k, f"text {k % 7}") for k in range(20)], "doc_id long, text string")
+    out = exact.duplicate_groups(docs)
+    assert sorted(r["group_size"] for r in out.collect()) == [2] * 2 + [3] * 18
+    # The directory has a bound and is broadcast, by its prefix.
+    joins = [line for p in [*plans, plan_of(out)] for line in p.split("\n") if "BroadcastHashJoin" in line and "[prefix#" not in line and "[depth#" not in line]
+    assert not joins
+    pieces = spark.createDataFrame([(k, 0, 0, 100 + k) for k in range(50)], "doc_id long, piece int, start long, length long")
+    packed = packing.pack_pieces(pieces)
+    assert packed.count() == 50 and "BroadcastHashJoin" not in plan_of(packed)
