@@ -5,10 +5,11 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import BinaryType, DoubleType, LongType, StringType, StructType
 
 # The dashes that count as a hyphen, and Latin letters that look like Cyrillic ones.
 DASHES = "‐‑‒–—−―"
@@ -91,6 +92,42 @@ def trigram_jaccard(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([trigram_jaccard_of(x, y) if isinstance(x, str) and isinstance(y, str) else None for x, y in zip(a, b)], dtype="float64")
 
 
+#: Bits of a text's trigrams that stand for it in `trigram_bound`.
+SKETCH = 2048
+
+
+def trigram_sketch_of(text: str) -> tuple[int, bytes]:
+    """How many trigrams a text has, and a bit for each trigram's hash; a text of one or two characters is its own."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    if len(codes) > 2:
+        keys = np.unique(codes[:-2] << np.uint64(42) | codes[1:-1] << np.uint64(21) | codes[2:])
+    else:
+        keys = np.array([1 << 63 | sum(int(c) + 1 << 22 * k for k, c in enumerate(codes))], np.uint64)
+    bits = np.zeros(SKETCH, bool)
+    bits[(keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - SKETCH.bit_length() + 1)] = True
+    return len(keys), np.packbits(bits).tobytes()
+
+
+@F.pandas_udf(StructType().add("n", LongType()).add("bits", BinaryType()))
+def trigram_sketch(text: pd.Series) -> pd.DataFrame:
+    """`trigram_sketch_of` each text; null where there is none."""
+    rows = [trigram_sketch_of(t) if isinstance(t, str) else (None, None) for t in text]
+    return pd.DataFrame({"n": pd.array([n for n, _ in rows], "Int64"), "bits": [b for _, b in rows]})
+
+
+@F.pandas_udf(DoubleType())
+def trigram_bound(na: pd.Series, a: pd.Series, nb: pd.Series, b: pd.Series) -> pd.Series:
+    """What `trigram_jaccard` can be at most, by two texts' sketches: a bit of one alone is a trigram that the other hasn't."""
+    known = (a.notna() & b.notna()).to_numpy()
+    out = np.full(len(a), np.nan)
+    if known.any():
+        x, y = (np.frombuffer(b"".join(c[known]), np.uint8).reshape(known.sum(), -1) for c in (a, b))
+        p, q = (c[known].to_numpy(float) for c in (na, nb))
+        both = np.minimum(p - np.bitwise_count(x & ~y).sum(axis=1), q - np.bitwise_count(y & ~x).sum(axis=1))
+        out[known] = both / (p + q - both)
+    return pd.Series([v if k else None for v, k in zip(out, known)], dtype="object").astype("Float64")
+
+
 def same_multiset(a: Column, b: Column) -> Column:
     return F.array_sort(a) == F.array_sort(b)
 
